@@ -8,15 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matloom.functions.scan import dense_position, rank_within
 from matloom.model import Graph
-from matloom.runtime import Pinned, RoundLog, Saved, Workspace
-
-_COUNT = F.count  # one alias keeps the observed totals short
-
+from matloom.runtime import Pinned, RoundLog, Workspace
 
 def pin_edges(ws: Workspace, edges: DataFrame) -> Pinned:
     """Arcs laid out for frontier expansion, keyed by their source."""
@@ -50,12 +47,12 @@ def traverse(ws: Workspace, arcs: Pinned, seeds: DataFrame, cap: int | None = No
     """Breadth-first levels from ``seeds`` ``(slot, id)``; slots are independent
     searches that advance together.  A level of ``cap`` vertices stops the run."""
     log = RoundLog(ws, "slot long, id long")
-    sizes = [log.append(seeds.select("slot", "id"))["rows"]]
+    sizes = [log.append(seeds.select("slot", "id")).rows]
     complete = cap is None or sizes[0] < cap
     while complete:
-        frontier = log.last().withColumnRenamed("id", "src")
-        touched = arcs.join(frontier).select("slot", F.col("dst").alias("id")).distinct()
-        fresh = log.append(touched.join(log.all(), ["slot", "id"], "left_anti"))["rows"]
+        frontier = log.last.df.withColumnRenamed("id", "src")
+        touched = arcs.join(frontier, log.last.fits).select("slot", F.col("dst").alias("id")).distinct()
+        fresh = log.append(touched.join(log.all(), ["slot", "id"], "left_anti")).rows
         if not fresh:
             break
         sizes.append(fresh)
@@ -90,10 +87,10 @@ def components(ws: Workspace, g: Graph) -> DataFrame:
     start = g.vertices.select("id").join(best, "id", "left")
     state = ws.save(start.select("id", F.greatest("id", F.coalesce("top", "id")).alias("f")))
     while True:
-        parents = state.df.select(F.col("id").alias("f"), F.col("f").alias("gf"))
-        here = ws.save(state.df.join(parents, "f").select("id", "f", "gf"))
+        parents = state.of(state.df.select(F.col("id").alias("f"), F.col("f").alias("gf")))
+        here = ws.save(state.df.select("id", "f").join(parents.side, "f").select("id", "f", "gf"))
         labels = here.df.select(F.col("id").alias("dst"), "gf")
-        seen = arcs.join(labels).groupBy(F.col("src").alias("id")).agg(F.max("gf").alias("near"))
+        seen = arcs.join(labels, here.fits).groupBy(F.col("src").alias("id")).agg(F.max("gf").alias("near"))
         known = here.df.join(seen, "id", "left")
         # A neighbour's label also lifts the parent of the vertex that saw it.
         hooks = known.groupBy(F.col("f").alias("id")).agg(F.max("near").alias("hook"))
@@ -102,11 +99,11 @@ def components(ws: Workspace, g: Graph) -> DataFrame:
         )
         nxt = ws.save(
             lifted.select("id", F.col("new").alias("f"), (F.col("new") != F.col("f")).alias("moved")),
+            rows=F.count(F.lit(1)),
             moved=F.count_if("moved"),
         )
-        ws.discard(here)
-        ws.discard(state)
-        state = Saved(nxt.df.select("id", "f"), nxt.path, nxt.stats)
+        ws.discard(here, state)
+        state = nxt
         if not nxt.stats["moved"]:
             arcs.release()
             return state.df.select("id", F.col("f").alias("comp"))
@@ -146,25 +143,25 @@ def level_schedule(ws: Workspace, needs: DataFrame, vertices: DataFrame) -> tupl
     ``needs`` holds ``(id, on)``: id comes after on.  Rows whose needs are met
     leave the open table, so later rounds touch what is still open only.
     """
-    pairs = ws.save(needs.where("id <> on").distinct())
+    pairs = ws.store(needs.where("id <> on").distinct())
     arcs = Pinned(ws, pairs.df.select(F.col("on").alias("src"), F.col("id").alias("dst")), "src")
-    waits = pairs.df.groupBy("id").agg(F.count(F.lit(1)).alias("left"))
-    open_ = ws.save(waits, n=F.count(F.lit(1)))
+    open_ = ws.save(pairs.df.groupBy("id").agg(F.count(F.lit(1)).alias("left")))
     log = RoundLog(ws, "id long")
-    log.append(vertices.select("id").join(waits, "id", "left_anti"))
-    remaining = open_.stats["n"]
-    while remaining:
-        met = arcs.join(log.last().withColumnRenamed("id", "src")).groupBy(F.col("dst").alias("id")).agg(
+    log.append(vertices.select("id").join(open_.side, "id", "left_anti"))
+    waiting = open_.rows
+    while waiting:
+        last = log.last
+        met = arcs.join(last.df.withColumnRenamed("id", "src"), last.fits).groupBy(F.col("dst").alias("id")).agg(
             F.count(F.lit(1)).alias("met")
         )
-        counted = open_.df.join(met, "id", "left").select("id", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"))
-        previous, open_ = open_, ws.save(counted.where("left >= 0"), n=F.count_if(F.col("left") > 0))
-        fresh = log.append(open_.df.where("left = 0").select("id"))["rows"]
-        if not fresh:
-            raise ValueError("the dependencies contain a cycle")
-        open_ = Saved(open_.df.where("left > 0"), open_.path, open_.stats)
+        still = open_.df.where("left > 0").join(met, "id", "left")
+        counted = still.select("id", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"))
+        previous, open_ = open_, ws.save(counted, waiting=F.count_if(F.col("left") > 0))
         ws.discard(previous)
-        remaining = open_.stats["n"]
+        waiting = open_.stats["waiting"]
+        if waiting == open_.rows:
+            raise ValueError("the dependencies contain a cycle")
+        log.append(open_.df.where("left = 0").select("id"))
     arcs.release()
     return log.all().select("id", F.col("round").alias("level")), log.rounds
 
@@ -207,8 +204,6 @@ def task_edges(ws: Workspace, needs: DataFrame, levels: DataFrame, lanes: int) -
 def _lane_chain(table: DataFrame) -> DataFrame:
     """Consecutive tasks of one lane; levels of a lane are contiguous from 0
     except where a short level leaves the lane empty."""
-    from pyspark.sql import Window
-
     tasks = table.select("task").distinct()
     w = Window.partitionBy("task.lane").orderBy("task.level")
     return tasks.select(F.lag("task").over(w).alias("parent"), "task").where("parent IS NOT NULL")

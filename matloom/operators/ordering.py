@@ -25,15 +25,14 @@ def vertex_degrees(g: Graph) -> DataFrame:
 def _shortlist(ws: Workspace, arcs: Pinned, last: DataFrame) -> DataFrame:
     """``(comp, id, k)``: up to five low-degree vertices of each last level, no
     two of them adjacent."""
-    rest = ws.save(last.select("comp", "id", "deg"), n=F.count(F.lit(1)))
+    rest = ws.save(last.select("comp", "id", "deg"))
     log = RoundLog(ws, "comp long, id long")
-    while rest.stats["n"] and log.rounds < SHORTLIST:
+    while rest.rows and log.rounds < SHORTLIST:
         best = rest.df.groupBy("comp").agg(F.min(F.struct("deg", "id")).alias("m"))
-        log.append(best.select("comp", F.col("m.id").alias("id")))
-        picked = log.last()
-        beside = arcs.join(picked.select(F.col("id").alias("src"))).select(F.col("dst").alias("id"))
-        marked = picked.select("id").union(beside)
-        rest = ws.save(rest.df.join(marked, "id", "left_anti").select("comp", "id", "deg"), n=F.count(F.lit(1)))
+        picked = log.append(best.select("comp", F.col("m.id").alias("id")))
+        beside = arcs.join(picked.df.select(F.col("id").alias("src")), picked.fits).select(F.col("dst").alias("id"))
+        marked = picked.df.select("id").union(beside)
+        rest = ws.save(rest.df.join(marked, "id", "left_anti").select("comp", "id", "deg"))
     return log.all().select("comp", "id", F.col("round").alias("k"))
 
 
@@ -67,9 +66,9 @@ def pseudo_diameter(ws: Workspace, arcs: Pinned, comp: DataFrame, degrees: DataF
     """``(comp, source, target, diameter)``; the diameter counts levels."""
     known = ws.save(comp.join(degrees, "id").select("comp", "id", "deg")).df
     first = known.groupBy("comp").agg(F.min(F.struct("deg", "id")).alias("m"))
-    active = ws.save(first.select("comp", F.col("m.id").alias("source")), n=F.count(F.lit(1)))
+    active = ws.save(first.select("comp", F.col("m.id").alias("source")))
     done = RoundLog(ws, "comp long, source long, target long, diameter long")
-    while active.stats["n"]:
+    while active.rows:
         seeds = active.df.select(F.col("comp").alias("slot"), F.col("source").alias("id"))
         out = traverse(ws, arcs, seeds).reached
         span = ws.save(_spans(out).select(F.col("slot").alias("comp"), F.col("height").alias("height0"), F.col("width").alias("width0"))).df
@@ -95,7 +94,7 @@ def pseudo_diameter(ws: Workspace, arcs: Pinned, comp: DataFrame, degrees: DataF
             )
         )
         again = verdict.where("r.target IS NULL").select("comp", F.col("r.moved").alias("source"))
-        active = ws.save(again, n=F.count(F.lit(1)))
+        active = ws.save(again)
     return done.all().select("comp", "source", "target", "diameter")
 
 
@@ -117,17 +116,17 @@ def reverse_cuthill_mckee(ws: Workspace, g: Graph) -> Permutation:
         F.col("source").alias("id"), F.lit(0).cast("bigint").alias("key")
     )
     log = RoundLog(ws, "id long, key long")
-    fresh = log.append(seeds)["rows"]
+    fresh = log.append(seeds).rows
     while fresh:
-        placed = log.last().select(F.col("id").alias("src"), "key")
-        children = arcs.join(placed).groupBy(F.col("dst").alias("id")).agg(F.min("key").alias("first"))
+        placed = log.last.df.select(F.col("id").alias("src"), "key")
+        children = arcs.join(placed, log.last.fits).groupBy(F.col("dst").alias("id")).agg(F.min("key").alias("first"))
         new = children.join(log.all(), "id", "left_anti").join(degrees, "id")
         keyed = order_key(new, [F.col("first"), F.col("deg"), F.col("id")], "key")
-        fresh = log.append(keyed.select("id", "key"))["rows"]
+        fresh = log.append(keyed.select("id", "key")).rows
     rows = log.all().join(large, "id").select("id", "comp", F.col("round").alias("level"), "key")
     small = sized.where("size <= 2").select("id", "comp", F.lit(0).alias("level"), F.col("id").alias("key"))
     order = [F.col("comp"), F.col("level"), F.col("key")]
-    total = ws.save(rows.union(small), n=F.count(F.lit(1)))
+    total = ws.save(rows.union(small))
     placed = dense_position(ws, total.df, order, "pos")
-    n = total.stats["n"]
+    n = total.rows
     return Permutation(placed.select((F.lit(n - 1) - F.col("pos")).alias("new_id"), F.col("id").alias("old_id")), n)

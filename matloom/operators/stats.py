@@ -170,8 +170,8 @@ def even_partition(n: int, parts: int, spark) -> DataFrame:
 def weighted_partition(ws: Workspace, weights: DataFrame, parts: int) -> DataFrame:
     """``(part, first, past)``: contiguous ids cut where the running weight
     reaches each part's target share; ``weights`` is ``(id, w)`` for 0..n-1."""
-    scanned = ws.save(running_sum(ws, weights, [F.col("id")], "w", "upto"), total=F.sum("w"), n=F.count(F.lit(1)))
-    total, n = int(scanned.stats["total"] or 0), int(scanned.stats["n"])
+    scanned = ws.save(running_sum(ws, weights, [F.col("id")], "w", "upto"), total=F.sum("w"))
+    total, n = int(scanned.stats["total"] or 0), scanned.rows
     size, extra = divmod(total, parts)
 
     def opened(weight):

@@ -1,103 +1,160 @@
 """Durable intermediate tables for iterative jobs.
 
-Every loop in this package cuts its lineage by writing a parquet table into the
-shared folder named by ``spark.checkpoint.dir``.  Lost executors then cost one
-stage, never the loop, and Catalyst sees the true size of each table when it
-chooses between a broadcast and a shuffle join.
+Loops cut their lineage in the shared folder named by ``spark.checkpoint.dir``:
+round state (vector sized) through ``DataFrame.checkpoint``, matrix-sized tables
+as parquet, bucketed when they are joined again and again.  Lost executors cost
+one stage and never the loop.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+BROADCAST_BYTES = 10 * 1024 * 1024  # a counted table below this may be broadcast
+CELL_BYTES = 16  # memory of one value in a broadcast row, generously
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a fresh local one only in local mode."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if sc.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="matloom-")
-    return _LOCAL_FOLDERS[sc.applicationId]
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="matloom-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 @dataclass(frozen=True)
 class Saved:
-    """A table on shared storage plus the totals observed while it was written."""
+    """A table on shared storage plus totals taken when it was written."""
 
     df: DataFrame
-    path: str
+    path: str | None = None
     stats: dict = field(default_factory=dict)
 
+    @property
+    def rows(self) -> int:
+        return self.stats["rows"]
+
+    @property
+    def fits(self) -> bool:
+        """Counted, and small enough to be sent to every task."""
+        return self.rows * len(self.df.columns) * CELL_BYTES <= BROADCAST_BYTES
+
+    @property
+    def side(self) -> DataFrame:
+        """The table as a join side: broadcast when it fits, else left to Spark."""
+        return F.broadcast(self.df) if self.fits else self.df
+
+    def of(self, df: DataFrame) -> Saved:
+        """A projection or filter of the same rows, with the same bound."""
+        return replace(self, df=df)
+
 
 class Workspace:
     """Hands out tables below one private folder of the shared storage."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/matloom/{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/matloom-{uuid.uuid4().hex}"
         self._next = 0
 
     def new_path(self, label: str = "t") -> str:
         self._next += 1
         return f"{self.root}/{label}-{self._next:05d}"
 
-    def save(self, df: DataFrame, partition_by: str | None = None, **totals: Column) -> Saved:
-        """Write ``df``; each keyword is an aggregate observed during the write."""
+    def save(self, df: DataFrame, **totals: Column) -> Saved:
+        """Checkpoint round state; keywords are aggregates over the result."""
+        kept = df.checkpoint()
+        totals.setdefault("rows", F.count(F.lit(1)))
+        stats = kept.agg(*[c.alias(k) for k, c in totals.items()]).first().asDict()
+        return Saved(kept, None, stats)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Checkpoint without counting."""
+        return df.checkpoint()
+
+    def store(self, df: DataFrame, partition_by: str | None = None) -> Saved:
+        """Write a matrix-sized table as parquet; rows are counted on the way."""
         path = self.new_path()
-        stats: dict = {}
-        schema = df.schema
-        if totals:
-            seen = Observation()
-            df = df.observe(seen, *[c.alias(k) for k, c in totals.items()])
-        writer = df.write
+        seen = Observation()
+        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
-        if totals:
-            stats = dict(seen.get)
-        return Saved(self.spark.read.schema(schema).parquet(path), path, stats)
+        return Saved(self.spark.read.schema(df.schema).parquet(path), path, dict(seen.get))
 
-    def discard(self, saved: Saved | None) -> None:
-        """Drop a table that a newer round has replaced."""
-        if saved is None or not saved.path.startswith(self.root):
-            return
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(saved.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def discard(self, *gone: Saved | None) -> None:
+        """Delete tables that a newer round has replaced."""
+        for saved in gone:
+            if saved is None:
+                continue
+            where = saved.path or _checkpoint_file(saved.df)
+            if where:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _checkpoint_file(df: DataFrame) -> str | None:
+    """Where a checkpointed table lies; None for anything derived from one."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.nodeName() != "Scan ExistingRDD" and "LogicalRDD" not in plan.getClass().getName():
+        return None
+    file = plan.rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
 
 
 class RoundLog:
-    """Rows appended round by round as ``round=<n>`` partitions of one table."""
+    """Rows appended round by round.  Recent rounds are separate checkpoints;
+    every ``FLUSH`` rounds they move to one parquet table, so plans stay short
+    and each row is written twice at most."""
+
+    FLUSH = 16
 
     def __init__(self, ws: Workspace, schema: str):
         self.ws, self.schema = ws, schema
         self.path = ws.new_path("log")
         self.rounds = 0
-
-    def append(self, df: DataFrame, **totals: Column) -> dict:
-        totals.setdefault("rows", F.count(F.lit(1)))
-        seen = Observation()
-        df.observe(seen, *[c.alias(k) for k, c in totals.items()]).write.parquet(
-            f"{self.path}/round={self.rounds}"
-        )
+        self._recent: list[tuple[int, Saved]] = []
+        self._flushed = False
+
+    def append(self, df: DataFrame, **totals: Column) -> Saved:
+        if len(self._recent) == self.FLUSH:
+            self._union().write.mode("append").partitionBy("round").parquet(self.path)
+            self._flushed = True
+            self.ws.discard(*[s for _, s in self._recent])
+            self._recent.clear()
+        saved = self.ws.save(df, **totals)
+        self._recent.append((self.rounds, saved))
         self.rounds += 1
-        return dict(seen.get)
+        return saved
+
+    def _union(self) -> DataFrame:
+        parts = [s.df.withColumn("round", F.lit(r)) for r, s in self._recent]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def all(self) -> DataFrame:
-        return self.ws.spark.read.schema(f"{self.schema}, round int").parquet(self.path)
+        """Every row so far with the ``round`` that added it."""
+        recent = self._union()
+        if not self._flushed:
+            return recent
+        old = self.ws.spark.read.schema(f"{self.schema}, round int").parquet(self.path)
+        return old.unionByName(recent)
 
-    def last(self) -> DataFrame:
-        return self.ws.spark.read.schema(self.schema).parquet(f"{self.path}/round={self.rounds - 1}")
+    @property
+    def last(self) -> Saved:
+        return self._recent[-1][1]
 
 
 class Pinned:
@@ -114,8 +171,8 @@ class Pinned:
 
     def __init__(self, ws: Workspace, df: DataFrame, key: str, bucket_rows: int | None = None):
         self.ws, self.key, self.hubs, self.table = ws, key, None, None
-        plain = ws.save(df, rows=F.count(F.lit(1)))
-        self.rows = plain.stats["rows"]
+        plain = ws.store(df)
+        self.rows = plain.rows
         buckets = self.rows // (bucket_rows or self.BUCKET_ROWS)
         self.df = plain.df
         if buckets < 2:
@@ -145,9 +202,13 @@ class Pinned:
         self.df = ws.spark.table(self.table)
         ws.discard(plain)
 
-    def join(self, other: DataFrame) -> DataFrame:
-        """Inner join with ``other``, which carries a column named ``key``."""
-        if self.hubs is None:
+    def join(self, other: DataFrame, fits: bool = False) -> DataFrame:
+        """Inner join with ``other``, which carries a column named ``key``;
+        ``fits`` tells that its counted size allows a broadcast."""
+        if fits:
+            joined = self.df.join(F.broadcast(other), self.key)
+            return joined.drop("salt") if self.table else joined
+        if self.table is None:
             return self.df.join(other, self.key)
         pieces = F.coalesce("pieces", F.lit(1))
         spread = (

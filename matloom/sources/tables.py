@@ -114,7 +114,7 @@ def trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links ``(src, dst)`` with src < dst, written once per session and folder."""
     key = (spark.sparkContext.applicationId, "links", sf_dir)
     if key not in _BUILT:
-        _BUILT[key] = Workspace(spark).save(_trade_links(spark, sf_dir)).df
+        _BUILT[key] = Workspace(spark).store(_trade_links(spark, sf_dir)).df
     return _BUILT[key]
 
 
@@ -150,7 +150,7 @@ def stiffness(spark: SparkSession, sf_dir: str) -> SparseMatrix:
             F.col("c_custkey").alias("i"), F.col("c_custkey").alias("j"), F.lit(1.0).alias("v")
         )
         both = laplacian(spark, sf_dir).df.unionByName(ones)
-        _BUILT[key] = Workspace(spark).save(both.groupBy("i", "j").agg(F.sum("v").alias("v"))).df
+        _BUILT[key] = Workspace(spark).store(both.groupBy("i", "j").agg(F.sum("v").alias("v"))).df
     return SparseMatrix(_BUILT[key], n, n, positive_definite=True)
 
 

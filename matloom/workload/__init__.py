@@ -1,6 +1,6 @@
 """Queries over the warehouse tables, one per operator."""
 
-from matloom.workload import graphs, matrices
+from matloom.workload import factors, graphs, matrices
 from matloom.workload.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graphs", "matrices"]
+__all__ = ["ORACLES", "QUERIES", "factors", "graphs", "matrices"]

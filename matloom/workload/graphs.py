@@ -194,14 +194,9 @@ def elim_tree(spark, sf):
     return graph.elimination_tree(Workspace(spark), k.df, spark.range(k.nrows))
 
 
-@query("pseudo_diameter")
-def pseudo_diameter(spark, sf):
-    return ordering.graph_pseudo_diameter(Workspace(spark), src.trade_graph(spark, sf))
-
-
-@query("pseudo_diameter_bounds", _CLOSURE + """
+@query("pseudo_diameter", _CLOSURE + """
 SELECT comp, true AS linked, count(*) AS size FROM comps GROUP BY 1""")
-def pseudo_diameter_bounds(spark, sf):
+def pseudo_diameter(spark, sf):
     """Both ends lie in their component and the level count fits its size."""
     ws, g = Workspace(spark), src.trade_graph(spark, sf)
     comp = graph.components(ws, g)
@@ -213,21 +208,16 @@ def pseudo_diameter_bounds(spark, sf):
     return ends.join(sizes, "comp").join(one, "source").join(two, "target").select("comp", fits.alias("linked"), "size")
 
 
-@query("rcm")
-def rcm(spark, sf):
-    return ordering.reverse_cuthill_mckee(Workspace(spark), src.trade_graph(spark, sf)).df
-
-
 @query("rcm_valid", "SELECT count(*) AS n, true AS valid FROM customer")
 def rcm_valid(spark, sf):
     return structure.permutation_check(ordering.reverse_cuthill_mckee(Workspace(spark), src.trade_graph(spark, sf)))
 
 
-@query("rcm_component_blocks", _CLOSURE + """,
+@query("rcm", _CLOSURE + """,
 s AS (SELECT comp, count(*) AS size FROM comps GROUP BY 1),
 e AS (SELECT comp, size, sum(size) OVER (ORDER BY comp) AS upto FROM s)
 SELECT comp, CAST((SELECT count(*) FROM customer) - upto AS BIGINT) AS first, size FROM e""")
-def rcm_component_blocks(spark, sf):
+def rcm(spark, sf):
     """Every component occupies one contiguous run, in descending root order."""
     ws, g = Workspace(spark), src.trade_graph(spark, sf)
     order = ordering.reverse_cuthill_mckee(ws, g).df
