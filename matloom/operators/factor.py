@@ -42,15 +42,15 @@ def _eliminate(ws: Workspace, a: DataFrame, cells: DataFrame, n: int, kind: str)
     after = cells.where("i <> j").select(F.greatest("i", "j").alias("id"), F.least("i", "j").alias("on"))
     levels, depth = level_schedule(ws, after, ws.spark.range(n))
     levels = ws.save(levels)
-    row_level = levels.of(levels.df.select(F.col("id").alias("i"), F.col("level").alias("li"))).side
-    col_level = levels.of(levels.df.select(F.col("id").alias("j"), F.col("level").alias("lj"))).side
+    row_level = levels.df.select(F.col("id").alias("i"), F.col("level").alias("li"))
+    col_level = levels.df.select(F.col("id").alias("j"), F.col("level").alias("lj"))
     owner_level = F.when(F.col("i") <= F.col("j"), F.col("li")).otherwise(F.col("lj"))
     base = (
         cells.select("i", "j").join(a.select("i", "j", "v"), ["i", "j"], "left")
         .join(row_level, "i").join(col_level, "j")
         .select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"), "li", "lj", owner_level.alias("level"))
     )
-    base = ws.store(base, partition_by="level").df
+    base = ws.save(base, partition_by="level").df
     updates_path = ws.new_path("updates")
     schema = "i long, j long, s double, level int"
     log = RoundLog(ws, "i long, j long, v double, li int, lj int, p double")
@@ -74,7 +74,7 @@ def _eliminate(ws: Workspace, a: DataFrame, cells: DataFrame, n: int, kind: str)
         if done.stats["bad"]:
             raise PivotError(f"{done.stats['bad']} entries at level {level} have no usable pivot")
         if level + 1 < depth:
-            _push_updates(done.df, kind).write.mode("append").partitionBy("level").parquet(updates_path)
+            _push_updates(done.df, kind).hint("rebalance", "level").write.mode("append").partitionBy("level").parquet(updates_path)
     return log.all().select("i", "j", "v")
 
 
@@ -171,7 +171,7 @@ def cholesky_with_memory(
 ) -> Factor:
     """Each row keeps its original entry count plus ``lsize`` largest values;
     the next ``rsize`` take part in the elimination only."""
-    upper = ws.store(_upper(a)).df
+    upper = ws.save(_upper(a)).df
     quota = upper.where("i < j").groupBy("i").agg(F.count(F.lit(1)).alias("keep"))
     quota = ws.save(quota)
 
@@ -180,25 +180,25 @@ def cholesky_with_memory(
         log = RoundLog(ws, "i long, j long, v double")
         while open_.rows:
             ready = ws.save(_ready(open_.df))
-            pivots = open_.df.where("i = j").select(F.col("i").alias("o"), F.col("v").alias("p")).join(ready.side, "o")
+            pivots = open_.df.where("i = j").select(F.col("i").alias("o"), F.col("v").alias("p")).join(ready.df, "o")
             pivots = ws.save(pivots, bad=F.count_if(F.col("p") <= 0))
             if pivots.stats["bad"] or not pivots.rows:
                 raise PivotError("a pivot is not positive or not stored")
             root = F.sqrt("p")
-            rows = open_.df.join(pivots.of(pivots.df.withColumnRenamed("o", "i")).side, "i")
+            rows = open_.df.join(pivots.df.withColumnRenamed("o", "i"), "i")
             off = rows.where("i < j").select("i", "j", (F.col("v") / root).alias("v"))
-            ranked = rank_within(ws, off, ["i"], [F.abs("v").desc(), F.col("j")], "r").join(quota.side, "i", "left")
+            ranked = rank_within(ws, off, ["i"], [F.abs("v").desc(), F.col("j")], "r").join(quota.df, "i", "left")
             limit = F.coalesce("keep", F.lit(0)) + F.least(F.lit(lsize), F.lit(a.nrows - 1) - F.col("i"))
-            kept = ws.keep(
+            kept = ws.save(
                 ranked.where(F.col("r") < limit + rsize).select("i", "j", "v", (F.col("r") >= limit).alias("extra"))
-            )
+            ).df
             diag = rows.where("i = j").select("i", "j", root.alias("v"))
             log.append(kept.where("NOT extra").select("i", "j", "v").unionByName(diag))
             left = kept.select(F.col("i").alias("q"), F.col("j").alias("x"), F.col("v").alias("va"), F.col("extra").alias("ea"))
             right = kept.select(F.col("i").alias("q"), F.col("j").alias("y"), F.col("v").alias("vb"), F.col("extra").alias("eb"))
             pairs = left.join(right, "q").where("x <= y AND NOT (ea AND eb)")
             update = pairs.select(F.col("x").alias("i"), F.col("y").alias("j"), (-F.col("va") * F.col("vb")).alias("v"))
-            stays = open_.df.join(ready.of(ready.df.withColumnRenamed("o", "i")).side, "i", "left_anti")
+            stays = open_.df.join(ready.df.withColumnRenamed("o", "i"), "i", "left_anti")
             nxt = ws.save(stays.unionByName(update).groupBy("i", "j").agg(F.sum("v").alias("v")))
             ws.discard(open_, ready, pivots)
             open_ = nxt
@@ -210,7 +210,7 @@ def cholesky_with_memory(
 def incomplete_lu_threshold(ws: Workspace, a: SparseMatrix, tau: float = 1e-6, max_fill: int = 2) -> Factor:
     """ILUT: drop values below ``tau`` times their row's norm, then keep the
     ``max_fill`` largest of each row in L and in U besides the diagonal."""
-    entries = ws.store(a.entries()).df
+    entries = ws.save(a.entries()).df
     norms = entries.groupBy("i").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     norms = ws.save(norms)
     largest = Window.partitionBy("i").orderBy(F.abs("v").desc(), F.col("j"))
@@ -220,26 +220,26 @@ def incomplete_lu_threshold(ws: Workspace, a: SparseMatrix, tau: float = 1e-6, m
         return df.withColumn("r", F.row_number().over(largest)).where(F.col("r") <= max_fill).drop("r")
 
     def above(df: DataFrame) -> DataFrame:
-        return df.join(norms.side, "i").where(F.abs("v") >= F.lit(tau) * F.col("norm")).drop("norm")
+        return df.join(norms.df, "i").where(F.abs("v") >= F.lit(tau) * F.col("norm")).drop("norm")
 
     open_ = ws.save(entries)
     log = RoundLog(ws, "i long, j long, v double")
     while open_.rows:
         ready = ws.save(_ready(open_.df))
-        owned = open_.df.withColumn("o", F.least("i", "j")).join(ready.side, "o")
+        owned = open_.df.withColumn("o", F.least("i", "j")).join(ready.df, "o")
         pivots = owned.where("i = j").select("o", F.col("v").alias("p"))
         pivots = ws.save(pivots, bad=F.count_if(F.col("p") == 0))
         if pivots.stats["bad"] or not pivots.rows:
             raise PivotError("a pivot is zero or not stored")
         upper = strongest(above(owned.where("i < j").select("i", "j", "v")))
-        lower = owned.where("i > j").join(pivots.side, "o").select("i", "j", (F.col("v") / F.col("p")).alias("v"))
+        lower = owned.where("i > j").join(pivots.df, "o").select("i", "j", (F.col("v") / F.col("p")).alias("v"))
         lower = above(lower)
         diag = pivots.df.select(F.col("o").alias("i"), F.col("o").alias("j"), F.col("p").alias("v"))
         done = log.append(upper.unionByName(lower).unionByName(diag)).df
         left = done.where("i > j").select("i", F.col("j").alias("q"), F.col("v").alias("va"))
         right = done.where("i < j").select(F.col("i").alias("q"), "j", F.col("v").alias("vb"))
         update = left.join(right, "q").select("i", "j", (-F.col("va") * F.col("vb")).alias("v"))
-        stays = open_.df.withColumn("o", F.least("i", "j")).join(ready.side, "o", "left_anti").drop("o")
+        stays = open_.df.withColumn("o", F.least("i", "j")).join(ready.df, "o", "left_anti").drop("o")
         nxt = ws.save(stays.unionByName(update).groupBy("i", "j").agg(F.sum("v").alias("v")))
         ws.discard(open_, ready, pivots)
         open_ = nxt
@@ -256,8 +256,8 @@ class FactorSolve:
 
     def __init__(self, ws: Workspace, f: Factor):
         m = f.matrix
-        stored = ws.store(m.df).df
-        diag = Vector(ws.keep(stored.where("i = j").select("i", "v")), m.nrows)
+        stored = ws.save(m.df).df
+        diag = Vector(ws.save(stored.where("i = j").select("i", "v")).df, m.nrows)
         whole = m.with_entries(stored, structure="general")
         if f.kind == "chol":
             flipped = stored.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")

@@ -12,11 +12,11 @@ from matloom.runtime import RoundLog, Workspace
 def _grow(ws: Workspace, start: DataFrame, k: int, meet) -> DataFrame:
     """Add fill level by level.  A cell of level r comes from two cells whose
     levels sum to r − 1, so round r joins only those and keeps what is new."""
-    known = ws.store(start.select("i", "j").distinct().withColumn("level", F.lit(0))).df
+    known = ws.save(start.select("i", "j").distinct().withColumn("level", F.lit(0))).df
     for r in range(1, k + 1):
         pairs = meet(known).where(F.col("la") + F.col("lb") == r - 1)
         new = pairs.select("i", "j").distinct().join(known, ["i", "j"], "left_anti")
-        known = known.unionByName(ws.store(new.withColumn("level", F.lit(r))).df)
+        known = known.unionByName(ws.save(new.withColumn("level", F.lit(r))).df)
     return known
 
 
@@ -58,7 +58,7 @@ def complete_pattern(ws: Workspace, upper: DataFrame, vertices: DataFrame) -> Da
     log = RoundLog(ws, "i long, j long")
     fresh = log.append(upper.where("i <= j").select("i", "j").distinct())
     while fresh.rows:
-        climbed = fresh.df.join(tree.side, "i").where("parent <= j")
+        climbed = fresh.df.join(tree.df, "i").where("parent <= j")
         climbed = climbed.select(F.col("parent").alias("i"), "j").distinct()
         fresh = log.append(climbed.join(log.all(), ["i", "j"], "left_anti"))
     return log.all().select("i", "j")

@@ -51,7 +51,7 @@ def traverse(ws: Workspace, arcs: Pinned, seeds: DataFrame, cap: int | None = No
     complete = cap is None or sizes[0] < cap
     while complete:
         frontier = log.last.df.withColumnRenamed("id", "src")
-        touched = arcs.join(frontier, log.last.fits).select("slot", F.col("dst").alias("id")).distinct()
+        touched = arcs.join(frontier, log.last).select("slot", F.col("dst").alias("id")).distinct()
         fresh = log.append(touched.join(log.all(), ["slot", "id"], "left_anti")).rows
         if not fresh:
             break
@@ -87,10 +87,10 @@ def components(ws: Workspace, g: Graph) -> DataFrame:
     start = g.vertices.select("id").join(best, "id", "left")
     state = ws.save(start.select("id", F.greatest("id", F.coalesce("top", "id")).alias("f")))
     while True:
-        parents = state.of(state.df.select(F.col("id").alias("f"), F.col("f").alias("gf")))
-        here = ws.save(state.df.select("id", "f").join(parents.side, "f").select("id", "f", "gf"))
+        parents = state.df.select(F.col("id").alias("f"), F.col("f").alias("gf"))
+        here = ws.save(state.df.select("id", "f").join(parents, "f").select("id", "f", "gf"))
         labels = here.df.select(F.col("id").alias("dst"), "gf")
-        seen = arcs.join(labels, here.fits).groupBy(F.col("src").alias("id")).agg(F.max("gf").alias("near"))
+        seen = arcs.join(labels, here).groupBy(F.col("src").alias("id")).agg(F.max("gf").alias("near"))
         known = here.df.join(seen, "id", "left")
         # A neighbour's label also lifts the parent of the vertex that saw it.
         hooks = known.groupBy(F.col("f").alias("id")).agg(F.max("near").alias("hook"))
@@ -143,15 +143,15 @@ def level_schedule(ws: Workspace, needs: DataFrame, vertices: DataFrame) -> tupl
     ``needs`` holds ``(id, on)``: id comes after on.  Rows whose needs are met
     leave the open table, so later rounds touch what is still open only.
     """
-    pairs = ws.store(needs.where("id <> on").distinct())
+    pairs = ws.save(needs.where("id <> on").distinct())
     arcs = Pinned(ws, pairs.df.select(F.col("on").alias("src"), F.col("id").alias("dst")), "src")
     open_ = ws.save(pairs.df.groupBy("id").agg(F.count(F.lit(1)).alias("left")))
     log = RoundLog(ws, "id long")
-    log.append(vertices.select("id").join(open_.side, "id", "left_anti"))
+    log.append(vertices.select("id").join(open_.df, "id", "left_anti"))
     waiting = open_.rows
     while waiting:
         last = log.last
-        met = arcs.join(last.df.withColumnRenamed("id", "src"), last.fits).groupBy(F.col("dst").alias("id")).agg(
+        met = arcs.join(last.df.withColumnRenamed("id", "src"), last).groupBy(F.col("dst").alias("id")).agg(
             F.count(F.lit(1)).alias("met")
         )
         still = open_.df.where("left > 0").join(met, "id", "left")

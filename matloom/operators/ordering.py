@@ -30,7 +30,7 @@ def _shortlist(ws: Workspace, arcs: Pinned, last: DataFrame) -> DataFrame:
     while rest.rows and log.rounds < SHORTLIST:
         best = rest.df.groupBy("comp").agg(F.min(F.struct("deg", "id")).alias("m"))
         picked = log.append(best.select("comp", F.col("m.id").alias("id")))
-        beside = arcs.join(picked.df.select(F.col("id").alias("src")), picked.fits).select(F.col("dst").alias("id"))
+        beside = arcs.join(picked.df.select(F.col("id").alias("src")), picked).select(F.col("dst").alias("id"))
         marked = picked.df.select("id").union(beside)
         rest = ws.save(rest.df.join(marked, "id", "left_anti").select("comp", "id", "deg"))
     return log.all().select("comp", "id", F.col("round").alias("k"))
@@ -119,7 +119,7 @@ def reverse_cuthill_mckee(ws: Workspace, g: Graph) -> Permutation:
     fresh = log.append(seeds).rows
     while fresh:
         placed = log.last.df.select(F.col("id").alias("src"), "key")
-        children = arcs.join(placed, log.last.fits).groupBy(F.col("dst").alias("id")).agg(F.min("key").alias("first"))
+        children = arcs.join(placed, log.last).groupBy(F.col("dst").alias("id")).agg(F.min("key").alias("first"))
         new = children.join(log.all(), "id", "left_anti").join(degrees, "id")
         keyed = order_key(new, [F.col("first"), F.col("deg"), F.col("id")], "key")
         fresh = log.append(keyed.select("id", "key")).rows

@@ -20,7 +20,7 @@ class TriangularSolve:
     CHAIN = 6  # sweeps planned as one job
 
     def __init__(self, ws: Workspace, a: SparseMatrix, side: str, diag: Vector | None = None):
-        self.ws, self.n, self.side = ws, a.nrows, side
+        self.ws, self.n, self.df = ws, a.nrows, side
         strict = a.df.where("j < i" if side == "lower" else "j > i")
         self.diag = None if diag is None else diag.df.withColumnRenamed("v", "d")
         self.levels, self.depth = level_schedule(ws, triangle_needs(strict, side), ws.spark.range(self.n))
@@ -36,9 +36,9 @@ class TriangularSolve:
         """Level by level: each stored entry is read once in the whole solve."""
         if self._by_level is None:
             level_of_row = self.levels.select(F.col("id").alias("i"), "level")
-            self._by_level = self.ws.store(self._strict.join(level_of_row, "i"), partition_by="level").df
+            self._by_level = self.ws.save(self._strict.join(level_of_row, "i"), partition_by="level").df
         start = self._start(b).join(self.levels.select(F.col("id").alias("i"), "level"), "i")
-        start = self.ws.store(start, partition_by="level").df
+        start = self.ws.save(start, partition_by="level").df
         log = RoundLog(self.ws, "i long, v double")
         for level in range(self.depth):
             rows = start.where(F.col("level") == level)
@@ -65,7 +65,7 @@ class TriangularSolve:
             rest = F.col("b") - F.coalesce("s", F.lit(0.0))
             x = start.join(sums, "i", "left").select("i", (rest / F.col("d")).alias("v"))
             if k % self.CHAIN == 0:
-                x = self.ws.keep(x)
+                x = self.ws.save(x).df
         return Vector(x, self.n)
 
     def apply(self, b: Vector) -> Vector:

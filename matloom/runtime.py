@@ -1,16 +1,17 @@
 """Durable intermediate tables for iterative jobs.
 
-Loops cut their lineage in the shared folder named by ``spark.checkpoint.dir``:
-round state (vector sized) through ``DataFrame.checkpoint``, matrix-sized tables
-as parquet, bucketed when they are joined again and again.  Lost executors cost
-one stage and never the loop.
+Loops cut their lineage by writing parquet tables into the shared folder named
+by ``spark.checkpoint.dir``.  Lost executors cost one stage and never the loop,
+and Catalyst knows the true size of every table when it picks a join; sizes
+carried along by ``checkpoint()`` are products of products after a few rounds.
+Matrices that are joined again and again are bucketed once.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 @dataclass(frozen=True)
 class Saved:
-    """A table on shared storage plus totals taken when it was written."""
+    """A table on shared storage plus totals taken while it was written."""
 
     df: DataFrame
-    path: str | None = None
+    path: str
     stats: dict = field(default_factory=dict)
 
     @property
     def rows(self) -> int:
+        if "rows" not in self.stats:
+            self.stats["rows"] = self.df.count()
         return self.stats["rows"]
 
     @property
@@ -49,15 +52,6 @@ class Saved:
         """Counted, and small enough to be sent to every task."""
         return self.rows * len(self.df.columns) * CELL_BYTES <= BROADCAST_BYTES
 
-    @property
-    def side(self) -> DataFrame:
-        """The table as a join side: broadcast when it fits, else left to Spark."""
-        return F.broadcast(self.df) if self.fits else self.df
-
-    def of(self, df: DataFrame) -> Saved:
-        """A projection or filter of the same rows, with the same bound."""
-        return replace(self, df=df)
-
 
 class Workspace:
     """Hands out tables below one private folder of the shared storage."""
@@ -71,90 +65,51 @@ class Workspace:
         self._next += 1
         return f"{self.root}/{label}-{self._next:05d}"
 
-    def save(self, df: DataFrame, **totals: Column) -> Saved:
-        """Checkpoint round state; keywords are aggregates over the result."""
-        kept = df.checkpoint()
-        totals.setdefault("rows", F.count(F.lit(1)))
-        stats = kept.agg(*[c.alias(k) for k, c in totals.items()]).first().asDict()
-        return Saved(kept, None, stats)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Checkpoint without counting."""
-        return df.checkpoint()
-
-    def store(self, df: DataFrame, partition_by: str | None = None) -> Saved:
-        """Write a matrix-sized table as parquet; rows are counted on the way."""
-        path = self.new_path()
-        seen = Observation()
-        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
+    def save(self, df: DataFrame, partition_by: str | None = None, path: str | None = None, **totals: Column) -> Saved:
+        """Write a table; keywords are aggregates observed during the write."""
+        path = path or self.new_path()
+        schema, stats = df.schema, {}
+        if partition_by:
+            # Even files per value, whatever their share of the rows.
+            df = df.hint("rebalance", partition_by)
+        if totals:
+            totals.setdefault("rows", F.count(F.lit(1)))
+            seen = Observation()
+            df = df.observe(seen, *[c.alias(k) for k, c in totals.items()])
+        writer = df.write
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
-        return Saved(self.spark.read.schema(df.schema).parquet(path), path, dict(seen.get))
+        if totals:
+            stats = dict(seen.get)
+        return Saved(self.spark.read.schema(schema).parquet(path), path, stats)
 
     def discard(self, *gone: Saved | None) -> None:
         """Delete tables that a newer round has replaced."""
         for saved in gone:
-            if saved is None:
-                continue
-            where = saved.path or _checkpoint_file(saved.df)
-            if where:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+            if saved is not None:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(saved.path)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _checkpoint_file(df: DataFrame) -> str | None:
-    """Where a checkpointed table lies; None for anything derived from one."""
-    plan = df._jdf.queryExecution().logical()
-    if plan.nodeName() != "Scan ExistingRDD" and "LogicalRDD" not in plan.getClass().getName():
-        return None
-    file = plan.rdd().getCheckpointFile()
-    return file.get() if file.isDefined() else None
-
-
 class RoundLog:
-    """Rows appended round by round.  Recent rounds are separate checkpoints;
-    every ``FLUSH`` rounds they move to one parquet table, so plans stay short
-    and each row is written twice at most."""
-
-    FLUSH = 16
+    """Rows appended round by round as ``round=<n>`` parts of one table."""
 
     def __init__(self, ws: Workspace, schema: str):
         self.ws, self.schema = ws, schema
         self.path = ws.new_path("log")
         self.rounds = 0
-        self._recent: list[tuple[int, Saved]] = []
-        self._flushed = False
+        self.last: Saved | None = None
 
     def append(self, df: DataFrame, **totals: Column) -> Saved:
-        if len(self._recent) == self.FLUSH:
-            self._union().write.mode("append").partitionBy("round").parquet(self.path)
-            self._flushed = True
-            self.ws.discard(*[s for _, s in self._recent])
-            self._recent.clear()
-        saved = self.ws.save(df, **totals)
-        self._recent.append((self.rounds, saved))
+        totals.setdefault("rows", F.count(F.lit(1)))
+        self.last = self.ws.save(df, path=f"{self.path}/round={self.rounds}", **totals)
         self.rounds += 1
-        return saved
-
-    def _union(self) -> DataFrame:
-        parts = [s.df.withColumn("round", F.lit(r)) for r, s in self._recent]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return self.last
 
     def all(self) -> DataFrame:
         """Every row so far with the ``round`` that added it."""
-        recent = self._union()
-        if not self._flushed:
-            return recent
-        old = self.ws.spark.read.schema(f"{self.schema}, round int").parquet(self.path)
-        return old.unionByName(recent)
-
-    @property
-    def last(self) -> Saved:
-        return self._recent[-1][1]
+        return self.ws.spark.read.schema(f"{self.schema}, round int").parquet(self.path)
 
 
 class Pinned:
@@ -171,7 +126,7 @@ class Pinned:
 
     def __init__(self, ws: Workspace, df: DataFrame, key: str, bucket_rows: int | None = None):
         self.ws, self.key, self.hubs, self.table = ws, key, None, None
-        plain = ws.store(df)
+        plain = ws.save(df, rows=F.count(F.lit(1)))
         self.rows = plain.rows
         buckets = self.rows // (bucket_rows or self.BUCKET_ROWS)
         self.df = plain.df
@@ -202,14 +157,16 @@ class Pinned:
         self.df = ws.spark.table(self.table)
         ws.discard(plain)
 
-    def join(self, other: DataFrame, fits: bool = False) -> DataFrame:
-        """Inner join with ``other``, which carries a column named ``key``;
-        ``fits`` tells that its counted size allows a broadcast."""
-        if fits:
-            joined = self.df.join(F.broadcast(other), self.key)
-            return joined.drop("salt") if self.table else joined
+    def join(self, other: DataFrame, sized_by: Saved | None = None) -> DataFrame:
+        """Inner join with ``other``, which carries a column named ``key``.
+
+        ``sized_by`` is a written table with as many rows as ``other``; when it
+        is small, a bucketed table is joined by broadcast and stays unsorted.
+        """
         if self.table is None:
             return self.df.join(other, self.key)
+        if sized_by is not None and sized_by.fits:
+            return self.df.join(F.broadcast(other), self.key).drop("salt")
         pieces = F.coalesce("pieces", F.lit(1))
         spread = (
             other.join(F.broadcast(self.hubs), self.key, "left")
