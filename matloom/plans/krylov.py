@@ -25,6 +25,7 @@ MAX_ITERS = 1000
 REL_TOL = 1e-8
 ABS_TOL = 0.0
 BREAKDOWN = 1e-16
+REORTHOGONALIZE_BELOW = 1e-2  # share of ‖w‖² that must survive one pass
 
 
 @dataclass(frozen=True)
@@ -154,18 +155,24 @@ def _combine(coeffs, column: str) -> Column:
 
 
 def orthogonal_step(ws: Workspace, rows: DataFrame, k: int):
-    """Remove from column ``w`` its parts along the ``k`` vectors in array ``V``,
-    twice over; returns the saved rows, the coefficients, the remaining norm and
-    the expression of the cleaned vector."""
+    """Remove from column ``w`` its parts along the ``k`` vectors in array ``V``.
+
+    A second pass runs only when the first removed nearly all of ``w``.  Returns
+    the saved rows, the coefficients, the remaining norm and the expression of
+    the cleaned vector.
+    """
     dots = {f"h{m}": _dot(F.col("w"), F.col("V")[m]) for m in range(k)}
-    one = ws.save(rows, ww=_dot(F.col("w"), F.col("w")), **dots)
-    h1 = [one.stats[f"h{m}"] for m in range(k)]
-    cleaned = one.df.withColumn("w", F.col("w") - _combine(h1, "V"))
-    two = ws.save(cleaned, ww=_dot(F.col("w"), F.col("w")), **dots)
-    h2 = [two.stats[f"h{m}"] for m in range(k)]
-    ws.discard(one)
-    norm = math.sqrt(max(two.stats["ww"] - sum(h * h for h in h2), 0.0))
-    return two, [x + y for x, y in zip(h1, h2)], norm, F.col("w") - _combine(h2, "V")
+    at = ws.save(rows, ww=_dot(F.col("w"), F.col("w")), **dots)
+    h = [at.stats[f"h{m}"] for m in range(k)]
+    left = at.stats["ww"] - sum(c * c for c in h)
+    if left > REORTHOGONALIZE_BELOW * at.stats["ww"]:
+        return at, h, math.sqrt(left), F.col("w") - _combine(h, "V")
+    cleaned = at.df.withColumn("w", F.col("w") - _combine(h, "V"))
+    again = ws.save(cleaned, ww=_dot(F.col("w"), F.col("w")), **dots)
+    h2 = [again.stats[f"h{m}"] for m in range(k)]
+    ws.discard(at)
+    norm = math.sqrt(max(again.stats["ww"] - sum(c * c for c in h2), 0.0))
+    return again, [x + y for x, y in zip(h, h2)], norm, F.col("w") - _combine(h2, "V")
 
 
 def fgmres(

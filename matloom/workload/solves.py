@@ -20,7 +20,7 @@ _B = with_(LOAD) + "SELECT i, v FROM b"
 
 
 def _applied_back(a, x: Vector):
-    return products.matvec(a, x).df.select("i", (F.round("v", 5) + 0.0).alias("v"))
+    return products.matvec(a, x).df.select("i", (F.round("v", 4) + 0.0).alias("v"))
 
 
 def _named(name: str, **knobs):
@@ -32,21 +32,21 @@ def _named(name: str, **knobs):
     return run
 
 
-query("cg_solve", _B)(_named("cg", rel_tol=1e-10))
-query("pcg_ic0", _B)(_named("cg+ic0", rel_tol=1e-10))
-query("pcg_ick", _B)(_named("cg+incomplete_cholesky_k", level=1, rel_tol=1e-10))
-query("pcg_ic_memory", _B)(_named("cg+incomplete_cholesky_fm", lsize=2, rsize=2, rel_tol=1e-10))
-query("gmres", _B)(_named("gmres", rel_tol=1e-9))
-query("gmres_ilu0", _B)(_named("gmres+ilu0", rel_tol=1e-9))
-query("gmres_iluk", _B)(_named("gmres+iluk", level=1, rel_tol=1e-9))
-query("gmres_ilut", _B)(_named("gmres+ilut", rel_tol=1e-9))
+query("cg_solve", _B)(_named("cg", rel_tol=1e-8))
+query("pcg_ic0", _B)(_named("cg+ic0", rel_tol=1e-8))
+query("pcg_ick", _B)(_named("cg+incomplete_cholesky_k", level=1, rel_tol=1e-8))
+query("pcg_ic_memory", _B)(_named("cg+incomplete_cholesky_fm", lsize=2, rsize=2, rel_tol=1e-8))
+query("gmres", _B)(_named("gmres", rel_tol=1e-8))
+query("gmres_ilu0", _B)(_named("gmres+ilu0", rel_tol=1e-8))
+query("gmres_iluk", _B)(_named("gmres+iluk", level=1, rel_tol=1e-8))
+query("gmres_ilut", _B)(_named("gmres+ilut", rel_tol=1e-8))
 query("direct_solve", _B)(_named("direct"))
 
 
 @query("pcg_jacobi", _B)
 def pcg_jacobi(spark, sf):
     ws, k, b = Workspace(spark), src.stiffness(spark, sf), src.customer_load(spark, sf)
-    return _applied_back(k, krylov.pcg(ws, k, b, "jacobi", rel_tol=1e-10).x)
+    return _applied_back(k, krylov.pcg(ws, k, b, "jacobi", rel_tol=1e-8).x)
 
 
 @query("direct_lu", with_(LOAD) + "SELECT i, v FROM b")
@@ -63,7 +63,7 @@ def gmres_unsymmetric(spark, sf):
     ws, k, b = Workspace(spark), src.stiffness(spark, sf), src.customer_load(spark, sf)
     v = F.when(F.col("j") < F.col("i"), 0.5 * F.col("v")).otherwise(F.col("v"))
     a = SparseMatrix(k.df.withColumn("v", v), k.nrows, k.ncols)
-    return _applied_back(a, krylov.fgmres(ws, a, b, restart=8, rel_tol=1e-9).x)
+    return _applied_back(a, krylov.fgmres(ws, a, b, restart=8, rel_tol=1e-8).x)
 
 
 _JACOBI = with_(STIFF, LOAD) + """,
