@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from matloom.functions.scan import dense_position, rank_within
 from matloom.model import Graph
-from matloom.runtime import Pinned, RoundLog, Workspace
+from matloom.runtime import Pinned, RoundLog, Saved, Workspace
 
 def pin_edges(ws: Workspace, edges: DataFrame) -> Pinned:
     """Arcs laid out for frontier expansion, keyed by their source."""
@@ -140,30 +140,36 @@ def same_component(comp: DataFrame, pairs: DataFrame) -> DataFrame:
 def level_schedule(ws: Workspace, needs: DataFrame, vertices: DataFrame) -> tuple[DataFrame, int]:
     """Longest-path levels ``(id, level)`` and their number.
 
-    ``needs`` holds ``(id, on)``: id comes after on.  Rows whose needs are met
-    leave the open table, so later rounds touch what is still open only.
+    ``needs`` holds ``(id, on)``: id comes after on.  A round writes the rows it
+    meets and the rows still open side by side; only the open ones go on.
     """
-    pairs = ws.save(needs.where("id <> on").distinct())
-    arcs = Pinned(ws, pairs.df.select(F.col("on").alias("src"), F.col("id").alias("dst")), "src")
-    open_ = ws.save(pairs.df.groupBy("id").agg(F.count(F.lit(1)).alias("left")))
-    log = RoundLog(ws, "id long")
-    log.append(vertices.select("id").join(open_.df, "id", "left_anti"))
-    waiting = open_.rows
-    while waiting:
-        last = log.last
-        met = arcs.join(last.df.withColumnRenamed("id", "src"), last).groupBy(F.col("dst").alias("id")).agg(
-            F.count(F.lit(1)).alias("met")
+    arcs = Pinned(ws, needs.where("id <> on").select(F.col("on").alias("src"), F.col("id").alias("dst")).distinct(), "src")
+    waits = arcs.df.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("left"))
+    counted = vertices.select("id").join(waits, "id", "left").select("id", F.coalesce("left", F.lit(0)).alias("left"))
+    base, rounds, before = ws.new_path("levels"), 0, None
+    while True:
+        here = ws.save(
+            counted.withColumn("done", F.col("left") == 0),
+            partition_by="done",
+            path=f"{base}/round={rounds}",
+            even=False,
+            waiting=F.count_if(F.col("left") > 0),
         )
-        still = open_.df.where("left > 0").join(met, "id", "left")
-        counted = still.select("id", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"))
-        previous, open_ = open_, ws.save(counted, waiting=F.count_if(F.col("left") > 0))
-        ws.discard(previous)
-        waiting = open_.stats["waiting"]
-        if waiting == open_.rows:
+        if rounds:
+            ws.discard(Saved(before.df, f"{base}/round={rounds - 1}/done=false"))
+        rounds += 1
+        if not here.stats["waiting"]:
+            break
+        if here.stats["waiting"] == here.rows:
             raise ValueError("the dependencies contain a cycle")
-        log.append(open_.df.where("left = 0").select("id"))
+        met = here.df.where("done").select(F.col("id").alias("src"))
+        met = arcs.join(met, here).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("met"))
+        still = here.df.where("NOT done").join(met, "id", "left")
+        counted = still.select("id", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"))
+        before = here
     arcs.release()
-    return log.all().select("id", F.col("round").alias("level")), log.rounds
+    met = ws.spark.read.schema("id long, left long, round int, done boolean").parquet(base).where("done")
+    return met.select("id", F.col("round").alias("level")), rounds
 
 
 def triangle_needs(entries: DataFrame, side: str) -> DataFrame:

@@ -65,18 +65,25 @@ class Workspace:
         self._next += 1
         return f"{self.root}/{label}-{self._next:05d}"
 
-    def save(self, df: DataFrame, partition_by: str | None = None, path: str | None = None, **totals: Column) -> Saved:
+    def save(
+        self,
+        df: DataFrame,
+        partition_by: str | None = None,
+        path: str | None = None,
+        even: bool = True,
+        **totals: Column,
+    ) -> Saved:
         """Write a table; keywords are aggregates observed during the write."""
         path = path or self.new_path()
         schema, stats = df.schema, {}
-        if partition_by:
+        if partition_by and even:
             # Even files per value, whatever their share of the rows.
             df = df.hint("rebalance", partition_by)
         if totals:
             totals.setdefault("rows", F.count(F.lit(1)))
             seen = Observation()
             df = df.observe(seen, *[c.alias(k) for k, c in totals.items()])
-        writer = df.write
+        writer = df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
