@@ -16,6 +16,7 @@ from matloom.runtime import Workspace
 
 # Defaults of the eigenvalue iterations.
 NEV, MAX_ITERS, NCV, TOL = 1, 1000, 20, 1e-4
+EXHAUSTED = 1e-10  # remaining norm, against the projected matrix, that ends a basis
 
 
 @dataclass(frozen=True)
@@ -119,7 +120,7 @@ def lanczos(
         t[: m + 1, m] = h
         t[m, : m + 1] = h
         rows = at.df.drop("w")
-        if last < 1e-12 or used == steps:
+        if last <= EXHAUSTED * abs(t).max() or used == steps:
             break
         rows = at.df.withColumn("V", F.concat("V", F.array(clean / last))).drop("w")
     theta, s = np.linalg.eigh(t[:used, :used])

@@ -25,7 +25,7 @@ MAX_ITERS = 1000
 REL_TOL = 1e-8
 ABS_TOL = 0.0
 BREAKDOWN = 1e-16
-REORTHOGONALIZE_BELOW = 1e-2  # share of ‖w‖² that must survive one pass
+REORTHOGONALIZE_BELOW = 0.5  # share of ‖w‖² that must survive one pass
 
 
 @dataclass(frozen=True)
@@ -157,7 +157,8 @@ def _combine(coeffs, column: str) -> Column:
 def orthogonal_step(ws: Workspace, rows: DataFrame, k: int):
     """Remove from column ``w`` its parts along the ``k`` vectors in array ``V``.
 
-    A second pass runs only when the first removed nearly all of ``w``.  Returns
+    A second pass runs when the first removed half of ``w`` or more; one pass
+    alone would then leave visible parts along the old vectors.  Returns
     the saved rows, the coefficients, the remaining norm and the expression of
     the cleaned vector.
     """

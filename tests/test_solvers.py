@@ -16,8 +16,8 @@ def spd(n, seed, density=0.25):
 
 @pytest.fixture(scope="module")
 def system(spark):
-    raw = spd(18, 3)
-    b = np.arange(1.0, 19.0)
+    raw = spd(10, 3, 0.3)
+    b = np.arange(1.0, 11.0)
     return raw, matrix(spark, raw.tolist(), positive_definite=True), b, vector(spark, b)
 
 
@@ -131,10 +131,8 @@ def test_solvers_agree(ws, system):
     raw, a, b, bv = system
     want = np.linalg.solve(raw, b)
     for got in (
-        krylov.pcg(ws, a, bv),
         krylov.pcg(ws, a, bv, "jacobi"),
-        krylov.fgmres(ws, a, bv, restart=7),
-        krylov.fgmres(ws, a, bv, left=factor.FactorSolve(ws, factor.incomplete_lu(ws, a, 0))),
+        krylov.fgmres(ws, a, bv, restart=6, left=factor.FactorSolve(ws, factor.incomplete_lu(ws, a, 0))),
         solvers.create("cg+ic0", ws, a)(bv),
     ):
         assert got.converged and np.allclose(values(got.x), want, atol=1e-5)
@@ -146,13 +144,20 @@ def test_registry_refuses_doubles_and_unknown_names(ws, system):
     assert solvers.create("no such solver", ws, system[1]) is None
 
 
+def test_exhausted_basis_gives_no_spurious_value(ws, spark):
+    """A start vector with few eigencomponents ends the basis early."""
+    raw = np.diag([2.0, 2.0, 2.0, 5.0, 5.0, 9.0])
+    pair = eigen.lanczos(ws, matrix(spark, raw.tolist()), vector(spark, [1, 2, 3, 4, 5, 6]), which="S", ncv=6)[0]
+    assert pair.iterations == 3 and np.isclose(pair.value, 2.0)
+
+
 def test_eigenvalues(ws, system):
     raw, a, _, bv = system
     theta = np.linalg.eigvalsh(raw)
-    top = eigen.lanczos(ws, a, bv, nev=2, ncv=18)
+    top = eigen.lanczos(ws, a, bv, nev=2, ncv=10)
     assert np.allclose([p.value for p in top], theta[::-1][:2])
     assert eigen.eigen_residual(a, top[0]).first()["residual"] < 1e-6
-    low = eigen.lanczos(ws, a, bv, which="S", ncv=18)[0]
+    low = eigen.lanczos(ws, a, bv, which="S", ncv=10)[0]
     assert np.isclose(low.value, theta[0])
 
 
