@@ -9,7 +9,7 @@ from matloom.operators import graph, ordering, stats, structure
 from matloom.runtime import Workspace
 from matloom.sources import tables as src
 from matloom.workload.registry import query
-from matloom.workload.sqltext import ARCS, STIFF, with_
+from matloom.workload.sqltext import ARCS, with_
 
 _SUPPLY_GRAPH = """
 m AS (SELECT max(s_suppkey) + 1 AS m FROM supplier),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matloom.functions.scan import dense_position
-from matloom.model import DenseMatrix, Permutation, SparseMatrix, Vector
+from matloom.model import DenseMatrix, Permutation, SparseMatrix
 from matloom.operators import products, stats, structure, sums
 from matloom.runtime import Workspace
 from matloom.sources import generators, sinks, tables as src

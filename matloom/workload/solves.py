@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matloom.model import SparseMatrix, Vector
-from matloom.operators import factor, products, structure
+from matloom.operators import products
 from matloom.plans import eigen, krylov, pipelines, solvers
 from matloom.runtime import Workspace
 from matloom.sources import generators, tables as src
 from matloom.workload.registry import query
-from matloom.workload.sqltext import ARCS, CELLS, LOAD, STIFF, with_
+from matloom.workload.sqltext import CELLS, LOAD, STIFF, with_
 
 _B = with_(LOAD) + "SELECT i, v FROM b"
 

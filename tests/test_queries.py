@@ -6,7 +6,7 @@ from conftest import SF
 
 from check import TABLES, canonical
 from matloom.workload import ORACLES, QUERIES
-from matloom.workload import factors, graphs, matrices, solves
+from matloom.workload import matrices
 
 FAST = [n for n, f in QUERIES.items() if f.__module__ == matrices.__name__]
 LOOPS = ["bfs", "components", "level_sort", "transitive_reduction", "elim_tree", "fwd_solution", "ic_symbolic_k1", "mor_solutions"]

@@ -2,7 +2,7 @@ import struct
 
 import numpy as np
 import pytest
-from conftest import dense, matrix, values, vector
+from conftest import dense, matrix, values
 
 from matloom.operators import structure
 from matloom.sources import binary, generators, sinks
