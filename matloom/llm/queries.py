@@ -1,6 +1,16 @@
 """All queries of the subpackage."""
 
-from matloom.llm import language_id, packing, quality, secret_scan, simhash, token_rollup, token_store, url_filter
+from matloom.llm import (
+    language_id,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    token_rollup,
+    token_store,
+    url_filter,
+)
 from matloom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "language_id", "packing", "quality", "secret_scan", "simhash", "token_rollup", "token_store", "url_filter"]
+__all__ = ["ORACLES", "QUERIES", "language_id", "packing", "quality", "secret_scan", "simhash", "suffix_dedup", "token_rollup", "token_store", "url_filter"]
