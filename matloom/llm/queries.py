@@ -1,6 +1,7 @@
 """All queries of the subpackage."""
 
 from matloom.llm import (
+    decontaminate,
     language_id,
     packing,
     quality,
@@ -13,4 +14,4 @@ from matloom.llm import (
 )
 from matloom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "language_id", "packing", "quality", "secret_scan", "simhash", "suffix_dedup", "token_rollup", "token_store", "url_filter"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language_id", "packing", "quality", "secret_scan", "simhash", "suffix_dedup", "token_rollup", "token_store", "url_filter"]
