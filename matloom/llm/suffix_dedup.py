@@ -288,7 +288,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # Rows of one id and text share their result, so one key serves both.
     rows = docs.select(F.xxhash64("doc_id", "text").alias("d"), "doc_id", body.alias("body"))
     items = ws.save(find_items(rows), rows=F.count(F.lit(1)))
-    counts = items.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # Written, so that the join deals both sides anew and can split a hot anchor.
+    counts = ws.save(items.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")).df
     repeated = items.df.join(counts, "anchor").select("d", F.struct("anchor", "lo", "n", (F.col("c") > HOT).alias("hot")).alias("item"))
     lists = repeated.groupBy("d").agg(F.collect_set("item").alias("items"))
     parts = max(64, items.rows // PART_ITEMS)
