@@ -79,7 +79,8 @@ def links(prints: DataFrame) -> DataFrame:
     """
     flips = [0] + [1 << (s * SEGMENT_BITS + b) for s in range(SEGMENTS) for b in range(SEGMENT_BITS)]
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in flips])
-    keys = prints.select("fp", F.explode(masks).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
+    # A key per flip makes 65 rows of each: deal the few bytes out first.
+    keys = prints.select("fp").repartition("fp").select("fp", F.explode(masks).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
     # At most one member per flip, so the list has a proven bound.
     met = keys.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     pairs = met.select(F.array_min("fps").alias("src"), F.explode("fps").alias("dst")).where("src != dst")
