@@ -9,6 +9,7 @@ changes speed and never ids.
 from __future__ import annotations
 
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -29,6 +30,7 @@ class ChunkTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.merges = self.model.model
         self.capacity = capacity
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
@@ -48,8 +50,15 @@ class ChunkTokenizer:
         gaps = [k for k, x in enumerate(found) if x is None]
         parts = {c: _parts(c) for c in {chunks[k] for k in gaps}}
         fresh = list({p for ps in parts.values() for p in ps if p not in self.parts})
-        coded = self.model.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)
-        ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(fresh, coded)}
+        # A run of letters is one word to the vocabulary; where normalising would
+        # not change it, its merges can be asked for directly.
+        ids = {}
+        for p in fresh:
+            if (word := _plain_word(p)) is not None:
+                ids[p] = np.array([t.id for t in self.merges.tokenize(word)], "<u4").tobytes()
+        other = [p for p in fresh if p not in ids]
+        coded = self.model.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)
+        ids.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(other, coded))
         if len(self.parts) + len(self.known) + len(ids) + len(parts) > self.capacity:
             ids |= {p: self.parts[p] for ps in parts.values() for p in ps if p not in ids}
             self.parts.clear()
@@ -61,6 +70,22 @@ class ChunkTokenizer:
         self.known.update(new)
 
 
+#: The vocabulary spells bytes as printable characters: themselves where they are
+#: printable, else the next free ones from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLING = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
+
+def _plain_word(chunk: bytes) -> str | None:
+    """The spelling of a chunk of unchanged lower-case letters, else None."""
+    if chunk.isalpha():
+        return chunk.decode()
+    text = chunk.decode()
+    if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+        return chunk.decode("latin-1").translate(_SPELLING)
+    return None
+
+
 #: ASCII marks that may follow a word; the vocabulary cuts between a letter and them.
 _MARKS = b"!#$%&*|.,;:?"
 
