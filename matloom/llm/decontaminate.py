@@ -74,6 +74,10 @@ def _codes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, tokens, repeat(SEED)), np.uint64, len(tokens))
 
 
+def _own_codes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(hash, tokens), np.int64, len(tokens)).view(np.uint64)
+
+
 def simhash(shingles: np.ndarray) -> int:
     bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(shingles), bitorder="little").view("<u8")[0])
@@ -125,19 +129,36 @@ class Benchmark:
         self.known = {n: np.array(sorted(h), np.uint64) for n, h in known.items()}
         every = set().union(*known.values()) if known else set()
         self.all = np.array(sorted(every), np.uint64)
-        self.mask = np.uint64((1 << max(16, (8 * len(self.all)).bit_length())) - 1)
-        self.filter = np.zeros(int(self.mask) + 1, bool)
-        self.filter[(self.all & self.mask).astype(np.int64)] = True
+        self.texts = [words(text) for _, text in items]
+        self.quick: tuple[np.ndarray, np.ndarray] | None = None
         prints = {k: simhash(np.array(list(s.elements()), np.uint64)) for k, s in enumerate(self.sets)}
         self.index = {n: BlockIndex({k: prints[k] for k in ks}, radius) for n, ks in sizes.items()}
 
+    def touched(self, texts: list[list[bytes]]) -> list[int]:
+        """Numbers of the texts that share a shingle with any item.
+
+        Python's own string hash, which differs between processes, is enough to
+        pass over the rest; whatever it lets through is searched exactly.
+        """
+        if self.quick is None:
+            hashes = [_shingles(_own_codes(t)) for t in self.texts]
+            known = np.unique(np.concatenate([*hashes, np.empty(0, np.uint64)]))
+            bits = np.zeros(1 << max(16, (64 * len(known)).bit_length()), bool)
+            bits[(known & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+            self.quick = known, bits
+        known, bits = self.quick
+        # Shingles across two texts are candidates too many at worst.
+        s = _shingles(_own_codes([w for t in texts for w in t]))
+        near = np.flatnonzero(bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)])
+        ends = np.cumsum([len(t) for t in texts])
+        return np.unique(np.searchsorted(ends, near[np.isin(s[near], known)], "right")).tolist()
+
     def search(self, tokens: list[bytes]) -> Iterator[tuple[int, int, int, int, float]]:
         """(item, first word, words, distance, similarity) of verified windows."""
         s = _shingles(_codes(tokens))
         if not len(s) or not len(self.all):
             return
-        near = np.flatnonzero(self.filter[(s & self.mask).astype(np.int64)])
-        spots = near[np.isin(s[near], self.all)]
+        spots = np.flatnonzero(np.isin(s, self.all))
         for n, known in self.known.items() if len(spots) else ():
             size = n - SHINGLE + 1
             here = spots[np.isin(s[spots], known)]
@@ -188,14 +209,17 @@ def _search(docs: DataFrame, bench: Benchmark) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_blocks(batches):
             rows = []
-            texts = batch.column("text").cast(pa.large_binary())
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
-                best: dict[int, tuple] = {}
-                for number, tokens in parts(text.as_py() or b"", max(0, bench.longest - 1)):
-                    for k, at, n, distance, sim in bench.search(tokens):
-                        if k not in best or (-sim, number + at) < (-best[k][4], best[k][1]):
-                            best[k] = (bench.ids[k], number + at, n, distance, sim)
-                rows.extend((doc, *best[k]) for k in sorted(best))
+            ids = batch.column("doc_id").to_pylist()
+            raw = [t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary())]
+            overlap = max(0, bench.longest - 1)
+            cut = [(k, number, tokens) for k, text in enumerate(raw) for number, tokens in parts(text, overlap)]
+            best: dict[tuple[int, int], tuple] = {}
+            for c in bench.touched([tokens for _, _, tokens in cut]):
+                d, number, tokens = cut[c]
+                for k, at, n, distance, sim in bench.search(tokens):
+                    if (d, k) not in best or (-sim, number + at) < (-best[d, k][4], best[d, k][1]):
+                        best[d, k] = (bench.ids[k], number + at, n, distance, sim)
+            rows.extend((ids[d], *best[d, k]) for d, k in sorted(best))
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
             columns = list(zip(*rows)) or [()] * 6
             names = ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"]
