@@ -32,7 +32,7 @@ TRUSTED = 20_000
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 #: Mean log ratio per n-gram that a document must reach.
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
