@@ -79,11 +79,15 @@ def links(prints: DataFrame) -> DataFrame:
     """
     flips = [0] + [1 << (s * SEGMENT_BITS + b) for s in range(SEGMENTS) for b in range(SEGMENT_BITS)]
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in flips])
-    # A key per flip makes 65 rows of each: deal the few bytes out first.
-    keys = prints.select("fp").repartition("fp").select("fp", F.explode(masks).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    # At most one member per flip, so the list has a proven bound.
-    met = keys.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    pairs = met.select(F.array_min("fps").alias("src"), F.explode("fps").alias("dst")).where("src != dst")
+    # 65 keys are made of each row: deal the few bytes out to all tasks first.
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = prints.select("fp").repartition(spread, "fp").select("fp", F.explode(masks).alias("flip"))
+    keys = keys.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
+    met = keys.groupBy("key").agg(F.min("fp").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # The members of a key that met are again its ball.
+    ball = met.select("src", "key", F.explode(masks).alias("flip"))
+    ball = ball.select("src", F.col("key").bitwiseXOR(F.col("flip")).alias("dst")).where("src != dst")
+    pairs = ball.join(prints.select(F.col("fp").alias("dst")), "dst").select("src", "dst")
     return pairs.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS).distinct()
 
 
