@@ -33,7 +33,7 @@ PROFILE = 300
 #: Distinct languages that may be learned; each adds one profile to every task.
 MAX_LANGUAGES = 1000
 #: Characters ranked at a time.
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 5, 0
 #: The pipeline rejects documents that fit even their best profile worse than this.

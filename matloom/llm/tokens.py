@@ -2,8 +2,8 @@
 
 The vocabulary drops white space between words, so the ids of a text are the ids
 of its white-space separated chunks in order.  A chunk is encoded once per
-Python worker and then looked up; the memory is emptied when it is full, which
-changes speed and never ids.
+Python worker and then looked up; the memory is bounded, which changes speed and
+never ids.
 """
 
 from __future__ import annotations
@@ -25,15 +25,16 @@ class ChunkTokenizer:
     counts as empty.
     """
 
-    def __init__(self, path: str, capacity: int = 1_200_000):
+    def __init__(self, path: str, capacity: int = 500_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.merges = self.model.model
         self.capacity = capacity
+        # Two generations: a full one ages, and what is met again moves up.
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.aged: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a text given in UTF-8."""
@@ -48,25 +49,32 @@ class ChunkTokenizer:
 
     def _learn(self, chunks: list[bytes], found: list[bytes | None]) -> None:
         gaps = [k for k, x in enumerate(found) if x is None]
-        parts = {c: _parts(c) for c in {chunks[k] for k in gaps}}
-        fresh = list({p for ps in parts.values() for p in ps if p not in self.parts})
+        new, cut, aged = {}, {}, self.aged
+        for c in {chunks[k] for k in gaps}:
+            if c in aged:
+                new[c] = aged[c]
+            else:
+                cut[c] = _parts(c)
+        need = {p for ps in cut.values() for p in ps if p not in new}
         # A run of letters is one word to the vocabulary; where normalising would
         # not change it, its merges can be asked for directly.
-        ids = {}
-        for p in fresh:
-            if (word := _plain_word(p)) is not None:
-                ids[p] = np.array([t.id for t in self.merges.tokenize(word)], "<u4").tobytes()
-        other = [p for p in fresh if p not in ids]
+        other = []
+        for p in need:
+            if (ids := self.known.get(p) or aged.get(p)) is not None:
+                new[p] = ids
+            elif (word := _plain_word(p)) is not None:
+                new[p] = np.array([t.id for t in self.merges.tokenize(word)], "<u4").tobytes()
+            else:
+                other.append(p)
         coded = self.model.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)
-        ids.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(other, coded))
-        if len(self.parts) + len(self.known) + len(ids) + len(parts) > self.capacity:
-            ids |= {p: self.parts[p] for ps in parts.values() for p in ps if p not in ids}
-            self.parts.clear()
-            self.known.clear()
-        self.parts.update(ids)
-        new = {c: b"".join([self.parts[p] for p in ps]) for c, ps in parts.items()}
+        new.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(other, coded))
+        for c, ps in cut.items():
+            if len(ps) > 1:
+                new[c] = b"".join([new[p] for p in ps])
         for k in gaps:
             found[k] = new[chunks[k]]
+        if len(self.known) + len(new) > self.capacity:
+            self.aged, self.known = self.known, {}
         self.known.update(new)
 
 
