@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,19 +47,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        # Workers live on between tasks; Arrow would keep what it has freed.
+        pa.default_memory_pool().release_unused()
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``size`` bytes of text; one longer text stays whole."""
     for batch in batches:
-        lengths = batch.column(text).cast(pa.large_binary())
         total, begin = 0, 0
-        import pyarrow.compute as pc
-
-        for i, n in enumerate(pc.fill_null(pc.binary_length(lengths), 0).to_pylist()):
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
             if total and total + n > size:
                 yield batch.slice(begin, i - begin)
                 total, begin = 0, i
             total += n
         if begin < batch.num_rows:
             yield batch.slice(begin)
+        pa.default_memory_pool().release_unused()
