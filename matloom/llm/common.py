@@ -42,6 +42,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Bytes of an Arrow batch; texts are long, and a batch exists several times on its way.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Keep the Arrow batches of a session small where it leaves the default."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_SETTING).rstrip("b")) >= 64 << 20:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few texts are unpacked at once."""
     for batch in batches:

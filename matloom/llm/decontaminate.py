@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matloom.llm.common import documents, in_blocks
+from matloom.llm.common import bound_batches, documents, in_blocks
 from matloom.llm.registry import query
 
 SHINGLE = 5
@@ -225,6 +225,7 @@ def _search(docs: DataFrame, bench: Benchmark) -> DataFrame:
             names = ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
+    bound_batches(docs)
     return docs.select("doc_id", "text").mapInArrow(work, RESULT)
 
 

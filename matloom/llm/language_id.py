@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matloom.llm.common import documents, in_blocks
+from matloom.llm.common import bound_batches, documents, in_blocks
 from matloom.llm.registry import query
 
 PROFILE = 300
@@ -102,6 +102,7 @@ def learn(training: DataFrame, profile: int = PROFILE, max_languages: int = MAX_
                 ["lang", "gram", "n"],
             )
 
+    bound_batches(training)
     labelled = training.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     counts = labelled.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -158,6 +159,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], p
             columns = [batch.column(c) for c in judged]
             yield pa.RecordBatch.from_arrays([*columns, langs, pa.array(score)], [*judged, "lang_pred", "score"])
 
+    bound_batches(docs)
     rows = docs.select(*judged, F.col("text").alias("_text"))
     return rows.mapInArrow(tag, copy(rows.drop("_text").schema).add("lang_pred", "string").add("score", "double"))
 

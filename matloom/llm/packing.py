@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matloom.functions.scan import rank_within
-from matloom.llm.common import documents, in_blocks
+from matloom.llm.common import bound_batches, documents, in_blocks
 from matloom.llm.registry import query
 from matloom.llm.tokens import END_ID, tokenizer
 from matloom.runtime import Workspace
@@ -87,6 +87,7 @@ def pieces(docs: DataFrame, window: int, shortest: int, path: str | None) -> Dat
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
+    bound_batches(docs)
     return docs.select("doc_id", "text").mapInArrow(split, f"{PIECE}, cut_crc array<long>")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matloom.llm.common import documents, slices
+from matloom.llm.common import bound_batches, documents, slices
 from matloom.llm.registry import query
 from matloom.model import Graph
 from matloom.operators.graph import components
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, keep: list[str], name: str = "fp", shingle: in
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), "<u8", batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(prints.view("<i8"))], [*keep, name])
 
+    bound_batches(docs)
     rows = docs.select(*keep, F.col("text").alias("_text"))
     return rows.mapInArrow(work, copy(rows.drop("_text").schema).add(name, "long"))
 

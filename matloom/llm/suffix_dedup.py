@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matloom.llm.anchors import BASES, BLOCK, WINDOW, Hashes, runs
-from matloom.llm.common import documents, in_blocks
+from matloom.llm.common import bound_batches, documents, in_blocks
 from matloom.llm.merge_sort import merge, pack_run, read_run
 from matloom.llm.registry import query
 from matloom.runtime import Workspace
@@ -71,6 +71,7 @@ def find_items(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(anchor), pa.array(keys[owner]), pa.array((lo - begins[owner] + shift).astype("i4")), pa.array(n.astype("i4"))]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "d", "lo", "n"])
 
+    bound_batches(docs)
     return docs.select("d", "body").mapInArrow(work, "anchor long, d long, lo int, n int")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matloom.llm.common import documents, in_blocks, words_of
+from matloom.llm.common import bound_batches, documents, in_blocks, words_of
 from matloom.llm.registry import query
 from matloom.llm.tokens import tokenizer
 from matloom.runtime import Workspace
@@ -117,7 +117,8 @@ def count_vocabulary(docs: DataFrame, version: str = "word_bpe_49k", vocabulary:
             columns = [batch.column(c) for c in ("doc_id", "source", "lang")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokens"])
 
-    counted = docs.select("doc_id", "text", "source", "lang").select("doc_id", "source", "lang", "text").mapInArrow(
+    bound_batches(docs)
+    counted = docs.select("doc_id", "source", "lang", "text").mapInArrow(
         count, "doc_id long, source string, lang string, tokens long"
     )
     return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "tokens")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matloom.llm.common import documents, in_blocks
+from matloom.llm.common import bound_batches, documents, in_blocks
 from matloom.llm.registry import query
 from matloom.llm.tokens import END_ID, tokenizer
 from matloom.runtime import Workspace
@@ -60,6 +60,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None) -> No
             )
             before += int(ends[-1])
 
+    bound_batches(docs)
     ascending = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     (
         ascending.mapInArrow(encode, ROW)
