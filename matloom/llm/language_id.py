@@ -139,14 +139,14 @@ def _judge(texts: list[str], names: list[str], known: np.ndarray, ranks: np.ndar
     return np.where(size > 0, best, -1), np.where(size > 0, score, 0.0)
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], profile: int = PROFILE) -> DataFrame:
-    """Columns ``keep`` of every row with ``lang_pred`` and ``score`` of its text."""
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], profile: int = PROFILE, named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of every row, its text's language and score, as ``named``."""
     names = sorted(profiles)
     known = np.unique(np.concatenate([profiles[x] for x in names])) if names else np.empty(0, np.int64)
     ranks = np.full((len(names), len(known)), profile, np.int64)
     for k, x in enumerate(names):
         ranks[k, np.searchsorted(known, profiles[x])] = np.arange(len(profiles[x]))
-    judged = [c for c in keep if c not in ("lang_pred", "score", "_text")]
+    judged = [c for c in keep if c not in (*named, "_text")]
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_blocks(batches, text="_text", size=BLOCK_CHARS):
@@ -157,11 +157,11 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], p
                 best, score = np.full(len(texts), -1), np.zeros(len(texts))
             langs = pa.array([names[b] if b >= 0 else UNKNOWN for b in best])
             columns = [batch.column(c) for c in judged]
-            yield pa.RecordBatch.from_arrays([*columns, langs, pa.array(score)], [*judged, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, langs, pa.array(score)], [*judged, *named])
 
     bound_batches(docs)
     rows = docs.select(*judged, F.col("text").alias("_text"))
-    return rows.mapInArrow(tag, copy(rows.drop("_text").schema).add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(tag, copy(rows.drop("_text").schema).add(named[0], "string").add(named[1], "double"))
 
 
 def held_out() -> Column:
@@ -179,8 +179,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def reject_unknown(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Documents whose language is known, with their own columns."""
     profiles = learn(docs.where(~held_out()))
-    judged = predict(docs, profiles, docs.columns)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    judged = predict(docs, profiles, docs.columns, named=("_lang", "_score"))
+    return judged.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score)).select(*docs.columns)
 
 
 @query("op5_language_id")

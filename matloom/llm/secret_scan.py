@@ -5,14 +5,14 @@ characters whose transitions fit a model of random strings better than a model
 of ordinary identifiers: the log-likelihood ratio of two first-order Markov
 chains over ASCII characters, summed over the run.  The models are trained on
 labelled strings: words of at most ``LABELLED`` labelled good documents, and
-strings drawn by a hash function from the ids of the same documents.
+``RANDOM`` strings of each of three forms drawn by a hash function.
 
 Positions are code points.  A pattern's matches are located by splitting the
 text at them: the pieces before a match and the matches themselves add up to
 its start.
 
 Defined results: a null text is empty and has no spans; repeated rows are
-scanned one by one; without labelled documents the identifier model is uniform
+scanned one by one; without labelled words there is no identifier model
 and no span is added; an empty table gives an empty result; other columns are
 ignored (the scan) or kept as they are (masking).
 """
@@ -39,6 +39,8 @@ MIN_VALUE = 6
 KINDS = ("assign", "access", "hex", "markov")
 #: Most labelled documents that train the models.
 LABELLED = 5_000
+#: Numbers from which random strings are drawn by a hash function.
+RANDOM = 4_096
 ALPHABET = 128
 SMOOTHING = 0.5
 #: Log-likelihood ratio, in all and per transition, of a span that is added.
@@ -104,9 +106,9 @@ def labelled_strings(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -
     sample = good.orderBy(F.xxhash64("_good"), "_good").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_good"), "left_semi")
     plain = rows.select(F.explode(words_of(F.col("text"))).alias("string"), F.lit(0).alias("random")).where(r"string RLIKE '^[A-Za-z_-]+$'")
-    digest = F.sha2(F.concat(F.lit("sample:"), F.col("_good").cast("string")), 512)
+    digest = F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 512)
     forms = F.array(digest, F.base64(F.unhex(digest)), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)))
-    drawn = sample.select(F.explode(forms).alias("string"), F.lit(1).alias("random"))
+    drawn = docs.sparkSession.range(RANDOM).select(F.explode(forms).alias("string"), F.lit(1).alias("random"))
     return plain.unionByName(drawn)
 
 
@@ -119,6 +121,8 @@ def learn_ratio(strings: DataFrame, smoothing: float = SMOOTHING) -> list[float]
     seen = [[smoothing] * ALPHABET**2, [smoothing] * ALPHABET**2]
     for r in counts.collect():
         seen[r["random"]][r["pair"]] += r["n"]
+    if sum(seen[0]) == smoothing * ALPHABET**2:
+        return [0.0] * ALPHABET**2
     logs = []
     for n in seen:
         rows = [sum(n[a * ALPHABET : (a + 1) * ALPHABET]) for a in range(ALPHABET)]
