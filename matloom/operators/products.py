@@ -79,7 +79,7 @@ def sparse_dense(a: SparseMatrix, b: DenseMatrix, trans_a: bool = False) -> Dens
 
 
 def _fill(a: SparseMatrix, sums: DataFrame, nrows: int, ncols: int) -> DenseMatrix:
-    grid = index(a.spark, nrows).withColumn("j", F.explode(F.expr(f"sequence(0L, {ncols - 1}L)")))
+    grid = index(a.spark, nrows).withColumn("j", F.explode(F.expr(f"slice(sequence(0L, {max(ncols - 1, 0)}L), 1, {ncols})")))
     df = grid.join(sums, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
     return DenseMatrix(df, nrows, ncols)
 

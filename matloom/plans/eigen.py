@@ -13,12 +13,18 @@ from matloom.operators.products import matvec
 from matloom.plans.krylov import Operator, orthogonal_step
 from matloom.plans.solvers import DirectSolver
 from matloom.runtime import Workspace
+from matloom.sources.generators import _unit
 
 # Defaults of the eigenvalue iterations.
 NEV, MAX_ITERS, NCV, TOL = 1, 1000, 20, 1e-4
+DEPENDENT = 1e-12  # share of a column outside the span of those before it, below which it is replaced
 EXHAUSTED = 1e-10  # remaining norm, against the projected matrix, that ends a basis
 
 
+class NotConverged(ArithmeticError):
+    """An iteration ended before its answer met the tolerance."""
+
+
 @dataclass(frozen=True)
 class EigenPair:
     value: float
@@ -77,12 +83,16 @@ def lanczos(
     tol: float = TOL,
     mass: Vector | None = None,
     shift: float | None = None,
+    max_iters: int = MAX_ITERS,
+    partial: bool = False,
 ) -> list[EigenPair]:
     """Extremal eigenpairs of a symmetric matrix, optionally against a diagonal
     ``mass``, by Lanczos with full re-orthogonalisation.
 
     ``shift`` switches to (A − shift·B)⁻¹ and returns the eigenvalues nearest
-    to it.  The basis is an array column; only the small projected matrix and
+    to it.  The basis grows to ``ncv`` vectors, and on until the wanted pairs
+    meet ``tol``; pairs that do not within ``max_iters`` steps are an error
+    unless ``partial`` asks for them.  The basis is an array column; only the small projected matrix and
     the wanted coefficients reach the driver.
     """
     import numpy as np
@@ -103,8 +113,17 @@ def lanczos(
         inverse = DirectSolver(ws, SparseMatrix(moved, a.nrows, a.ncols, positive_definite=a.positive_definite and shift <= 0))
     begun = ws.save(start.df, vv=F.sum(F.col("v") * F.col("v")))
     rows = begun.df.select("i", F.array(F.col("v") / math.sqrt(begun.stats["vv"])).alias("V"))
-    steps = min(ncv, a.nrows)
-    t = np.zeros((steps, steps))
+    steps = min(max(ncv, max_iters), a.nrows)
+    t = np.zeros((0, 0))
+
+    def wanted(theta):
+        order = np.argsort(-abs(theta)) if shift is not None else np.argsort(-theta if which == "L" else theta)
+        return order[:nev]
+
+    def all_close():
+        theta, s = np.linalg.eigh(t)
+        return all(abs(last * s[-1, k]) <= tol * max(1.0, abs(theta[k])) for k in wanted(theta))
+
     at, used, last = None, 0, 0.0
     for m in range(steps):
         used = m + 1
@@ -117,17 +136,17 @@ def lanczos(
         done = at
         at, h, last, clean = orthogonal_step(ws, joined, m + 1)
         ws.discard(done)
+        t = np.pad(t, (0, 1))
         t[: m + 1, m] = h
         t[m, : m + 1] = h
         rows = at.df.drop("w")
-        if last <= EXHAUSTED * abs(t).max() or used == steps:
+        if last <= EXHAUSTED * abs(t).max() or used == steps or (used >= ncv and all_close()):
             break
         rows = at.df.withColumn("V", F.concat("V", F.array(clean / last))).drop("w")
-    theta, s = np.linalg.eigh(t[:used, :used])
+    theta, s = np.linalg.eigh(t)
     ritz = theta if shift is None else shift + 1.0 / theta
-    near = np.argsort(-abs(theta)) if shift is not None else np.argsort(-theta if which == "L" else theta)
     pairs = []
-    for k in near[:nev]:
+    for k in wanted(theta):
         parts = F.lit(0.0)
         for m in range(used):
             parts = parts + F.lit(float(s[m, k])) * F.col("V")[m]
@@ -136,6 +155,8 @@ def lanczos(
             x = x.join(root.df, "i").select("i", (F.col("v") / F.col("d")).alias("v"))
         error = abs(last * s[used - 1, k])
         pairs.append(EigenPair(float(ritz[k]), Vector(x, start.n), used, bool(error <= tol * max(1.0, abs(theta[k])))))
+    if not partial and not all(p.converged for p in pairs):
+        raise NotConverged(f"{sum(not p.converged for p in pairs)} of {len(pairs)} eigenpairs after {used} steps")
     return pairs
 
 
@@ -155,13 +176,29 @@ def orthonormalize(ws: Workspace, a: DenseMatrix, fan_in: int = 64) -> DenseMatr
 
     Row blocks are reduced to small triangles with a Householder QR, triangles
     are stacked ``fan_in`` at a time until one is left, and Q = A·R⁻¹ is formed
-    by rows.  A second pass restores full orthogonality.  No task ever holds
-    more than one Arrow batch or ``fan_in`` triangles of ncols².
+    by rows.  A second pass restores full orthogonality.  A column that depends
+    on those before it is replaced by pseudo-random numbers first, so the basis
+    is complete for any rank; that needs at least as many rows as columns.  No
+    task ever holds more than one Arrow batch or ``fan_in`` triangles of ncols².
     """
+    import numpy as np
+
     n = a.ncols
     cells = a.df.select("i", F.struct("j", "v").alias("c"))
     packed = cells.groupBy("i").agg(F.array_sort(F.collect_list("c")).alias("c"))
     rows = ws.save(packed.select("i", F.transform("c", lambda c: c["v"]).alias("row"))).df
+    r = _triangle(ws, rows, n, fan_in)
+    for attempt in range(n + 1):
+        size = np.linalg.norm(r, axis=0)
+        gone = np.flatnonzero(abs(np.diag(r)) <= DEPENDENT * size)
+        if not len(gone):
+            break
+        if a.nrows < n:
+            raise ValueError(f"{n} orthonormal columns need as many rows, not {a.nrows}")
+        # One more random column each time that chance leaves it dependent.
+        drawn = F.array(*[_unit(attempt, F.col("i"), F.lit(int(k))) - 0.5 if k in gone else F.lit(None).cast("double") for k in range(n)])
+        rows = ws.save(rows.select("i", F.zip_with(drawn, "row", lambda new, old: F.coalesce(new, old)).alias("row"))).df
+        r = _triangle(ws, rows, n, fan_in)
     for _ in range(2):
         rows = ws.save(_times_inverse(rows, _triangle(ws, rows, n, fan_in))).df
     out = rows.select("i", F.posexplode("row").alias("j", "v"))

@@ -28,6 +28,11 @@ BREAKDOWN = 1e-16
 REORTHOGONALIZE_BELOW = 0.5  # share of ‖w‖² that must survive one pass
 
 
+class NotPositiveDefinite(ArithmeticError):
+    """Conjugate gradients met a direction that shows an indefinite matrix."""
+
+
+
 @dataclass(frozen=True)
 class Solution:
     x: Vector
@@ -125,6 +130,8 @@ def pcg(
             )
             ws.discard(previous)
             previous, s = at, at.stats
+            if not s["pq"] > 0:
+                raise NotPositiveDefinite(f"step {used}: p·A·p = {s['pq']}")
             alpha = (s["wrr"] if by_row else rz) / s["pq"]
             res = math.sqrt(max(s["rr"] - 2 * alpha * s["rq"] + alpha * alpha * s["qq"], 0.0))
             new_x = F.col("x") + F.lit(alpha) * F.col("p")

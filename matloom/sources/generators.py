@@ -15,8 +15,10 @@ def scaled_identity(spark: SparkSession, n: int, value: float = 1.0) -> SparseMa
     return SparseMatrix(df, n, n)
 
 
-def random_pattern(rows: DataFrame, ncols: int, per_row: int, seed: int) -> SparseMatrix:
-    """Exactly ``per_row`` distinct columns for each ``(i)`` of ``rows``, values 0."""
+def random_pattern(rows: DataFrame, ncols: int, per_row: int, seed: int, nrows: int | None = None) -> SparseMatrix:
+    """Exactly ``per_row`` distinct columns for each ``(i)`` of ``rows``, values 0.
+
+    The matrix is square unless ``nrows`` is given."""
 
     def draw(batches):
         import numpy as np
@@ -34,7 +36,7 @@ def random_pattern(rows: DataFrame, ncols: int, per_row: int, seed: int) -> Spar
     if per_row > ncols:
         raise ValueError("more entries per row than columns")
     df = rows.select("i").mapInPandas(draw, "i long, j long, v double")
-    return SparseMatrix(df, ncols, ncols)
+    return SparseMatrix(df, ncols if nrows is None else nrows, ncols)
 
 
 def _unit(seed: int, *columns: str):

@@ -15,24 +15,27 @@ SYMMETRIES = ("general", "symmetric", "skew-symmetric")
 def read_matrix_market(
     spark: SparkSession, path: str, base: int | str = 1, duplicates: str = "sum"
 ) -> SparseMatrix:
-    """Read one file as zero-based entries; lines are parsed where they lie.
+    """Read a file, or a folder of parts, as zero-based entries; lines are parsed
+    where they lie.
 
     ``base`` is 1 by the format, 0 for files counted from zero, or "auto": one
     based exactly when the largest index equals the dimension.  ``duplicates``:
     "sum", "keep" or "error".
     """
     lines = spark.read.text(path).select(
-        F.trim("value").alias("line"), F.col("_metadata.file_block_start").alias("start")
+        F.btrim("value", F.lit(" \t\r")).alias("line"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_path").alias("file"),
     )
-    # The banner and the size line sit at the head of the file's first block.
-    head = lines.where("start = 0")
-    banner = head.where("line LIKE '%%MatrixMarket%'").select("line").first()
+    # The banner and the size line sit at the head of one file's first block.
+    banner = lines.where("start = 0 AND line LIKE '%%MatrixMarket%'").select("line", "file").first()
     if banner is None:
         raise ValueError(f"{path}: no MatrixMarket banner")
     _, kind, layout, field, symmetry = banner["line"].lower().split()[:5]
     if (kind, layout) != ("matrix", "coordinate") or field not in FIELDS or symmetry not in SYMMETRIES:
         raise ValueError(f"{path}: unsupported header {banner['line']!r}")
 
+    head = lines.where((F.col("start") == 0) & (F.col("file") == banner["file"]))
     data = "line <> '' AND NOT startswith(line, '%')"
     size_line = head.where(data).select("line").first()["line"]
     nrows, ncols, _ = (int(t) for t in size_line.split())
