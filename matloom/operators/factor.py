@@ -1,8 +1,11 @@
 """Numeric incomplete and complete factorisations by pivot level.
 
-Pivots that do not touch each other are eliminated in one job.  Their updates
-are summed before they are written, filed under the level that will read them,
-so every stored value and every update is handled once.
+Pivots that do not touch each other are eliminated in one job.  The updates of
+a pattern are worked out once: only products whose target is stored, found as
+triangles of the pattern, each edge expanded from its lighter end.  A hub that
+is eliminated early therefore sends as many updates as it has triangles, not all
+pairs of its neighbours.  Updates are summed before they are written and filed
+under the level that reads them.
 """
 
 from __future__ import annotations
@@ -37,60 +40,93 @@ class Factor:
     shift: float = 0.0
 
 
-def _eliminate(ws: Workspace, a: DataFrame, cells: DataFrame, n: int, kind: str) -> DataFrame:
-    """Factor the entries ``a`` on the pattern ``cells``; both are ``(i, j, …)``."""
-    after = cells.where("i <> j").select(F.greatest("i", "j").alias("id"), F.least("i", "j").alias("on"))
-    levels, depth = level_schedule(ws, after, ws.spark.range(n))
-    levels = ws.save(levels)
-    row_level = levels.df.select(F.col("id").alias("i"), F.col("level").alias("li"))
-    col_level = levels.df.select(F.col("id").alias("j"), F.col("level").alias("lj"))
-    owner_level = F.when(F.col("i") <= F.col("j"), F.col("li")).otherwise(F.col("lj"))
-    base = (
-        cells.select("i", "j").join(a.select("i", "j", "v"), ["i", "j"], "left")
-        .join(row_level, "i").join(col_level, "j")
-        .select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"), "li", "lj", owner_level.alias("level"))
-    )
-    base = ws.save(base, partition_by="level").df
-    updates_path = ws.new_path("updates")
-    schema = "i long, j long, s double, level int"
-    log = RoundLog(ws, "i long, j long, v double, li int, lj int, p double")
-    for level in range(depth):
-        here = base.where(F.col("level") == level).drop("level")
-        if level:
-            due = ws.spark.read.schema(schema).parquet(updates_path).where(F.col("level") == level)
-            due = due.groupBy("i", "j").agg(F.sum("s").alias("s"))
-            here = here.join(due, ["i", "j"], "left").withColumn("v", F.col("v") - F.coalesce("s", F.lit(0.0))).drop("s")
-        pivots = here.where("i = j").select(F.col("i").alias("o"), F.col("v").alias("p"))
-        rows = here.withColumn("o", F.least("i", "j")).join(pivots, "o", "left")
-        if kind == "chol":
-            value = F.when(F.col("i") == F.col("j"), F.sqrt(F.greatest("p", F.lit(0.0)))).otherwise(
-                F.col("v") / F.sqrt(F.when(F.col("p") > 0, F.col("p")))
-            )
-            bad = F.count_if(F.col("p").isNull() | (F.col("p") <= 0) | F.isnan("p"))
+def triangles(edges: DataFrame) -> DataFrame:
+    """``(q, a, b)``, q < a < b, for all triangles of ``(a, b)`` edges, a < b.
+
+    Every edge points from its end of lower degree to the other, so no vertex
+    has more than about √(2·edges) heads, and pairs of heads are few.
+    """
+    ends = edges.select(F.col("a").alias("id")).unionAll(edges.select("b"))
+    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    weighed = edges.join(degree.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
+    weighed = weighed.join(degree.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    light = F.col("na") <= F.col("nb")
+    arcs = weighed.select(F.when(light, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(light, F.col("b")).otherwise(F.col("a")).alias("w"))
+    wedges = arcs.withColumnRenamed("w", "a").join(arcs.withColumnRenamed("w", "b"), "u").where("a < b")
+    closed = wedges.join(edges, ["a", "b"], "left_semi")
+    q, b = F.least("u", "a"), F.greatest("u", "b")
+    return closed.select(q.alias("q"), (F.col("u") + F.col("a") + F.col("b") - q - b).alias("a"), b.alias("b"))
+
+
+class Elimination:
+    """The schedule and the updates of one pattern ``(i, j)``, for any values.
+
+    An update ``(q, x, y)`` takes the product of pivot q's cells towards x and y
+    from cell (x, y).
+    """
+
+    def __init__(self, ws: Workspace, cells: DataFrame, n: int, kind: str):
+        self.ws, self.kind = ws, kind
+        stored = ws.save(cells.select("i", "j")).df
+        edges = stored.where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+        edges = ws.save(edges).df
+        levels, self.depth = level_schedule(ws, edges.select(F.col("b").alias("id"), F.col("a").alias("on")), ws.spark.range(n))
+        levels = ws.save(levels).df
+        owner = levels.withColumnRenamed("id", "o")
+        self.cells = ws.save(stored.withColumn("o", F.least("i", "j")).join(owner, "o").select("i", "j", "level")).df
+        found = triangles(edges)
+        off = found.select("q", F.col("a").alias("x"), F.col("b").alias("y"))
+        if kind == "lu":
+            found = ws.save(found).df
+            both = found.select("q", F.col("a").alias("x"), F.col("b").alias("y")).unionAll(found.select("q", "b", "a"))
+            off = both.join(stored.toDF("x", "y"), ["x", "y"], "left_semi").select("q", "x", "y")
+        own = edges.select(F.col("a").alias("q"), F.col("b").alias("x"), F.col("b").alias("y"))
+        reader = owner.withColumnRenamed("level", "level_to")
+        filed = off.unionAll(own).withColumn("o", F.least("x", "y")).join(reader, "o").drop("o")
+        filed = filed.join(levels.select(F.col("id").alias("q"), "level"), "q")
+        self.updates = ws.save(filed, partition_by="level", rows=F.count(F.lit(1)))
+
+    def run(self, a: DataFrame) -> DataFrame:
+        """Factor the entries ``a`` ``(i, j, v)``; cells without one start at zero."""
+        ws, kind = self.ws, self.kind
+        base = self.cells.join(a.select("i", "j", "v"), ["i", "j"], "left")
+        base = ws.save(base.select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"), "level"), partition_by="level").path
+        sent, log = ws.new_path("updates"), RoundLog(ws, "i long, j long, v double, p double")
+        for level in range(self.depth):
+            here = ws.part(base, "i long, j long, v double", "level", level)
+            if level:
+                due = ws.part(sent, "i long, j long, s double", "level", level)
+                due = due.groupBy("i", "j").agg(F.sum("s").alias("s"))
+                here = here.join(due, ["i", "j"], "left").select("i", "j", (F.col("v") - F.coalesce("s", F.lit(0.0))).alias("v"))
+            pivots = here.where("i = j").select(F.col("i").alias("o"), F.col("v").alias("p"))
+            rows = here.withColumn("o", F.least("i", "j")).join(pivots, "o", "left")
+            if kind == "chol":
+                value = F.when(F.col("i") == F.col("j"), F.sqrt(F.greatest("p", F.lit(0.0)))).otherwise(
+                    F.col("v") / F.sqrt(F.when(F.col("p") > 0, F.col("p")))
+                )
+                bad = F.count_if(F.col("p").isNull() | (F.col("p") <= 0) | F.isnan("p"))
+            else:
+                value = F.when(F.col("i") > F.col("j"), F.col("v") / F.when(F.col("p") != 0, F.col("p"))).otherwise(F.col("v"))
+                bad = F.count_if(F.col("p").isNull() | (F.col("p") == 0) | F.isnan("p"))
+            done = log.append(rows.select("i", "j", value.alias("v"), "p"), bad=bad)
+            if done.stats["bad"]:
+                raise PivotError(f"{done.stats['bad']} entries at level {level} have no usable pivot")
+            if level + 1 < self.depth:
+                ws.file(self._products(done.df, level), sent, "level")
+        return log.all().select("i", "j", "v")
+
+    def _products(self, done: DataFrame, level: int) -> DataFrame:
+        """The updates of one level's pivots, summed per target cell."""
+        right = done.where("i < j").select(F.col("i").alias("q"), F.col("j").alias("y"), F.col("v").alias("vy"))
+        if self.kind == "chol":
+            left = right.withColumnsRenamed({"y": "x", "vy": "vx"})
         else:
-            value = F.when(F.col("i") > F.col("j"), F.col("v") / F.when(F.col("p") != 0, F.col("p"))).otherwise(F.col("v"))
-            bad = F.count_if(F.col("p").isNull() | (F.col("p") == 0) | F.isnan("p"))
-        done = log.append(rows.select("i", "j", value.alias("v"), "li", "lj", "p"), bad=bad)
-        if done.stats["bad"]:
-            raise PivotError(f"{done.stats['bad']} entries at level {level} have no usable pivot")
-        if level + 1 < depth:
-            _push_updates(done.df, kind).hint("rebalance", "level").write.mode("append").partitionBy("level").parquet(updates_path)
-    return log.all().select("i", "j", "v")
-
-
-def _push_updates(done: DataFrame, kind: str) -> DataFrame:
-    """Products of each pivot's column and row, summed per target cell."""
-    upper = done.where("i < j").select(F.col("i").alias("q"), F.col("j").alias("b"), F.col("v").alias("vb"), F.col("lj").alias("lb"))
-    if kind == "chol":
-        left = done.where("i < j").select(F.col("i").alias("q"), F.col("j").alias("a"), F.col("v").alias("va"), F.col("lj").alias("la"))
-        pairs = left.join(upper, "q").where("a <= b")
-    else:
-        left = done.where("i > j").select(F.col("j").alias("q"), F.col("i").alias("a"), F.col("v").alias("va"), F.col("li").alias("la"))
-        pairs = left.join(upper, "q")
-    level = F.when(F.col("a") <= F.col("b"), F.col("la")).otherwise(F.col("lb"))
-    return pairs.groupBy(F.col("a").alias("i"), F.col("b").alias("j"), level.alias("level")).agg(
-        F.sum(F.col("va") * F.col("vb")).alias("s")
-    )
+            left = done.where("i > j").select(F.col("j").alias("q"), F.col("i").alias("x"), F.col("v").alias("vx"))
+        listed = self.ws.part(self.updates.path, "q long, x long, y long, level_to int", "level", level)
+        met = listed.join(left, ["q", "x"]).join(right, ["q", "y"])
+        return met.groupBy(F.col("x").alias("i"), F.col("y").alias("j"), F.col("level_to").alias("level")).agg(
+            F.sum(F.col("vx") * F.col("vy")).alias("s")
+        )
 
 
 def _upper(a: SparseMatrix) -> DataFrame:
@@ -101,11 +137,20 @@ def _on_diagonal(a: DataFrame, value) -> DataFrame:
     return a.withColumn("v", F.when(F.col("i") == F.col("j"), value).otherwise(F.col("v")))
 
 
-def _shifted(ws, a: SparseMatrix, attempt, shift_mode: str, restarts: int) -> Factor:
-    """Try without a shift, then with growing ones until the pivots hold."""
-    upper = _upper(a)
+def _shifted(
+    ws, a: SparseMatrix, attempt, shift_mode: str, restarts: int, omega: float = 0.0, first_shift: float = FIRST_SHIFT
+) -> Factor:
+    """Try without a shift, then with growing ones until the pivots hold.
+
+    The diagonal is scaled by 1 + ``omega`` before any shift.
+    """
+    if shift_mode not in ("add", "mul"):
+        raise ValueError(f"unknown shift mode {shift_mode!r}")
+    upper = _on_diagonal(_upper(a), F.col("v") * (1.0 + omega))
     low = upper.where("i = j").agg(F.min("v").alias("m")).first()["m"]
-    shift = 0.0 if low is not None and low > 0 else FIRST_SHIFT - (low or 0.0)
+    # A factor on the diagonal cannot lift a value that is not positive.
+    lift = shift_mode == "add" and not (low is not None and low > 0)
+    shift = first_shift - (low or 0.0) if lift else 0.0
     for _ in range(restarts + 1):
         v = F.col("v")
         moved = v * (1.0 + shift) if shift_mode == "mul" else v + F.lit(shift)
@@ -113,16 +158,22 @@ def _shifted(ws, a: SparseMatrix, attempt, shift_mode: str, restarts: int) -> Fa
             u = attempt(_on_diagonal(upper, moved))
             return Factor(SparseMatrix(u, a.nrows, a.ncols, "upper"), "chol", shift)
         except PivotError:
-            shift = max(FIRST_SHIFT, 2.0 * shift)
+            shift = max(first_shift, 2.0 * shift)
     raise PivotError(f"no positive pivots after {restarts} restarts")
 
 
 def incomplete_cholesky(
-    ws: Workspace, a: SparseMatrix, k: int = 0, shift_mode: str = "add", restarts: int = MAX_RESTARTS
+    ws: Workspace, a: SparseMatrix, k: int = 0, shift_mode: str = "add", restarts: int = MAX_RESTARTS,
+    omega: float = 0.0, first_shift: float = FIRST_SHIFT,
 ) -> Factor:
-    """IC(k) of a symmetric matrix; only its upper triangle is read."""
-    cells = fill.ic_pattern(ws, _upper(a), k)
-    return _shifted(ws, a, lambda e: _eliminate(ws, e, cells, a.nrows, "chol"), shift_mode, restarts)
+    """IC(k) of a symmetric matrix; only its upper triangle is read.
+
+    Pivots that fail are met by a growing ``shift_mode`` shift of the diagonal
+    ("add" or "mul") that begins with ``first_shift``; ``omega`` scales the
+    diagonal by 1 + omega from the start.
+    """
+    plan = Elimination(ws, fill.ic_pattern(ws, _upper(a), k), a.nrows, "chol")
+    return _shifted(ws, a, plan.run, shift_mode, restarts, omega, first_shift)
 
 
 def incomplete_lu(ws: Workspace, a: SparseMatrix, k: int = 0, repair: tuple[float, float] | None = None) -> Factor:
@@ -138,12 +189,12 @@ def incomplete_lu(ws: Workspace, a: SparseMatrix, k: int = 0, repair: tuple[floa
         )
         entries = entries.where("i <> j").unionByName(fixed)
     cells = fill.ilu_pattern(ws, entries, k)
-    return Factor(SparseMatrix(_eliminate(ws, entries, cells, a.nrows, "lu"), a.nrows, a.ncols), "lu")
+    return Factor(SparseMatrix(Elimination(ws, cells, a.nrows, "lu").run(entries), a.nrows, a.ncols), "lu")
 
 
 def complete_cholesky(ws: Workspace, a: SparseMatrix) -> Factor:
     cells = fill.complete_pattern(ws, _upper(a), ws.spark.range(a.nrows))
-    u = _eliminate(ws, _upper(a), cells, a.nrows, "chol")
+    u = Elimination(ws, cells, a.nrows, "chol").run(_upper(a))
     return Factor(SparseMatrix(u, a.nrows, a.ncols, "upper"), "chol")
 
 
@@ -153,7 +204,7 @@ def complete_lu(ws: Workspace, a: SparseMatrix) -> Factor:
     ids = ws.spark.range(a.nrows)
     upper = fill.complete_pattern(ws, both.union(ids.select("id", F.col("id"))), ids)
     cells = upper.union(upper.where("i < j").select("j", "i"))
-    return Factor(SparseMatrix(_eliminate(ws, a.entries(), cells, a.nrows, "lu"), a.nrows, a.ncols), "lu")
+    return Factor(SparseMatrix(Elimination(ws, cells, a.nrows, "lu").run(a.entries()), a.nrows, a.ncols), "lu")
 
 
 # -- factorisations that choose their pattern while they run -----------------
@@ -252,19 +303,19 @@ def incomplete_lu_threshold(ws: Workspace, a: SparseMatrix, tau: float = 1e-6, m
 
 
 class FactorSolve:
-    """z = (factor)⁻¹ r, analysed once."""
+    """z = (factor)⁻¹ r, analysed once; ``by`` as in ``TriangularSolve``."""
 
-    def __init__(self, ws: Workspace, f: Factor):
+    def __init__(self, ws: Workspace, f: Factor, by: str = "levels"):
         m = f.matrix
         stored = ws.save(m.df).df
         diag = Vector(ws.save(stored.where("i = j").select("i", "v")).df, m.nrows)
         whole = m.with_entries(stored, structure="general")
         if f.kind == "chol":
             flipped = stored.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-            self.forward = TriangularSolve(ws, m.with_entries(flipped, structure="lower"), "lower", diag)
+            self.forward = TriangularSolve(ws, m.with_entries(flipped, structure="lower"), "lower", diag, by)
         else:
-            self.forward = TriangularSolve(ws, whole, "lower")
-        self.backward = TriangularSolve(ws, whole, "upper", diag)
+            self.forward = TriangularSolve(ws, whole, "lower", by=by)
+        self.backward = TriangularSolve(ws, whole, "upper", diag, by)
 
     def __call__(self, r: Vector) -> Vector:
         return self.backward.apply(self.forward.apply(r))

@@ -43,16 +43,22 @@ class Traversal:
         return self.reached.where(F.col("level") == self.height - 1).select("id")
 
 
-def traverse(ws: Workspace, arcs: Pinned, seeds: DataFrame, cap: int | None = None) -> Traversal:
+def traverse(ws: Workspace, arcs: Pinned, seeds: DataFrame, cap: int | None = None, symmetric: bool = False) -> Traversal:
     """Breadth-first levels from ``seeds`` ``(slot, id)``; slots are independent
-    searches that advance together.  A level of ``cap`` vertices stops the run."""
+    searches that advance together.  A level of ``cap`` vertices stops the run.
+
+    Where every arc has its reverse (``symmetric``), a neighbour lies at most one
+    level away, so new vertices are told from the last two levels alone; that
+    holds for several seeds of one slot as well.
+    """
     log = RoundLog(ws, "slot long, id long")
     sizes = [log.append(seeds.select("slot", "id")).rows]
     complete = cap is None or sizes[0] < cap
     while complete:
         frontier = log.last.df.withColumnRenamed("id", "src")
         touched = arcs.join(frontier, log.last).select("slot", F.col("dst").alias("id")).distinct()
-        fresh = log.append(touched.join(log.all(), ["slot", "id"], "left_anti")).rows
+        known = log.recent(2) if symmetric else log.all()
+        fresh = log.append(touched.join(known, ["slot", "id"], "left_anti")).rows
         if not fresh:
             break
         sizes.append(fresh)
@@ -63,7 +69,14 @@ def traverse(ws: Workspace, arcs: Pinned, seeds: DataFrame, cap: int | None = No
 
 def bfs(ws: Workspace, g: Graph, source: int, cap: int | None = None) -> Traversal:
     seeds = ws.spark.range(source, source + 1).select(F.lit(0).cast("bigint").alias("slot"), "id")
-    return traverse(ws, pin_edges(ws, g.edges), seeds, cap)
+    arcs = pin_edges(ws, g.edges)
+    return traverse(ws, arcs, seeds, cap, symmetric=is_symmetric(arcs.df))
+
+
+def is_symmetric(arcs: DataFrame) -> bool:
+    """Whether each arc of distinct ``(src, dst)`` has its reverse."""
+    ends = arcs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n <> 2").isEmpty()
 
 
 def bfs_levels(ws: Workspace, g: Graph, source: int, cap: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matloom.functions.scan import dense_position, order_key
 from matloom.model import Graph, Permutation
-from matloom.operators.graph import components, pin_edges, traverse
+from matloom.operators.graph import components, is_symmetric, pin_edges, traverse
 from matloom.runtime import Pinned, RoundLog, Workspace
 
 SHORTLIST = 5  # candidates of the last level that are tried per round
@@ -62,21 +62,22 @@ def _judge(tried: DataFrame) -> DataFrame:
     return walked.select("comp", "source", "height0", "width0", F.aggregate("steps", start, step).alias("r"))
 
 
-def pseudo_diameter(ws: Workspace, arcs: Pinned, comp: DataFrame, degrees: DataFrame) -> DataFrame:
-    """``(comp, source, target, diameter)``; the diameter counts levels."""
+def pseudo_diameter(ws: Workspace, arcs: Pinned, comp: DataFrame, degrees: DataFrame, symmetric: bool = False) -> DataFrame:
+    """``(comp, source, target, diameter)``; the diameter counts levels.
+    ``symmetric`` as in ``traverse``."""
     known = ws.save(comp.join(degrees, "id").select("comp", "id", "deg")).df
     first = known.groupBy("comp").agg(F.min(F.struct("deg", "id")).alias("m"))
     active = ws.save(first.select("comp", F.col("m.id").alias("source")))
     done = RoundLog(ws, "comp long, source long, target long, diameter long")
     while active.rows:
         seeds = active.df.select(F.col("comp").alias("slot"), F.col("source").alias("id"))
-        out = traverse(ws, arcs, seeds).reached
+        out = traverse(ws, arcs, seeds, symmetric=symmetric).reached
         span = ws.save(_spans(out).select(F.col("slot").alias("comp"), F.col("height").alias("height0"), F.col("width").alias("width0"))).df
         last = out.select(F.col("slot").alias("comp"), "id", "level").join(span, "comp").where("level = height0 - 1")
         last = last.select("comp", "id").join(known.select("id", "deg"), "id")
         tried = ws.save(_shortlist(ws, arcs, last)).df
         slot = F.col("comp") * SHORTLIST + F.col("k")
-        back = traverse(ws, arcs, tried.select(slot.alias("slot"), "id")).reached
+        back = traverse(ws, arcs, tried.select(slot.alias("slot"), "id"), symmetric=symmetric).reached
         judged = _judge(
             tried.withColumn("slot", slot).join(_spans(back), "slot")
             .join(span, "comp").join(active.df, "comp")
@@ -100,7 +101,8 @@ def pseudo_diameter(ws: Workspace, arcs: Pinned, comp: DataFrame, degrees: DataF
 
 def graph_pseudo_diameter(ws: Workspace, g: Graph) -> DataFrame:
     comp = components(ws, g)
-    return pseudo_diameter(ws, pin_edges(ws, g.edges), comp, vertex_degrees(g))
+    arcs = pin_edges(ws, g.edges)
+    return pseudo_diameter(ws, arcs, comp, vertex_degrees(g), is_symmetric(arcs.df))
 
 
 def reverse_cuthill_mckee(ws: Workspace, g: Graph) -> Permutation:
@@ -109,10 +111,11 @@ def reverse_cuthill_mckee(ws: Workspace, g: Graph) -> Permutation:
     comp = components(ws, g)
     degrees = ws.save(vertex_degrees(g)).df
     arcs = pin_edges(ws, g.edges)
+    symmetric = is_symmetric(arcs.df)
     sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     sized = ws.save(comp.join(sizes, "comp").select("id", "comp", "size")).df
     large = sized.where("size > 2").select("id", "comp")
-    seeds = pseudo_diameter(ws, arcs, large, degrees).select(
+    seeds = pseudo_diameter(ws, arcs, large, degrees, symmetric).select(
         F.col("source").alias("id"), F.lit(0).cast("bigint").alias("key")
     )
     log = RoundLog(ws, "id long, key long")
@@ -120,7 +123,9 @@ def reverse_cuthill_mckee(ws: Workspace, g: Graph) -> Permutation:
     while fresh:
         placed = log.last.df.select(F.col("id").alias("src"), "key")
         children = arcs.join(placed, log.last).groupBy(F.col("dst").alias("id")).agg(F.min("key").alias("first"))
-        new = children.join(log.all(), "id", "left_anti").join(degrees, "id")
+        # With reverse arcs a child placed before lies in the last two levels.
+        before = log.recent(2) if symmetric else log.all()
+        new = children.join(before, "id", "left_anti").join(degrees, "id")
         keyed = order_key(new, [F.col("first"), F.col("deg"), F.col("id")], "key")
         fresh = log.append(keyed.select("id", "key")).rows
     rows = log.all().join(large, "id").select("id", "comp", F.col("round").alias("level"), "key")

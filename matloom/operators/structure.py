@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matloom.functions.scan import running_sum
+from matloom.functions.scan import dense_position, running_sum
 from matloom.model import DenseMatrix, Permutation, SparseMatrix, Vector, index
 from matloom.runtime import Workspace
 
@@ -118,6 +118,27 @@ def _pointer(ws: Workspace, counts: DataFrame, ids: DataFrame, base: int) -> Dat
     return total.select("i", (F.col("ptr") + base).alias("ptr"))
 
 
+def to_csr(ws: Workspace, a: SparseMatrix, base: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Row pointers ``(i, ptr)`` and row-major ``(pos, j, v)``, counted from ``base``."""
+    placed = dense_position(ws, a.df, [F.col("i"), F.col("j")], "pos")
+    return row_pointer(ws, a, base), placed.select((F.col("pos") + base).alias("pos"), (F.col("j") + base).alias("j"), "v")
+
+
+def from_csr(ws: Workspace, ptr: DataFrame, body: DataFrame, nrows: int, ncols: int, base: int = 0) -> SparseMatrix:
+    """The matrix of row pointers ``(i, ptr)``, i = 0..nrows, and ``(pos, j, v)``.
+
+    An entry's row is the number of later rows that begin at or before it.
+    """
+    none = F.lit(None)
+    begins = ptr.where("i >= 1").select(
+        F.col("ptr").alias("pos"), F.lit(0).alias("kind"), "i", none.cast("long").alias("j"), none.cast("double").alias("v"),
+        F.lit(1).cast("long").alias("step"),
+    )
+    entries = body.select("pos", F.lit(1), F.lit(0).cast("long"), F.col("j") - base, "v", F.lit(0).cast("long"))
+    counted = running_sum(ws, begins.union(entries), [F.col("pos"), F.col("kind"), F.col("i")], "step", "row")
+    return SparseMatrix(counted.where("kind = 1").select(F.col("row").alias("i"), "j", "v"), nrows, ncols)
+
+
 def shift_base(a: SparseMatrix, base: int) -> DataFrame:
     """Entries with indices counted from ``base``, for export."""
     return a.df.select((F.col("i") + base).alias("i"), (F.col("j") + base).alias("j"), "v")

@@ -14,17 +14,22 @@ class TriangularSolve:
     """Analyse one triangle once, solve for many right-hand sides.
 
     ``side`` picks the strict triangle of ``a``; ``diag`` is None for a unit
-    diagonal.  ``a`` may hold the other triangle too; it is ignored.
+    diagonal.  ``a`` may hold the other triangle too; it is ignored.  ``by``
+    chooses what ``apply`` does: "levels" for one pass over the triangle in as
+    many rounds as it has levels, "sweeps" for few jobs that each read the whole
+    triangle, which suits shallow ones.
     """
 
     CHAIN = 6  # sweeps planned as one job
 
-    def __init__(self, ws: Workspace, a: SparseMatrix, side: str, diag: Vector | None = None):
-        self.ws, self.n, self.df = ws, a.nrows, side
+    def __init__(self, ws: Workspace, a: SparseMatrix, side: str, diag: Vector | None = None, by: str = "levels"):
+        if by not in ("levels", "sweeps"):
+            raise ValueError(f"unknown way of solving {by!r}")
+        self.ws, self.n, self.by = ws, a.nrows, by
         strict = a.df.where("j < i" if side == "lower" else "j > i")
         self.diag = None if diag is None else diag.df.withColumnRenamed("v", "d")
         self.levels, self.depth = level_schedule(ws, triangle_needs(strict, side), ws.spark.range(self.n))
-        self._strict, self._by_level, self._by_column = strict, None, None
+        self._strict, self._filed, self._by_column = strict, None, None
 
     def _start(self, b: Vector) -> DataFrame:
         rows = b.df.select("i", F.col("v").alias("b"))
@@ -33,28 +38,31 @@ class TriangularSolve:
         return rows.join(self.diag, "i")
 
     def solve(self, b: Vector) -> Vector:
-        """Level by level: each stored entry is read once in the whole solve."""
-        if self._by_level is None:
-            level_of_row = self.levels.select(F.col("id").alias("i"), "level")
-            self._by_level = self.ws.save(self._strict.join(level_of_row, "i"), partition_by="level").df
-        start = self._start(b).join(self.levels.select(F.col("id").alias("i"), "level"), "i")
-        start = self.ws.save(start, partition_by="level").df
-        log = RoundLog(self.ws, "i long, v double")
+        """Level by level: a solved level sends its products to the rows that
+        wait for them, filed under the level that will read them.  Every entry,
+        row and product is written once and read once."""
+        row_level = self.levels.select(F.col("id").alias("i"), "level")
+        if self._filed is None:
+            col_level = self.levels.select(F.col("id").alias("j"), F.col("level").alias("at"))
+            filed = self._strict.select("i", "j", "v").join(row_level, "i").join(col_level, "j")
+            self._filed = self.ws.save(filed, partition_by="at").path
+        start = self.ws.save(self._start(b).join(row_level, "i"), partition_by="level").path
+        sent, log = self.ws.new_path("sent"), RoundLog(self.ws, "i long, v double")
         for level in range(self.depth):
-            rows = start.where(F.col("level") == level)
-            value = F.col("b") / F.col("d")
+            rows = self.ws.part(start, "i long, b double, d double", "level", level)
             if level:
-                here = self._by_level.where(F.col("level") == level)
-                solved = log.all().select(F.col("i").alias("j"), F.col("v").alias("x"))
-                sums = here.join(solved, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
-                rows = rows.join(sums, "i", "left")
-                value = (F.col("b") - F.coalesce("s", F.lit(0.0))) / F.col("d")
-            log.append(rows.select("i", value.alias("v")))
+                due = self.ws.part(sent, "i long, s double", "level", level).groupBy("i").agg(F.sum("s").alias("s"))
+                rows = rows.join(due, "i", "left").withColumn("b", F.col("b") - F.coalesce("s", F.lit(0.0)))
+            done = log.append(rows.select("i", (F.col("b") / F.col("d")).alias("v"))).df
+            if level + 1 < self.depth:
+                solved = done.select(F.col("i").alias("j"), F.col("v").alias("x"))
+                here = self.ws.part(self._filed, "i long, j long, v double, level int", "at", level).join(solved, "j")
+                self.ws.file(here.groupBy("i", "level").agg(F.sum(F.col("v") * F.col("x")).alias("s")), sent, "level")
         return Vector(log.all().select("i", "v"), self.n)
 
     def sweep(self, b: Vector) -> Vector:
         """x ← D⁻¹(b − N·x), repeated depth − 1 times, which is exact because N
-        is nilpotent.  Few jobs; the better choice for shallow schedules."""
+        is nilpotent."""
         if self._by_column is None:
             self._by_column = Pinned(self.ws, self._strict.select("i", "j", "v"), "j")
         start = self.ws.save(self._start(b)).df
@@ -69,7 +77,7 @@ class TriangularSolve:
         return Vector(x, self.n)
 
     def apply(self, b: Vector) -> Vector:
-        return self.sweep(b) if self.depth <= 4 * self.CHAIN else self.solve(b)
+        return self.solve(b) if self.by == "levels" else self.sweep(b)
 
 
 def forward_substitution(ws: Workspace, lower: SparseMatrix, b: Vector) -> Vector:

@@ -1,4 +1,8 @@
-"""Direct solves and the registry of named solvers."""
+"""Direct solves and the registry of named solvers.
+
+Preconditioners of named solvers apply their factors by sweeps, as incomplete
+factors are mostly shallow; ``by="levels"`` asks for the level schedule.
+"""
 
 from __future__ import annotations
 
@@ -54,8 +58,8 @@ def names() -> list[str]:
 
 
 def _cg(prepare=None) -> Factory:
-    def build(ws: Workspace, a: SparseMatrix, rel_tol: float = 1e-8, abs_tol: float = 0.0, max_iters: int = 1000, **knobs):
-        apply = None if prepare is None else factor.FactorSolve(ws, prepare(ws, a, **knobs))
+    def build(ws: Workspace, a: SparseMatrix, rel_tol: float = 1e-8, abs_tol: float = 0.0, max_iters: int = 1000, by: str = "sweeps", **knobs):
+        apply = None if prepare is None else factor.FactorSolve(ws, prepare(ws, a, **knobs), by)
         return lambda b: pcg(ws, a, b, apply, rel_tol=rel_tol, abs_tol=abs_tol, max_iters=max_iters)
 
     return build
@@ -64,9 +68,9 @@ def _cg(prepare=None) -> Factory:
 def _gmres(prepare=None) -> Factory:
     def build(
         ws: Workspace, a: SparseMatrix, rel_tol: float = 1e-12, abs_tol: float = 1e-15,
-        restart: int = 0, max_iters: int = 1000, **knobs,
+        restart: int = 0, max_iters: int = 1000, by: str = "sweeps", **knobs,
     ):
-        apply = None if prepare is None else factor.FactorSolve(ws, prepare(ws, a, **knobs))
+        apply = None if prepare is None else factor.FactorSolve(ws, prepare(ws, a, **knobs), by)
         return lambda b: fgmres(
             ws, a, b, right=apply, restart=restart, rel_tol=rel_tol, abs_tol=abs_tol, max_iters=max_iters
         )

@@ -91,12 +91,29 @@ class Workspace:
             stats = dict(seen.get)
         return Saved(self.spark.read.schema(schema).parquet(path), path, stats)
 
+    def part(self, path: str, schema: str, key: str, value: int) -> DataFrame:
+        """One ``key=value`` folder of a partitioned table, without listing the
+        others; empty when nothing was filed there."""
+        folder, fs = self._located(f"{path}/{key}={value}")
+        if not fs.exists(folder):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{path}/{key}={value}")
+
+    def file(self, df: DataFrame, path: str, key: str) -> None:
+        """Append rows to the ``key=…`` folders that later rounds read alone."""
+        writer = df.hint("rebalance", key).write.mode("append")
+        writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy(key).parquet(path)
+
     def discard(self, *gone: Saved | None) -> None:
         """Delete tables that a newer round has replaced."""
         for saved in gone:
             if saved is not None:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(saved.path)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                folder, fs = self._located(saved.path)
+                fs.delete(folder, True)
+
+    def _located(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
 
 class RoundLog:
@@ -114,6 +131,12 @@ class RoundLog:
         self.rounds += 1
         return self.last
 
+    def recent(self, rounds: int) -> DataFrame:
+        """Rows of the last ``rounds`` rounds; no other folder is listed."""
+        first = max(0, self.rounds - rounds)
+        paths = [f"{self.path}/round={r}" for r in range(first, self.rounds)]
+        return self.ws.spark.read.schema(self.schema).parquet(*paths)
+
     def all(self) -> DataFrame:
         """Every row so far with the ``round`` that added it."""
         return self.ws.spark.read.schema(f"{self.schema}, round int").parquet(self.path)

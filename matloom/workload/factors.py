@@ -151,6 +151,47 @@ def ic1_product(spark, sf):
     return _product_on_pattern(k, factor.incomplete_cholesky(Workspace(spark), k, 1))
 
 
+_DIAGONAL = with_(STIFF) + "SELECT i, j, CASE WHEN i = j THEN {} ELSE v END AS v FROM k"
+
+
+@query("ic0_omega", _DIAGONAL.format("1.5 * v"))
+def ic0_omega(spark, sf):
+    """With omega 0.5 the factor stands for K with its diagonal times 1.5."""
+    k = src.stiffness(spark, sf)
+    return _product_on_pattern(k, factor.incomplete_cholesky(Workspace(spark), k, 0, omega=0.5))
+
+
+def _lowered(k):
+    """K with its diagonal cut to a tenth: pivots fail until a shift lifts them."""
+    v = F.when(F.col("i") == F.col("j"), 0.1 * F.col("v")).otherwise(F.col("v"))
+    return k.with_entries(k.df.withColumn("v", v))
+
+
+def _shift_query(mode: str, first: float):
+    def run(spark, sf):
+        k = src.stiffness(spark, sf)
+        f = factor.incomplete_cholesky(Workspace(spark), _lowered(k), 0, shift_mode=mode, first_shift=first)
+        d = 0.1 * F.col("k.v")
+        moved = d * (1 + f.shift) if mode == "mul" else d + F.lit(f.shift)
+        got = factor.factor_product(f).alias("f").join(k.df.alias("k"), ["i", "j"])
+        want = F.when(F.col("i") == F.col("j"), moved).otherwise(F.col("k.v"))
+        return got.select("i", "j", (F.abs(F.col("f.v") - want) < 1e-6).alias("agrees"))
+
+    return run
+
+
+_AGREES = with_(STIFF) + "SELECT i, j, true AS agrees FROM k"
+query("ic0_shift_add", _AGREES)(_shift_query("add", 0.5))
+query("ic0_shift_mul", _AGREES)(_shift_query("mul", 2.0))
+
+
+@query("ilu0_repair", _DIAGONAL.format("CASE WHEN v < 3 THEN 3 ELSE v END"))
+def ilu0_repair(spark, sf):
+    """Diagonals below 3 are replaced by 3 before the elimination."""
+    k = src.stiffness(spark, sf)
+    return _product_on_pattern(k, factor.incomplete_lu(Workspace(spark), k, 0, repair=(3.0, 3.0)))
+
+
 @query("ilu0_product", _K)
 def ilu0_product(spark, sf):
     k = src.stiffness(spark, sf)
