@@ -30,10 +30,10 @@ def write_svg(a: SparseMatrix, path: str) -> None:
     """A folder of text parts; their concatenation in name order is one SVG."""
     spark = a.spark
     opening = f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {a.ncols} {a.nrows}">'
-    first = spark.range(1).select(F.lit(0).alias("_o"), F.lit(opening).alias("line"))
-    last = spark.range(1).select(F.lit(2).alias("_o"), F.lit("</svg>").alias("line"))
-    rows = first.union(svg_rects(a).select(F.lit(1), "line")).union(last)
-    rows.repartitionByRange("_o").sortWithinPartitions("_o").select("line").write.text(path)
+    first = spark.range(1).select(F.lit(opening).alias("line"))
+    last = spark.range(1).select(F.lit("</svg>").alias("line"))
+    # A union keeps its sides' partitions in order; entries stay in their own parts.
+    first.union(svg_rects(a)).union(last).write.text(path)
 
 
 def write_matrix(a: SparseMatrix, path: str) -> None:
@@ -70,7 +70,7 @@ def matrix_market_lines(a: SparseMatrix, nnz: int) -> DataFrame:
     spark = a.spark
     kind = "symmetric" if a.structure == "sym_upper" else "general"
     head = f"%%MatrixMarket matrix coordinate real {kind}"
-    rows = spark.createDataFrame([(0, head), (1, f"{a.nrows} {a.ncols} {nnz}")], "o int, line string")
+    rows = spark.createDataFrame([(0, head), (1, f"{a.nrows} {a.ncols} {nnz}")], "o int, line string").coalesce(1)
     # The format stores the lower half of a symmetric matrix.
     i, j = ("j", "i") if a.structure == "sym_upper" else ("i", "j")
     body = a.df.select(
@@ -81,6 +81,9 @@ def matrix_market_lines(a: SparseMatrix, nnz: int) -> DataFrame:
 
 
 def write_matrix_market(a: SparseMatrix, path: str) -> None:
-    """Text parts in order; their concatenation is one file."""
-    lines = matrix_market_lines(a, a.df.count())
-    lines.orderBy("o").select("line").write.text(path)
+    """Text parts whose concatenation in name order is one file.  The head is the
+    first part; entries stay in the parts of their input."""
+    stored = Workspace(a.spark).save(a.df, rows=F.count(F.lit(1)))
+    lines = matrix_market_lines(a.with_entries(stored.df), stored.rows)
+    # A union keeps its sides' partitions in order, the head before all entries.
+    lines.select("line").write.text(path)

@@ -408,15 +408,17 @@ def random_permutation(spark, sf):
 
 _FLAGS = """
 r AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
-n AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2)
+n AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem
+      WHERE l_returnflag IS DISTINCT FROM 'R' GROUP BY 1, 2)
 """
 
 
 @query("sparse_sum", with_(_FLAGS) + """
 SELECT i, j, sum(v) AS v FROM (SELECT i, j, -1 * v AS v FROM r UNION ALL SELECT i, j, v FROM n) GROUP BY 1, 2""")
 def sparse_sum(spark, sf):
-    returned = src.supply_matrix(spark, sf, "l_returnflag = 'R'")
-    kept = src.supply_matrix(spark, sf, "l_returnflag = 'N'")
+    """What was kept minus what was returned; every line is in one of the two."""
+    returned = src.supply_matrix(spark, sf, "l_returnflag <=> 'R'")
+    kept = src.supply_matrix(spark, sf, "NOT l_returnflag <=> 'R'")
     return sums.add(returned, kept, -1.0).df
 
 
@@ -470,15 +472,14 @@ def aat_counts(spark, sf):
     return sums.union_pattern_counts(_one_sided(spark, sf))
 
 
-@query("merge_levels", with_(SUPPLY) + """
-SELECT j AS col, min(level) AS level FROM (
-  SELECT j, l_linenumber AS level FROM (SELECT l_partkey AS j, l_linenumber FROM lineitem WHERE l_returnflag = 'R')
-  UNION ALL
-  SELECT l_partkey AS j, l_linenumber + 1 FROM lineitem WHERE l_returnflag = 'A') GROUP BY 1""")
+@query("merge_levels", """
+SELECT l_partkey AS col, CAST(min(l_linenumber + CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS INTEGER) AS level
+FROM lineitem GROUP BY 1""")
 def merge_levels(spark, sf):
     lines = src.table(spark, sf, "lineitem")
-    one = lines.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("col"), F.col("l_linenumber").alias("level"))
-    two = lines.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("col"), (F.col("l_linenumber") + 1).alias("level"))
+    level = F.col("l_linenumber").cast("int")
+    one = lines.where("l_returnflag <=> 'R'").select(F.col("l_partkey").alias("col"), level.alias("level"))
+    two = lines.where("NOT l_returnflag <=> 'R'").select(F.col("l_partkey").alias("col"), (level + 1).alias("level"))
     return sums.merge_levels(one, two, ["col"])
 
 
