@@ -168,8 +168,9 @@ class Benchmark:
             # Starts of windows that hold `need` known shingles.
             first, last = here[: len(here) - need + 1], here[need - 1 :]
             lows, highs = np.maximum(last - size + 1, 0), np.minimum(first, len(s) - size)
-            starts = sorted({x for a, b in zip(lows.tolist(), highs.tolist()) for x in range(a, b + 1)})
-            for at in starts:
+            fits = lows <= highs
+            change = np.bincount(lows[fits], minlength=len(s) - size + 2) - np.bincount(highs[fits] + 1, minlength=len(s) - size + 2)
+            for at in np.flatnonzero(np.cumsum(change)).tolist():
                 window = s[at : at + size]
                 candidates = self.index[n].near(simhash(window))
                 if candidates:

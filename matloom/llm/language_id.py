@@ -66,25 +66,40 @@ def _symbols(text: str) -> np.ndarray:
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams of each text: (text number, packed n-gram, count)."""
-    pieces, owner = [], []
-    for k, text in enumerate(texts):
+    pieces = []
+    for text in texts:
         s = _symbols(" " + text.lower() + " ")
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != _BLANK) | (s[:-1] != _BLANK)
         pieces.append(s[keep])
-        owner.append(np.full(len(pieces[-1]), k, np.uint64))
-    s, doc = np.concatenate(pieces).astype(np.uint64), np.concatenate(owner) << np.uint64(_GRAM_BITS)
-    first, blank = s[:-2], np.uint64(_BLANK)
-    mid, last = s[1:-1], s[2:]
-    inside = doc[:-2] == doc[2:]
-    one = doc[s != blank] | s[s != blank]
-    pair = (doc[:-1] == doc[1:]) & ((s[:-1] != blank) | (s[1:] != blank))
-    two = (doc[:-1] | s[:-1] << np.uint64(16) | s[1:])[pair]
-    three = (doc[:-2] | first << np.uint64(32) | mid << np.uint64(16) | last)[inside & (mid != blank)]
-    keys, counts = np.unique(np.concatenate([one, two, three]), return_counts=True)
+    symbols, ends = np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    # Blocks of starts: what is held grows with the distinct n-grams, not with the text.
+    for i in range(0, len(symbols), BLOCK_CHARS):
+        found = _starts(symbols[i : i + BLOCK_CHARS + 2], i, ends)
+        fresh, n = np.unique(found, return_counts=True)
+        if len(keys):
+            fresh, where = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
+        keys, counts = fresh, n
     return (keys >> np.uint64(_GRAM_BITS)).astype(np.int64), (keys & np.uint64((1 << _GRAM_BITS) - 1)).astype(np.int64), counts
 
 
+def _starts(part: np.ndarray, at: int, ends: np.ndarray) -> np.ndarray:
+    """Packed (text, n-gram) of all n-grams that start at the first ``BLOCK_CHARS`` symbols.
+
+    ``at`` is the place of the part in all symbols, ``ends`` where each text ends.
+    """
+    s, blank = part.astype(np.uint64), np.uint64(_BLANK)
+    doc = np.searchsorted(ends, np.arange(at, at + len(s)), "right").astype(np.uint64) << np.uint64(_GRAM_BITS)
+    one = (doc | s)[:BLOCK_CHARS][s[:BLOCK_CHARS] != blank]
+    pair = (doc[:-1] == doc[1:]) & ((s[:-1] != blank) | (s[1:] != blank))
+    two = (doc[:-1] | s[:-1] << np.uint64(16) | s[1:])[:BLOCK_CHARS][pair[:BLOCK_CHARS]]
+    inside = (doc[:-2] == doc[2:]) & (s[1:-1] != blank)
+    three = (doc[:-2] | s[:-2] << np.uint64(32) | s[1:-1] << np.uint64(16) | s[2:])[inside]
+    return np.concatenate([one, two, three])
+
+
 def learn(training: DataFrame, profile: int = PROFILE, max_languages: int = MAX_LANGUAGES) -> dict[str, np.ndarray]:
     """Ranked n-grams per language from ``(text, lang)``, over all its rows."""
 

@@ -428,3 +428,12 @@ def test_blocks_keep_all_rows():
 
     batch = pa.RecordBatch.from_arrays([pa.array(list(range(50))), pa.array(["x" * (i % 13) for i in range(49)] + [None])], ["i", "text"])
     assert [i for b in in_blocks(iter([batch]), size=20) for i in b.column("i").to_pylist()] == list(range(50))
+
+
+def test_language_grams_do_not_depend_on_blocks(monkeypatch):
+    texts = ["", "a", "ab cd é", "世界, zZ \U0001F600\U00010400 x" * 5, "   ", "q" * 40]
+    whole = language_id._grams(texts)
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(language_id, "BLOCK_CHARS", size)
+        for a, b in zip(whole, language_id._grams(texts)):
+            assert (a == b).all()
