@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matloom.model import DenseMatrix, SparseMatrix, Vector
 from matloom.operators.products import matvec
-from matloom.plans.krylov import Operator, orthogonal_step
+from matloom.plans.krylov import NotConverged, Operator, orthogonal_step
 from matloom.plans.solvers import DirectSolver
 from matloom.runtime import Workspace
 from matloom.sources.generators import _unit
@@ -21,10 +21,6 @@ DEPENDENT = 1e-12  # share of a column outside the span of those before it, belo
 EXHAUSTED = 1e-10  # remaining norm, against the projected matrix, that ends a basis
 
 
-class NotConverged(ArithmeticError):
-    """An iteration ended before its answer met the tolerance."""
-
-
 @dataclass(frozen=True)
 class EigenPair:
     value: float

@@ -32,6 +32,9 @@ class NotPositiveDefinite(ArithmeticError):
     """Conjugate gradients met a direction that shows an indefinite matrix."""
 
 
+class NotConverged(ArithmeticError):
+    """An iteration used up its steps before it met its tolerance."""
+
 
 @dataclass(frozen=True)
 class Solution:
@@ -40,6 +43,12 @@ class Solution:
     converged: bool
     residual: float
 
+    def checked(self) -> Vector:
+        """The solution; an error when the tolerance was not met."""
+        if not self.converged:
+            raise NotConverged(f"residual {self.residual:.3g} after {self.iterations} steps")
+        return self.x
+
 
 class Operator:
     """A matrix laid out for repeated products."""

@@ -10,7 +10,7 @@ from matloom.operators.ordering import reverse_cuthill_mckee
 from matloom.operators.products import diagonal_times_vector, matmul
 from matloom.operators.stats import row_scaling
 from matloom.operators.structure import permute, permute_vector, scale_two_sided, threshold_columns
-from matloom.plans.krylov import Solution
+from matloom.plans.krylov import NotConverged, Solution
 from matloom.plans.solvers import create
 from matloom.runtime import Pinned, Workspace
 
@@ -32,7 +32,7 @@ def reorder_scale_solve(
     rhs = diagonal_times_vector(d, permute_vector(b, order))
     rhs = Vector(ws.save(rhs.df).df, b.n)
     y = create(solver, ws, scaled, **knobs)(rhs)
-    y = y.x if isinstance(y, Solution) else y
+    y = y.checked() if isinstance(y, Solution) else y
     return permute_vector(diagonal_times_vector(d, y), order.inverse())
 
 
@@ -47,7 +47,8 @@ def shifted_solves(
 ) -> DataFrame:
     """Solve (f·M + K)·x = G·e_p for all frequencies and ports at once.
 
-    All systems advance together: rows are ``(sys, i)`` with sys = p·|f| + f's
+    Raises :class:`NotConverged` when a system misses its tolerance, as one whose
+    matrix is not positive definite does.  All systems advance together: rows are ``(sys, i)`` with sys = p·|f| + f's
     position, the matrix pair is stored once, and each system has its own step
     lengths in a table with one row per system.
     """
@@ -95,6 +96,9 @@ def shifted_solves(
         state = at.df.join(steps, "sys").select(
             "sys", "f", "i", (F.col("x") + a * p).alias("x"), new_r.alias("r"), (new_r + F.col("beta") * p).alias("p")
         )
+    else:
+        late = at.df.groupBy("sys").agg(F.sum(r * r).alias("rr")).where(F.col("rr") > share).count()
+        raise NotConverged(f"{late} of {count} systems after {max_iters} steps")
     return at.df.select("sys", "f", "i", F.col("x").alias("v"))
 
 

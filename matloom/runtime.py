@@ -59,8 +59,27 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/matloom-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
         self._next = 0
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Drop all bucketed tables and delete the folder.
+
+        Frames read from this workspace cannot be evaluated afterwards: write a
+        result that is to stay to a place of its own first.
+        """
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables.clear()
+        folder, fs = self._located(self.root)
+        fs.delete(folder, True)
+
     def new_path(self, label: str = "t") -> str:
         self._next += 1
         return f"{self.root}/{label}-{self._next:05d}"
@@ -158,7 +177,9 @@ class Pinned:
         self.ws, self.key, self.hubs, self.table = ws, key, None, None
         plain = ws.save(df, rows=F.count(F.lit(1)))
         self.rows = plain.rows
-        buckets = self.rows // (bucket_rows or self.BUCKET_ROWS)
+        # Beyond Spark's limit the buckets grow instead of their number.
+        most = int(ws.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        buckets = min(self.rows // (bucket_rows or self.BUCKET_ROWS), most)
         self.df = plain.df
         if buckets < 2:
             return
@@ -177,6 +198,7 @@ class Pinned:
             .drop("pieces")
         )
         self.table = f"matloom_{uuid.uuid4().hex}"
+        ws.tables.append(self.table)
         (
             salted.repartition(buckets, key, "salt")
             .write.bucketBy(buckets, key, "salt")

@@ -19,11 +19,12 @@ verts AS (SELECT s_suppkey AS id FROM supplier UNION ALL SELECT p_partkey + m FR
 """
 
 _WALK = "WITH RECURSIVE " + _SUPPLY_GRAPH + """
-walk AS (
-  SELECT CAST(0 AS BIGINT) AS id, 0 AS level
+found(id, level) USING KEY (id) AS (
+  SELECT CAST(0 AS BIGINT), 0
   UNION
-  SELECT dst, level + 1 FROM walk JOIN sarcs ON src = id WHERE level < 5),
-found AS (SELECT id, min(level) AS level FROM walk GROUP BY 1)
+  SELECT dst, min(w.level) + 1
+  FROM found w JOIN sarcs ON src = w.id LEFT JOIN recurring.found old ON old.id = dst
+  WHERE old.id IS NULL GROUP BY dst)
 """
 
 

@@ -27,7 +27,7 @@ def _named(name: str, **knobs):
     def run(spark, sf):
         ws, k, b = Workspace(spark), src.stiffness(spark, sf), src.customer_load(spark, sf)
         got = solvers.create(name, ws, k, **knobs)(b)
-        return _applied_back(k, got.x if isinstance(got, krylov.Solution) else got)
+        return _applied_back(k, got.checked() if isinstance(got, krylov.Solution) else got)
 
     return run
 
@@ -46,7 +46,7 @@ query("direct_solve", _B)(_named("direct"))
 @query("pcg_jacobi", _B)
 def pcg_jacobi(spark, sf):
     ws, k, b = Workspace(spark), src.stiffness(spark, sf), src.customer_load(spark, sf)
-    return _applied_back(k, krylov.pcg(ws, k, b, "jacobi", rel_tol=1e-8).x)
+    return _applied_back(k, krylov.pcg(ws, k, b, "jacobi", rel_tol=1e-8).checked())
 
 
 @query("direct_lu", with_(LOAD) + "SELECT i, v FROM b")
@@ -63,7 +63,7 @@ def gmres_unsymmetric(spark, sf):
     ws, k, b = Workspace(spark), src.stiffness(spark, sf), src.customer_load(spark, sf)
     v = F.when(F.col("j") < F.col("i"), 0.5 * F.col("v")).otherwise(F.col("v"))
     a = SparseMatrix(k.df.withColumn("v", v), k.nrows, k.ncols)
-    return _applied_back(a, krylov.fgmres(ws, a, b, restart=8, rel_tol=1e-8).x)
+    return _applied_back(a, krylov.fgmres(ws, a, b, restart=8, rel_tol=1e-8).checked())
 
 
 _JACOBI = with_(STIFF, LOAD) + """,

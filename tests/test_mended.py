@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from conftest import dense, matrix, vector
 
-from matloom import DenseMatrix
-from matloom.plans import eigen, krylov
+from matloom import DenseMatrix, Workspace
+from matloom.plans import eigen, krylov, pipelines
+from matloom.runtime import Pinned
 from matloom.sources.generators import random_pattern
 from matloom.sources.matrix_market import read_matrix_market
 
@@ -52,3 +53,38 @@ def test_indefinite_matrix_is_refused(spark, ws):
     a = matrix(spark, [[1.0, 0.0], [0.0, -3.0]])
     with pytest.raises(krylov.NotPositiveDefinite):
         krylov.pcg(ws, a, vector(spark, [1.0, 1.0]))
+
+
+def test_unconverged_answers_are_errors(spark, ws):
+    a = matrix(spark, [[4, 1, 0], [1, 3, 1], [0, 1, 2]], positive_definite=True)
+    short = krylov.pcg(ws, a, vector(spark, [1, 2, 3]), max_iters=1)
+    with pytest.raises(krylov.NotConverged):
+        short.checked()
+    port = matrix(spark, [[1], [2], [3]])
+    eye = matrix(spark, np.eye(3).tolist())
+    with pytest.raises(krylov.NotConverged, match="1 of 2"):
+        # Shifted by -10 the first system is negative definite and never moves.
+        pipelines.shifted_solves(ws, a, eye, port, [-10.0, 1.0], max_iters=8)
+
+
+def test_closed_workspace_leaves_no_table_or_folder(spark, tmp_path):
+    with Workspace(spark) as ws:
+        cells = spark.range(100).selectExpr("id AS i", "id % 3 AS j", "1.0D AS v")
+        pinned = Pinned(ws, cells, "j", bucket_rows=10)
+        assert pinned.table in [t.name for t in spark.catalog.listTables()]
+        assert pinned.df.count() == 100
+        ws.save(cells).df.write.parquet(str(tmp_path / "kept"))
+        folder, fs = ws._located(ws.root)
+        assert fs.exists(folder)
+    assert not fs.exists(folder)
+    assert pinned.table not in [t.name for t in spark.catalog.listTables()]
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 100
+
+
+def test_bucket_count_stays_within_the_limit(spark, ws):
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "4")
+    try:
+        pinned = Pinned(ws, spark.range(100).selectExpr("id % 7 AS j", "id AS i"), "j", bucket_rows=2)
+        assert pinned.df.count() == pinned.join(spark.range(7).withColumnRenamed("id", "j")).count() == 100
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
