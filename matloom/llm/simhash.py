@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matloom.llm import similar_texts
 from matloom.llm.common import bound_batches, documents, slices
 from matloom.llm.registry import query
 from matloom.model import Graph
@@ -112,22 +113,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the smallest id."""
+def keep_one(docs: DataFrame, shingle: int = similar_texts.SHINGLE, least: float = similar_texts.LEAST) -> DataFrame:
+    """One row of each group of near-duplicates, the one with the smallest id.
+
+    Near-duplicates are texts whose shingle sets have a Jaccard similarity of
+    ``least``; the radius of op3's fingerprints would miss most of them.
+    """
     ws = Workspace(docs.sparkSession)
-    rows = ws.save(fingerprints(docs, ["doc_id"])).df
-    counted = ws.save(rows.groupBy("fp", "doc_id").agg(F.count(F.lit(1)).alias("n"))).df
-    grouped = group_prints(ws, counted.select("fp").distinct())
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")
-    kept = counted.join(grouped, "fp").groupBy("group").agg(F.min(order).alias("k")).select("k.fp", "k.doc_id", "k.n")
-    kept = ws.save(kept.select(F.col("fp").alias("_fp"), F.col("doc_id").alias("_doc"), F.col("n").alias("_n"))).df
-    tagged = fingerprints(docs, docs.columns, "_print")
-    chosen = tagged.join(kept, (F.col("_print") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    grouped = similar_texts.similar_groups(ws, docs, shingle, least)
+    counted = grouped.groupBy("group", "row", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")
+    kept = counted.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.row").alias("_row"), F.col("k.n").alias("_n"))
+    kept = ws.save(kept).df
+    chosen = docs.join(kept, F.xxhash64("doc_id", "text") == F.col("_row"))
     if kept.where("_n > 1").isEmpty():
         return chosen.select(*docs.columns)
-    # Rows of one id with equal fingerprints: one of them stays.
+    # Rows of one id with equal texts: one of them stays.
     single = chosen.where("_n = 1").select(*docs.columns)
-    return single.unionByName(chosen.where("_n > 1").dropDuplicates(["_fp", "_doc"]).select(*docs.columns))
+    return single.unionByName(chosen.where("_n > 1").dropDuplicates(["_row"]).select(*docs.columns))
 
 
 @query("op3_simhash")
