@@ -5,7 +5,8 @@ that have as many words as an item get a SimHash of their shingles; a
 multi-index over ``RADIUS + 1`` blocks of fingerprint bits returns every item of
 that size within ``RADIUS`` bits, since that many differing bits leave at least
 one block untouched.  Returned pairs are verified by the exact weighted Jaccard
-similarity of the two multisets.
+similarity of the two multisets.  A document with fewer words than an item is
+itself the one window compared with it.
 
 Only windows that can reach the similarity are fingerprinted: of equally many
 shingles a window must share at least ``2s / (1 + s)`` with an item, so runs of
@@ -153,8 +154,12 @@ class Benchmark:
         ends = np.cumsum([len(t) for t in texts])
         return np.unique(np.searchsorted(ends, near[np.isin(s[near], known)], "right")).tolist()
 
-    def search(self, tokens: list[bytes]) -> Iterator[tuple[int, int, int, int, float]]:
-        """(item, first word, words, distance, similarity) of verified windows."""
+    def search(self, tokens: list[bytes], whole: bool = True) -> Iterator[tuple[int, int, int, int, float]]:
+        """(item, first word, words, distance, similarity) of verified windows.
+
+        ``whole`` tokens are all of a text, and are judged as they are by items
+        that have more; in a part of a text they are only its end.
+        """
         s = _shingles(_codes(tokens))
         if not len(s) or not len(self.all):
             return
@@ -162,8 +167,14 @@ class Benchmark:
         for n, known in self.known.items() if len(spots) else ():
             size = n - SHINGLE + 1
             here = spots[np.isin(s[spots], known)]
-            need = int(np.ceil(size * 2 * self.least / (1 + self.least) - 1e-9))
-            if len(here) < need or len(s) < size:
+            short = len(s) < size
+            # Of fewer shingles, the item's share alone bounds the similarity.
+            share = self.least if short else 2 * self.least / (1 + self.least)
+            need = int(np.ceil(size * share - 1e-9))
+            if len(here) < need or short and not whole:
+                continue
+            if short:
+                yield from self._verified(n, s, 0, len(tokens))
                 continue
             # Starts of windows that hold `need` known shingles.
             first, last = here[: len(here) - need + 1], here[need - 1 :]
@@ -171,13 +182,16 @@ class Benchmark:
             fits = lows <= highs
             change = np.bincount(lows[fits], minlength=len(s) - size + 2) - np.bincount(highs[fits] + 1, minlength=len(s) - size + 2)
             for at in np.flatnonzero(np.cumsum(change)).tolist():
-                window = s[at : at + size]
-                candidates = self.index[n].near(simhash(window))
-                if candidates:
-                    own = Counter(window.tolist())
-                    for k, distance in candidates:
-                        if (sim := similarity(own, self.sets[k])) >= self.least:
-                            yield k, at, n, distance, sim
+                yield from self._verified(n, s[at : at + size], at, n)
+
+    def _verified(self, n: int, window: np.ndarray, at: int, length: int) -> Iterator[tuple[int, int, int, int, float]]:
+        """Items of ``n`` words that the window of ``length`` words at ``at`` holds."""
+        candidates = self.index[n].near(simhash(window))
+        if candidates:
+            own = Counter(window.tolist())
+            for k, distance in candidates:
+                if (sim := similarity(own, self.sets[k])) >= self.least:
+                    yield k, at, length, distance, sim
 
 
 def parts(text: bytes, overlap: int, size: int = PART_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -214,10 +228,12 @@ def _search(docs: DataFrame, bench: Benchmark) -> DataFrame:
             raw = [t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary())]
             overlap = max(0, bench.longest - 1)
             cut = [(k, number, tokens) for k, text in enumerate(raw) for number, tokens in parts(text, overlap)]
+            # A text shorter than an item is carried whole into its last part.
+            last = {k: c for c, (k, _, _) in enumerate(cut)}
             best: dict[tuple[int, int], tuple] = {}
             for c in bench.touched([tokens for _, _, tokens in cut]):
                 d, number, tokens = cut[c]
-                for k, at, n, distance, sim in bench.search(tokens):
+                for k, at, n, distance, sim in bench.search(tokens, number == 0 and last[d] == c):
                     if (d, k) not in best or (-sim, number + at) < (-best[d, k][4], best[d, k][1]):
                         best[d, k] = (bench.ids[k], number + at, n, distance, sim)
             rows.extend((ids[d], *best[d, k]) for d, k in sorted(best))
