@@ -59,11 +59,11 @@ def find_items(docs: DataFrame) -> DataFrame:
         for batch in in_blocks(batches, text="body", size=BLOCK):
             bodies = [b.as_py() for b in batch.column("body")]
             keys = batch.column("d").to_numpy()
-            if len(bodies) == 1:
-                groups = [([bodies[0][at : at + BLOCK + WINDOW - 1]], at) for at in range(0, max(1, len(bodies[0])), BLOCK)]
-            else:
-                groups = [(bodies, 0)]
-            for texts, shift in groups:
+            long = np.array([len(b) > BLOCK for b in bodies])
+            groups = [([b for b in bodies if len(b) <= BLOCK], keys[~long], 0)] if not long.all() else []
+            for i in np.flatnonzero(long):
+                groups += (([bodies[i][at : at + BLOCK + WINDOW - 1]], keys[i : i + 1], at) for at in range(0, len(bodies[i]), BLOCK))
+            for texts, keys, shift in groups:
                 ends = np.cumsum([len(t) for t in texts])
                 lo, n, anchor = runs(np.frombuffer(b"".join(texts), np.uint8), ends)
                 owner = np.searchsorted(ends, lo, "right")
