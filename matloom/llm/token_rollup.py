@@ -91,7 +91,6 @@ class TokenRollup:
             self._read("ledger", LEDGER, [batch_id])
             .groupBy(*GROUP)
             .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-            .coalesce(1)
             .write.mode("overwrite")
             .parquet(f"{self.folder}/totals/{batch_id}")
         )
