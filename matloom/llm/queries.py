@@ -4,6 +4,7 @@ from matloom.llm import (
     decontaminate,
     language_id,
     packing,
+    periodic_runs,
     quality,
     secret_scan,
     simhash,
@@ -14,4 +15,4 @@ from matloom.llm import (
 )
 from matloom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "language_id", "packing", "quality", "secret_scan", "simhash", "suffix_dedup", "token_rollup", "token_store", "url_filter"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language_id", "packing", "periodic_runs", "quality", "secret_scan", "simhash", "suffix_dedup", "token_rollup", "token_store", "url_filter"]
