@@ -9,10 +9,11 @@ from matloom.llm import (
     secret_scan,
     simhash,
     suffix_dedup,
+    token_alignment,
     token_rollup,
     token_store,
     url_filter,
 )
 from matloom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "language_id", "packing", "periodic_runs", "quality", "secret_scan", "simhash", "suffix_dedup", "token_rollup", "token_store", "url_filter"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language_id", "packing", "periodic_runs", "quality", "secret_scan", "simhash", "suffix_dedup", "token_alignment", "token_rollup", "token_store", "url_filter"]

@@ -84,6 +84,11 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELLING = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
+def printable_bytes() -> dict[str, int]:
+    """The byte that each printable character spells."""
+    return {chr(b): b for b in _SHOWN} | {chr(c): b for b, c in _SPELLING.items()}
+
+
 def _plain_word(chunk: bytes) -> str | None:
     """The spelling of a chunk of unchanged lower-case letters, else None."""
     if chunk.isalpha():
