@@ -6,6 +6,7 @@ from matloom.llm import (
     packing,
     periodic_runs,
     quality,
+    quality_classifier,
     secret_scan,
     simhash,
     suffix_dedup,
@@ -16,4 +17,4 @@ from matloom.llm import (
 )
 from matloom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "language_id", "packing", "periodic_runs", "quality", "secret_scan", "simhash", "suffix_dedup", "token_alignment", "token_rollup", "token_store", "url_filter"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language_id", "packing", "periodic_runs", "quality", "quality_classifier", "secret_scan", "simhash", "suffix_dedup", "token_alignment", "token_rollup", "token_store", "url_filter"]
