@@ -121,16 +121,20 @@ def keep_one(docs: DataFrame, shingle: int = similar_texts.SHINGLE, least: float
     """
     ws = Workspace(docs.sparkSession)
     grouped = similar_texts.similar_groups(ws, docs, shingle, least)
-    counted = grouped.groupBy("group", "row", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")
-    kept = counted.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.row").alias("_row"), F.col("k.n").alias("_n"))
+    counted = grouped.groupBy("group", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")
+    kept = counted.groupBy("group").agg(F.min(order).alias("k")).select("k.doc_id", "k.digest", "k.n")
     kept = ws.save(kept).df
-    chosen = docs.join(kept, F.xxhash64("doc_id", "text") == F.col("_row"))
-    if kept.where("_n > 1").isEmpty():
-        return chosen.select(*docs.columns)
+    own = similar_texts.digest(F.col("text"))
+    chosen = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id) & own.eqNullSafe(kept.digest))
+    mine = [docs[c] for c in docs.columns]
+    if kept.where("n > 1").isEmpty():
+        return chosen.select(*mine)
     # Rows of one id with equal texts: one of them stays.
-    single = chosen.where("_n = 1").select(*docs.columns)
-    return single.unionByName(chosen.where("_n > 1").dropDuplicates(["_row"]).select(*docs.columns))
+    single = chosen.where(kept.n == 1).select(*mine)
+    again = chosen.where(kept.n > 1)
+    one = again.groupBy(kept.doc_id, kept.digest).agg(F.first(F.struct(*mine)).alias("r")).select("r.*")
+    return single.unionByName(one)
 
 
 @query("op3_simhash")

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from matloom.llm import similar_texts
+from matloom.llm.simhash import keep_one
 
 
 def shingles(text):
@@ -61,3 +63,43 @@ def test_stage_keeps_one_of_all_within_the_similarity(spark, monkeypatch, sample
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == brute_kept(rows)
+
+
+def test_a_crowd_of_copies_forms_no_pairs(spark, monkeypatch):
+    """Candidates stay in proportion to the texts, whatever the size of a crowd."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    formed = []
+    for name in ("leader_pairs", "open_pairs"):
+        real = getattr(similar_texts, name)
+
+        def counted(*args, real=real):
+            pairs = real(*args)
+            formed.append(pairs.count())
+            return pairs
+
+        monkeypatch.setattr(similar_texts, name, counted)
+    sizes = {}
+    for crowd in (250, 1000):
+        formed.clear()
+        texts = []
+        for i in range(crowd):
+            copy = list(base)
+            copy[rng.integers(0, 120)] = f"x{i}"
+            texts.append((i, " ".join(copy)))
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+        kept = sorted(r["doc_id"] for r in keep_one(docs).collect())
+        if crowd == 250:
+            assert kept == brute_kept(texts)
+        sizes[crowd] = sum(formed)
+    assert sizes[1000] <= 6 * sizes[250] and sizes[1000] < 10_000
+
+
+def test_clashing_columns_null_ids_and_equal_rows(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text, "a", 1), (3, text, "b", 2), (3, text, "c", 3), (None, None, "d", 4), (4, "", "e", 5), (5, "other words", "f", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, n int").withColumn("_row", F.lit(9)).withColumn("set", F.lit(1))
+    out = keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == [(3, text), (4, ""), (5, "other words")]
+    assert keep_one(docs.limit(0)).count() == 0
