@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matloom.model import SparseMatrix, Vector
 from matloom.operators.graph import level_schedule, triangle_needs
-from matloom.runtime import Pinned, RoundLog, Workspace
+from matloom.runtime import Pinned, RoundLog, Saved, Workspace
 
 
 class TriangularSolve:
@@ -80,6 +80,67 @@ class TriangularSolve:
         return self.solve(b) if self.by == "levels" else self.sweep(b)
 
 
+class ContractedSolve:
+    """Solves with few jobs where the dependencies are long and narrow.
+
+    With M = −D⁻¹·N the solution is c + M·x for c = D⁻¹·b.  The map composed with
+    itself is x ← (c + M·c) + M²·x, so squaring takes as many rounds as the depth
+    has binary digits: a chain of n rows needs log₂ n of them.  Squaring goes on
+    until nothing is left of M, or while the square has at most ``growth`` times
+    the entries of the matrix; beyond that, where levels are wide, the last power
+    is applied as often as it changes anything.  The powers are kept for further
+    right-hand sides.
+    """
+
+    def __init__(self, ws: Workspace, a: SparseMatrix, side: str, diag: Vector | None = None, growth: float = 4.0):
+        self.ws, self.n = ws, a.nrows
+        strict = a.df.where("j < i" if side == "lower" else "j > i").where("v <> 0")
+        self.diag = None if diag is None else diag.df.withColumnRenamed("v", "d")
+        m = strict.select("i", "j", (-F.col("v")).alias("v"))
+        if self.diag is not None:
+            m = m.join(self.diag, "i").select("i", "j", (F.col("v") / F.col("d")).alias("v"))
+        now = ws.save(m, rows=F.count(F.lit(1)))
+        most, self.powers = growth * max(now.rows, 1), [now]
+        while now.rows:
+            left = now.df.select("i", F.col("j").alias("k"), F.col("v").alias("u"))
+            right = now.df.select(F.col("i").alias("k"), "j", "v")
+            # Counted before it is formed: a hub would send all pairs of its sides.
+            sides = left.groupBy("k").agg(F.count(F.lit(1)).alias("x")).join(right.groupBy("k").agg(F.count(F.lit(1)).alias("y")), "k")
+            if (sides.agg(F.sum(F.col("x") * F.col("y")).alias("n")).first()["n"] or 0) > most:
+                break
+            cells = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("v"))
+            now = ws.save(cells, rows=F.count(F.lit(1)))
+            self.powers.append(now)
+
+    def solve(self, b: Vector) -> Vector:
+        ws = self.ws
+        rows = b.df.select("i", "v")
+        if self.diag is not None:
+            rows = rows.join(self.diag, "i").select("i", (F.col("v") / F.col("d")).alias("v"))
+        x = ws.save(rows)
+        for power in self.powers[:-1]:
+            x = ws.save(self._added(x.df, self._times(power, x.df)))
+        last = self.powers[-1]
+        if last.rows:
+            term = x.df
+            while True:
+                made = ws.save(self._times(last, term), rows=F.count(F.lit(1)))
+                if not made.rows:
+                    break
+                term, x = made.df, ws.save(self._added(x.df, made.df))
+        return Vector(x.df, self.n)
+
+    @staticmethod
+    def _times(power: Saved, x: DataFrame) -> DataFrame:
+        known = x.select(F.col("i").alias("j"), F.col("v").alias("x"))
+        return power.df.join(known, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v")).where("v <> 0")
+
+    @staticmethod
+    def _added(x: DataFrame, more: DataFrame) -> DataFrame:
+        joined = x.join(more.withColumnRenamed("v", "s"), "i", "left")
+        return joined.select("i", (F.col("v") + F.coalesce("s", F.lit(0.0))).alias("v"))
+
+
 def forward_substitution(ws: Workspace, lower: SparseMatrix, b: Vector) -> Vector:
     """Unit lower triangle: x_i = b_i − Σ L_ij x_j."""
     return TriangularSolve(ws, lower, "lower").solve(b)

@@ -106,7 +106,8 @@ def lanczos(
     else:
         ids = ws.spark.range(a.nrows).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(-float(shift)).alias("v"))
         moved = scaled.entries().unionByName(ids).groupBy("i", "j").agg(F.sum("v").alias("v"))
-        inverse = DirectSolver(ws, SparseMatrix(moved, a.nrows, a.ncols, positive_definite=a.positive_definite and shift <= 0))
+        kind = "positive" if a.positive_definite and shift <= 0 else "indefinite"
+        inverse = DirectSolver(ws, SparseMatrix(moved, a.nrows, a.ncols), kind)
     begun = ws.save(start.df, vv=F.sum(F.col("v") * F.col("v")))
     rows = begun.df.select("i", F.array(F.col("v") / math.sqrt(begun.stats["vv"])).alias("V"))
     steps = min(max(ncv, max_iters), a.nrows)

@@ -9,28 +9,78 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from matloom.model import SparseMatrix, Vector
-from matloom.operators import factor
+from matloom.operators import factor, products, stats
+from matloom.operators.multigrid import Multigrid
+from matloom.operators.panels import FrontError, PanelFactor
 from matloom.plans.krylov import Solution, fgmres, pcg
 from matloom.runtime import Workspace
 
 
-class DirectSolver:
-    """Complete factorisation: Cholesky for a matrix flagged positive definite,
-    LU without pivoting otherwise."""
-
-    def __init__(self, ws: Workspace, a: SparseMatrix):
-        self.n = a.nrows
-        f = factor.complete_cholesky(ws, a) if a.positive_definite else factor.complete_lu(ws, a)
-        self._apply = factor.FactorSolve(ws, f)
+#: Refinements where pivots of the factor were replaced.
+MAX_REFINEMENTS = 5
 
-    def forward(self, b: Vector) -> Vector:
-        return self._apply.forward.apply(b)
 
-    def backward(self, b: Vector) -> Vector:
-        return self._apply.backward.apply(b)
+class DirectSolver:
+    """Complete factorisation by dense panels on a nested dissection.
+
+    ``kind`` is "positive", "indefinite" or "general"; by default it follows the
+    flag of the matrix.  Solves are refined up to ``max_iter_ref`` times while the
+    residual is above ``refine_tol`` of the load, always where pivots had to be
+    replaced and otherwise when asked for; one that stays above ``fail_tol`` is an
+    error.  A block too large for one task hands the matrix to the elimination by
+    cells, in the order given.
+    """
+
+    def __init__(self, ws: Workspace, a: SparseMatrix, kind: str | None = None, max_iter_ref: int = 0, refine_tol: float = 1e-12, fail_tol: float = 1e-6):
+        self.ws, self.a, self.n = ws, a, a.nrows
+        self.kind = kind or ("positive" if a.positive_definite else "general")
+        self.refine_tol, self.fail_tol = refine_tol, fail_tol
+        self._panels = self._cells = None
+        try:
+            self._panels = PanelFactor(ws, a, self.kind)
+        except FrontError:
+            f = factor.complete_cholesky(ws, a) if self.kind == "positive" else factor.complete_lu(ws, a)
+            self._cells = factor.FactorSolve(ws, f)
+        replaced = self._panels is not None and self._panels.tiny
+        self.max_iter_ref = max(max_iter_ref, MAX_REFINEMENTS) if replaced else max_iter_ref
+
+    @property
+    def inertia(self) -> tuple[int, int]:
+        """Numbers of negative and of other eigenvalues (kind "indefinite")."""
+        if self._panels is None:
+            raise ValueError("the elimination by cells has no inertia")
+        return self._panels.inertia
+
+    def forward(self, b: Vector):
+        """The first half of a solve, which ``backward`` completes."""
+        return self._panels.forward(b) if self._panels else self._cells.forward.apply(b)
+
+    def backward(self, half) -> Vector:
+        return self._panels.backward(half) if self._panels else self._cells.backward.apply(half)
+
+    def _once(self, b: Vector) -> Vector:
+        return self.backward(self.forward(b))
 
     def solve(self, b: Vector) -> Vector:
-        return self._apply(b)
+        x, left = self._once(b), None
+        if not self.max_iter_ref:
+            return x
+        size = _length(b)
+        x = Vector(self.ws.save(x.df).df, self.n)
+        for k in range(self.max_iter_ref + 1):
+            r = stats.axpy(-1.0, products.matvec(self.a, x), b)
+            r = Vector(self.ws.save(r.df).df, self.n)
+            left = _length(r)
+            if left <= self.refine_tol * size or k == self.max_iter_ref:
+                break
+            x = Vector(self.ws.save(stats.axpy(1.0, self._once(r), x).df).df, self.n)
+        if left > self.fail_tol * size:
+            raise factor.PivotError(f"residual {left:.3g} for a load of {size:.3g} after {self.max_iter_ref} refinements")
+        return x
+
+
+def _length(x: Vector) -> float:
+    return stats.vector_norm(x).first()["norm"] or 0.0
 
 
 Solver = Callable[[Vector], Vector | Solution]
@@ -65,6 +115,11 @@ def _cg(prepare=None) -> Factory:
     return build
 
 
+def _cg_amg(ws: Workspace, a: SparseMatrix, rel_tol: float = 1e-8, abs_tol: float = 0.0, max_iters: int = 1000, **knobs) -> Solver:
+    cycle = Multigrid(ws, a, **knobs)
+    return lambda b: pcg(ws, a, b, cycle, rel_tol=rel_tol, abs_tol=abs_tol, max_iters=max_iters)
+
+
 def _gmres(prepare=None) -> Factory:
     def build(
         ws: Workspace, a: SparseMatrix, rel_tol: float = 1e-12, abs_tol: float = 1e-15,
@@ -78,8 +133,8 @@ def _gmres(prepare=None) -> Factory:
     return build
 
 
-def _direct(ws: Workspace, a: SparseMatrix) -> Solver:
-    return DirectSolver(ws, a).solve
+def _direct(ws: Workspace, a: SparseMatrix, **knobs) -> Solver:
+    return DirectSolver(ws, a, **knobs).solve
 
 
 register("direct", _direct)
@@ -90,6 +145,7 @@ register(
     "cg+incomplete_cholesky_fm",
     _cg(lambda ws, a, lsize=0, rsize=0: factor.cholesky_with_memory(ws, a, lsize, rsize)),
 )
+register("cg+amg", _cg_amg)
 register("gmres", _gmres())
 register("gmres+ilu0", _gmres(lambda ws, a: factor.incomplete_lu(ws, a, 0)))
 register("gmres+iluk", _gmres(lambda ws, a, level=0: factor.incomplete_lu(ws, a, level)))

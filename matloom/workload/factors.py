@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matloom.model import Vector
+from matloom.model import SparseMatrix, Vector
 from matloom.operators import factor, fill, products, structure, triangular
 from matloom.runtime import Workspace
 from matloom.sources import tables as src
@@ -73,6 +73,24 @@ def fwd_sweeps(spark, sf):
     return triangular.TriangularSolve(Workspace(spark), structure.strict_lower(k), "lower").sweep(b).df
 
 
+@query("fwd_contracted", _FORWARD)
+def fwd_contracted(spark, sf):
+    k, b = src.stiffness(spark, sf), src.customer_load(spark, sf)
+    return triangular.ContractedSolve(Workspace(spark), structure.strict_lower(k), "lower").solve(b).df
+
+
+@query("chain_solve", with_(LOAD) + """
+SELECT x.i, round(sum(y.v * CASE WHEN (x.i - y.i) % 2 = 0 THEN 1 ELSE -1 END / power(2, x.i - y.i)), 6) + 0.0 AS v
+FROM b x JOIN b y ON y.i BETWEEN x.i - 60 AND x.i GROUP BY 1""")
+def chain_solve(spark, sf):
+    """Half of each row's predecessor is taken from it: one chain of all customers,
+    solved in as many rounds as their number has binary digits."""
+    ws, n, b = Workspace(spark), src.customers(spark, sf), src.customer_load(spark, sf)
+    cells = spark.range(1, n).select(F.col("id").alias("i"), (F.col("id") - 1).alias("j"), F.lit(0.5).alias("v"))
+    x = triangular.ContractedSolve(ws, SparseMatrix(cells, n, n), "lower").solve(b)
+    return x.df.select("i", (F.round("v", 6) + 0.0).alias("v"))
+
+
 def _ic_sql(k: int) -> str:
     """The level rule unrolled k times."""
     text = with_(STIFF) + ", f0 AS (SELECT i, j, 0 AS level FROM k WHERE i <= j)"

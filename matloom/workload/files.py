@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from matloom.model import SparseMatrix
 from matloom.operators import structure
 from matloom.runtime import Workspace
-from matloom.sources import matrix_market, sinks, tables as src
+from matloom.sources import binary_format, matrix_market, sinks, tables as src
 from matloom.workload.registry import query
-from matloom.workload.sqltext import STIFF, SUPPLY, with_
+from matloom.workload.sqltext import SIZES, STIFF, SUPPLY, with_
 
 _A = with_(SUPPLY) + "SELECT i, j, v FROM a"
 _K = with_(STIFF) + "SELECT i, j, v FROM k"
@@ -52,3 +52,26 @@ def file_gnuplot(spark, sf):
     path = Workspace(spark).new_path("plot")
     sinks.write_gnuplot(src.supply_matrix(spark, sf), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("file_binary_coo", _A)
+def file_binary_coo(spark, sf):
+    """A folder of packed records, read in ranges that do not end with its parts."""
+    path = Workspace(spark).new_path("packed")
+    binary_format.write_coo(src.supply_matrix(spark, sf), path)
+    return binary_format.load_coo(spark, path, chunk=1000)
+
+
+@query("file_binary_coo_base1", _K)
+def file_binary_coo_base1(spark, sf):
+    """Indices from one, with the members of a record in another order."""
+    path = Workspace(spark).new_path("packed")
+    binary_format.write_coo(src.stiffness(spark, sf), path, base=1, order="i,j,v")
+    return binary_format.load_coo(spark, path, base=1, order="i,j,v")
+
+
+@query("file_binary_vector", with_(SIZES) + "SELECT i, v FROM x")
+def file_binary_vector(spark, sf):
+    path = Workspace(spark).new_path("packed")
+    binary_format.write_vector(src.part_sizes(spark, sf), path)
+    return binary_format.load_vector(spark, path, chunk=100)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matloom.model import Graph
-from matloom.operators import graph, ordering, stats, structure
+from matloom.operators import disjoint, dissection, graph, ordering, stats, structure
 from matloom.runtime import Workspace
 from matloom.sources import tables as src
 from matloom.workload.registry import query
@@ -69,6 +69,17 @@ def components(spark, sf):
     return graph.components(Workspace(spark), src.trade_graph(spark, sf))
 
 
+@query("component_batches", _CLOSURE + "SELECT id, comp FROM comps")
+def component_batches(spark, sf):
+    """The links in three batches of which one is sent twice."""
+    ws, g = Workspace(spark), src.trade_graph(spark, sf)
+    sets = disjoint.DisjointSets(ws, ws.new_path("sets"))
+    links = ws.save(g.edges.toDF("a", "b")).df
+    for k in (0, 1, 1, 2):
+        sets.unite(links.where((F.col("a") + F.col("b")) % 3 == k), f"part{k}")
+    return sets.find(g.vertices).withColumnRenamed("root", "comp")
+
+
 @query("component_count", _CLOSURE + "SELECT count(DISTINCT comp) AS components FROM comps")
 def component_count(spark, sf):
     return graph.component_count(components(spark, sf))
@@ -237,3 +248,18 @@ def rcm_permuted_bandwidth(spark, sf):
     before = stats.bandwidth(k).select(F.lit("given").alias("order"), "bandwidth")
     after = stats.bandwidth(structure.permute(k, p, p)).select(F.lit("rcm").alias("order"), "bandwidth")
     return before.union(after)
+
+
+@query("nested_dissection", with_(ARCS) + "SELECT src, dst, true AS separated FROM arcs")
+def nested_dissection(spark, sf):
+    """Every arc stays inside one branch of the dissection, and the end nearer to
+    its root is eliminated later: each separator really separates."""
+    ws, g = Workspace(spark), src.trade_graph(spark, sf)
+    cut = dissection.dissect(ws, g)
+    order = cut.permutation(ws, ordering.vertex_degrees(g))
+    return dissection.separated(cut, order, g.edges)
+
+
+@query("nested_dissection_valid", "SELECT count(*) AS n, true AS valid FROM customer")
+def nested_dissection_valid(spark, sf):
+    return structure.permutation_check(dissection.nested_dissection(Workspace(spark), src.trade_graph(spark, sf)))

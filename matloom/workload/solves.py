@@ -36,6 +36,7 @@ query("cg_solve", _B)(_named("cg", rel_tol=1e-8))
 query("pcg_ic0", _B)(_named("cg+ic0", rel_tol=1e-8))
 query("pcg_ick", _B)(_named("cg+incomplete_cholesky_k", level=1, rel_tol=1e-8))
 query("pcg_ic_memory", _B)(_named("cg+incomplete_cholesky_fm", lsize=2, rsize=2, rel_tol=1e-8))
+query("pcg_amg", _B)(_named("cg+amg", rel_tol=1e-8))
 query("gmres", _B)(_named("gmres", rel_tol=1e-8))
 query("gmres_ilu0", _B)(_named("gmres+ilu0", rel_tol=1e-8))
 query("gmres_iluk", _B)(_named("gmres+iluk", level=1, rel_tol=1e-8))
@@ -58,6 +59,37 @@ def direct_lu(spark, sf):
     return _applied_back(a, solvers.DirectSolver(ws, a).solve(b))
 
 
+@query("direct_indefinite", _B)
+def direct_indefinite(spark, sf):
+    """K − 2.7·I has eigenvalues of both signs."""
+    ws, k, b = Workspace(spark), src.stiffness(spark, sf), src.customer_load(spark, sf)
+    v = F.when(F.col("i") == F.col("j"), F.col("v") - 2.7).otherwise(F.col("v"))
+    a = SparseMatrix(k.df.withColumn("v", v), k.nrows, k.ncols)
+    return _applied_back(a, solvers.DirectSolver(ws, a, "indefinite", max_iter_ref=2).solve(b))
+
+
+@query("direct_inertia", """
+WITH p AS (
+  SELECT c_custkey // 2 AS block, max(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END) AS a,
+         max(CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END) AS b
+  FROM customer GROUP BY 1),
+n AS (
+  SELECT CASE WHEN b IS NULL THEN CAST(a < 0 AS INT) WHEN a * b < 250000 THEN 1 WHEN a < 0 THEN 2 ELSE 0 END AS negative,
+         CASE WHEN b IS NULL THEN 1 ELSE 2 END AS size
+  FROM p)
+SELECT CAST(sum(negative) AS BIGINT) AS negative, CAST(sum(size) - sum(negative) AS BIGINT) AS others FROM n""")
+def direct_inertia(spark, sf):
+    """Balances of pairs of customers as blocks (a, 500; 500, b): the signs of
+    their eigenvalues follow from determinant and trace."""
+    ws, n = Workspace(spark), src.customers(spark, sf)
+    balance = src.table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), F.col("c_custkey").alias("j"), F.col("c_acctbal").cast("double").alias("v"))
+    other = F.col("i").bitwiseXOR(F.lit(1)).alias("j")
+    coupled = balance.select("i", other, F.lit(500.0).alias("v")).where(F.col("j") < n)
+    a = SparseMatrix(balance.unionAll(coupled), n, n)
+    negative, others = solvers.DirectSolver(ws, a, "indefinite").inertia
+    return spark.createDataFrame([(negative, others)], "negative long, others long")
+
+
 @query("gmres_unsymmetric", _B)
 def gmres_unsymmetric(spark, sf):
     ws, k, b = Workspace(spark), src.stiffness(spark, sf), src.customer_load(spark, sf)

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from conftest import dense, matrix, values
 
+from matloom import SparseMatrix, Vector
 from matloom.operators import structure
-from matloom.sources import binary, generators, sinks
+from matloom.sources import binary, binary_format, generators, sinks
 from matloom.sources.matrix_market import read_matrix_market
 
 SYMMETRIC = """%%MatrixMarket matrix coordinate real symmetric
@@ -92,3 +93,39 @@ def test_row_pointer_from_base_one(spark, ws):
     ptr, body = sinks.compressed_rows(ws, a, base=1)
     assert [r["ptr"] for r in ptr.orderBy("i").collect()] == [1, 3, 3, 6]
     assert np.array([r["j"] for r in body.collect()]).tolist() == [1, 3, 1, 2, 3]
+
+
+def test_binary_sources_round_trip(spark, tmp_path):
+    a = matrix(spark, [[1, 0, 2.5], [0, 0, 0], [4, 0, -1]])
+    for base, order in ((0, "v,j,i"), (1, "i,j,v")):
+        path = str(tmp_path / f"m{base}")
+        binary_format.write_coo(a, path, base, order)
+        assert not [p for p in (tmp_path / f"m{base}").iterdir() if p.name.startswith("_")]
+        want = sorted(tuple(r) for r in a.df.collect())
+        assert sorted(tuple(r) for r in binary_format.load_coo(spark, path, base, order, chunk=1).collect()) == want
+    x = spark.range(1000).selectExpr("id AS i", "id * 0.5D AS v")
+    binary_format.write_vector(Vector(x, 1000), str(tmp_path / "x"))
+    got = binary_format.load_vector(spark, str(tmp_path / "x"), chunk=77).collect()
+    assert sorted(tuple(r) for r in got) == [(k, 0.5 * k) for k in range(1000)]
+
+
+def test_binary_sources_read_single_files_with_a_header(spark, tmp_path):
+    cells = [(i, (i * 7) % 10, i + 0.5) for i in range(10)]
+    (tmp_path / "m.bin").write_bytes(struct.pack("<q", 10) + b"".join(struct.pack("<dii", v, j + 1, i + 1) for i, j, v in cells))
+    path = str(tmp_path / "m.bin")
+    assert sorted(tuple(r) for r in binary_format.load_coo(spark, path, base=1, chunk=3).collect()) == sorted(cells)
+    assert sorted(tuple(r) for r in binary.read_coo(spark, path, base=1, chunk=3).df.collect()) == sorted(cells)
+    (tmp_path / "v.bin").write_bytes(struct.pack("<q4d", 4, 1, 2, 3, 4))
+    assert [r["v"] for r in binary_format.load_vector(spark, str(tmp_path / "v.bin")).orderBy("i").collect()] == [1, 2, 3, 4]
+
+
+def test_binary_writer_refuses_what_does_not_fit(spark, tmp_path):
+    far = spark.createDataFrame([(2**31, 0, 1.0)], "i long, j long, v double")
+    with pytest.raises(Exception, match="beyond 32 bits"):
+        binary_format.write_coo(SparseMatrix(far, 2**31 + 1, 1), str(tmp_path / "far"))
+    assert binary_format.load_coo(spark, str(tmp_path / "far")).count() == 0
+    gaps = spark.createDataFrame([(0, 1.0), (2, 1.0)], "i long, v double").coalesce(1)
+    with pytest.raises(Exception, match="consecutive"):
+        gaps.write.format("binary_vector").mode("append").save(str(tmp_path / "gaps"))
+    with pytest.raises(Exception, match="order"):
+        binary_format.load_coo(spark, str(tmp_path / "far"), order="i,i,v").count()
