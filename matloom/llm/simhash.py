@@ -121,20 +121,23 @@ def keep_one(docs: DataFrame, shingle: int = similar_texts.SHINGLE, least: float
     """
     ws = Workspace(docs.sparkSession)
     grouped = similar_texts.similar_groups(ws, docs, shingle, least)
-    counted = grouped.groupBy("group", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")
-    kept = counted.groupBy("group").agg(F.min(order).alias("k")).select("k.doc_id", "k.digest", "k.n")
-    kept = ws.save(kept).df
+    counted = ws.save(grouped.groupBy("group", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))).df
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = counted.groupBy("group").agg(F.min(order).alias("k"))
+    marked = ws.save(counted.join(first, "group").withColumn("keep", order.eqNullSafe(F.col("k"))).select("doc_id", "digest", "n", "keep")).df
+    # Most rows stay: the few that go are looked up, without moving the texts.
+    gone = similar_texts.small_side(ws.save(marked.where("NOT keep"), rows=F.count(F.lit(1))))
     own = similar_texts.digest(F.col("text"))
-    chosen = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id) & own.eqNullSafe(kept.digest))
-    mine = [docs[c] for c in docs.columns]
-    if kept.where("n > 1").isEmpty():
-        return chosen.select(*mine)
+    among = lambda ids: docs.doc_id.eqNullSafe(ids.doc_id) & own.eqNullSafe(ids.digest)
+    chosen = docs.join(gone, among(gone), "left_anti")
+    several = ws.save(marked.where("keep AND n > 1"), rows=F.count(F.lit(1)))
+    if not several.rows:
+        return chosen
     # Rows of one id with equal texts: one of them stays.
-    single = chosen.where(kept.n == 1).select(*mine)
-    again = chosen.where(kept.n > 1)
-    one = again.groupBy(kept.doc_id, kept.digest).agg(F.first(F.struct(*mine)).alias("r")).select("r.*")
-    return single.unionByName(one)
+    several = similar_texts.small_side(several)
+    mine = F.struct(*[docs[c] for c in docs.columns])
+    again = docs.join(several, among(several)).groupBy(several.doc_id, several.digest).agg(F.first(mine).alias("r"))
+    return chosen.join(several, among(several), "left_anti").unionByName(again.select("r.*"))
 
 
 @query("op3_simhash")
