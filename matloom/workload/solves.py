@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matloom.model import SparseMatrix, Vector
 from matloom.operators import products
-from matloom.plans import eigen, krylov, pipelines, solvers
+from matloom.plans import eigen, krylov, krylov_schur, pipelines, solvers
 from matloom.runtime import Workspace
 from matloom.sources import generators, tables as src
 from matloom.workload.registry import query
@@ -174,6 +174,40 @@ def lanczos_mass(spark, sf):
     return _accuracy(ws, k, pair, mass)
 
 
+@query("eigen_restarted", "SELECT count(*) * 0 + 4 AS pairs, true AS accurate, true AS narrow FROM customer")
+def eigen_restarted(spark, sf):
+    """Four largest pairs with never more than twelve vectors."""
+    ws, k = Workspace(spark), src.stiffness(spark, sf)
+    solver = krylov_schur.KrylovSchur(ws, k, nev=4, ncv=12)
+    pairs = solver.run(_start(spark, sf))
+    accurate = all(krylov_schur.general_residual(k, p) < 1e-3 for p in pairs)
+    return spark.createDataFrame([(len(pairs), accurate, solver.widest <= 12)], "pairs long, accurate boolean, narrow boolean")
+
+
+@query("lanczos_mass_matrix", with_(LOAD) + "SELECT count(*) AS n, true AS accurate FROM b")
+def lanczos_mass_matrix(spark, sf):
+    """K·v = λ·M·v where M couples the rows that K does."""
+    ws, k = Workspace(spark), src.stiffness(spark, sf)
+    v = 0.01 * F.col("v") + F.when(F.col("i") == F.col("j"), 0.99).otherwise(0.0)
+    m = SparseMatrix(k.df.withColumn("v", v), k.nrows, k.ncols, positive_definite=True)
+    pair = krylov_schur.KrylovSchur(ws, k, m, ncv=6, tol=1e-3).run(_start(spark, sf))[0]
+    pair = eigen.EigenPair(pair.value, Vector(ws.save(pair.vector.df).df, k.nrows), pair.iterations, pair.converged)
+    accurate = krylov_schur.general_residual(k, pair, m) < 1e-2
+    return pair.vector.df.agg(F.count(F.lit(1)).alias("n"), F.lit(accurate).alias("accurate"))
+
+
+@query("eigen_resumed", with_(LOAD) + "SELECT count(*) AS n, true AS equal FROM b")
+def eigen_resumed(spark, sf):
+    """Stopped after one restart, gone on with from its folder, and uninterrupted."""
+    ws, k = Workspace(spark), src.stiffness(spark, sf)
+    state = ws.new_path("state")
+    make = lambda state: krylov_schur.KrylovSchur(ws, k, nev=1, ncv=4, tol=1e-3, state=state)
+    make(state).run(_start(spark, sf), max_restarts=1, partial=True)
+    late, whole = make(state).run(_start(spark, sf)), make(None).run(_start(spark, sf))
+    equal = all(abs(x.value - y.value) <= 1e-9 * abs(y.value) for x, y in zip(late, whole)) and late[0].iterations == whole[0].iterations
+    return late[0].vector.df.agg(F.count(F.lit(1)).alias("n"), F.lit(equal).alias("equal"))
+
+
 @query("lanczos_shift_invert", with_(LOAD) + "SELECT count(*) AS n, CAST(1 AS DOUBLE) AS value FROM b")
 def lanczos_shift_invert(spark, sf):
     """The eigenvalue nearest to zero, through the inverse."""
