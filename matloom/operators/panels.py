@@ -77,12 +77,12 @@ def _inverse(block: np.ndarray, kind: str) -> tuple[np.ndarray, int, int, int]:
     return (q / value) @ q.T, int((value < 0).sum()), int(small.sum()), 0
 
 
-def _panel(i: np.ndarray, j: np.ndarray, v: np.ndarray, kind: str) -> tuple:
+def _panel(i: np.ndarray, j: np.ndarray, v: np.ndarray, kind: str, max_front: int) -> tuple:
     """One block from all its cells; see ``_PANEL``."""
     piv = np.unique(i[i == j])
     rows = np.setdiff1d(np.concatenate([i, j]), piv)
     p, r = len(piv), len(rows)
-    if p + r > MAX_FRONT:
+    if p + r > max_front:
         return piv, rows, *(np.empty(0),) * 3, 0, 0, 2
     at = np.concatenate([piv, rows])
     by = np.argsort(at)
@@ -103,7 +103,7 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0), *arrays]), kind))
 
 
-def _factored(kind: str):
+def _factored(kind: str, max_front: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _PANEL.split(", ")]
         for table in _groups(batches):
@@ -111,7 +111,7 @@ def _factored(kind: str):
             cut = np.flatnonzero(np.append(True, np.diff(node) != 0))
             size, out = 0, []
             for a, b in zip(cut, [*cut[1:], len(node)]):
-                out.append((int(node[a]), *_panel(i[a:b], j[a:b], v[a:b], kind)))
+                out.append((int(node[a]), *_panel(i[a:b], j[a:b], v[a:b], kind, max_front)))
                 size += sum(len(x) for x in out[-1][1:6])
                 if size > 1 << 20 or b == len(node):
                     cols = list(zip(*out))
@@ -180,10 +180,10 @@ class PanelFactor:
     symmetric one; "general" takes any matrix.
     """
 
-    def __init__(self, ws: Workspace, a: SparseMatrix, kind: str, leaf: int = LEAF):
+    def __init__(self, ws: Workspace, a: SparseMatrix, kind: str, leaf: int = LEAF, max_front: int = MAX_FRONT):
         if kind not in KINDS:
             raise ValueError(f"unknown kind {kind!r}")
-        self.ws, self.n, self.kind = ws, a.nrows, kind
+        self.ws, self.n, self.kind, self.max_front = ws, a.nrows, kind, max_front
         g = Graph.of(a)
         counts = g.undirected().groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
         degrees = g.vertices.join(counts, "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"))
@@ -215,11 +215,11 @@ class PanelFactor:
         sent, schema = ws.new_path("sent"), "node long, i long, j long, v double"
         for depth in range(self.depths - 1, -1, -1):
             here = ws.part(base, schema, "depth", depth).unionAll(ws.part(sent, schema, "depth", depth))
-            panels = here.repartition("node").sortWithinPartitions("node").mapInArrow(_factored(self.kind), _PANEL)
+            panels = here.repartition("node").sortWithinPartitions("node").mapInArrow(_factored(self.kind, self.max_front), _PANEL)
             total = lambda c: F.coalesce(F.sum(c), F.lit(0))
             done = self.panels.append(panels, bad=F.coalesce(F.max("bad"), F.lit(0)), negative=total("negative"), tiny=total("tiny"))
             if done.stats["bad"] == 2:
-                raise FrontError(f"a block at depth {depth} has more than {MAX_FRONT} rows")
+                raise FrontError(f"a block at depth {depth} has more than {self.max_front} rows")
             if done.stats["bad"]:
                 raise PivotError(f"a block at depth {depth} is not positive definite")
             self.negative += done.stats["negative"]

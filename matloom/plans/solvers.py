@@ -11,7 +11,7 @@ from collections.abc import Callable
 from matloom.model import SparseMatrix, Vector
 from matloom.operators import factor, products, stats
 from matloom.operators.multigrid import Multigrid
-from matloom.operators.panels import FrontError, PanelFactor
+from matloom.operators.panels import MAX_FRONT, FrontError, PanelFactor
 from matloom.plans.krylov import Solution, fgmres, pcg
 from matloom.runtime import Workspace
 
@@ -31,13 +31,13 @@ class DirectSolver:
     cells, in the order given.
     """
 
-    def __init__(self, ws: Workspace, a: SparseMatrix, kind: str | None = None, max_iter_ref: int = 0, refine_tol: float = 1e-12, fail_tol: float = 1e-6):
+    def __init__(self, ws: Workspace, a: SparseMatrix, kind: str | None = None, max_iter_ref: int = 0, refine_tol: float = 1e-12, fail_tol: float = 1e-6, max_front: int = MAX_FRONT):
         self.ws, self.a, self.n = ws, a, a.nrows
         self.kind = kind or ("positive" if a.positive_definite else "general")
         self.refine_tol, self.fail_tol = refine_tol, fail_tol
         self._panels = self._cells = None
         try:
-            self._panels = PanelFactor(ws, a, self.kind)
+            self._panels = PanelFactor(ws, a, self.kind, max_front=max_front)
         except FrontError:
             f = factor.complete_cholesky(ws, a) if self.kind == "positive" else factor.complete_lu(ws, a)
             self._cells = factor.FactorSolve(ws, f)

@@ -105,12 +105,11 @@ def test_failures_are_told(spark, ws):
     assert np.allclose(sum(x), 2)
 
 
-def test_large_blocks_go_to_the_elimination_by_cells(spark, ws, monkeypatch):
-    monkeypatch.setattr(panels, "MAX_FRONT", 3)
+def test_large_blocks_go_to_the_elimination_by_cells(spark, ws):
     m = grid(3, 1.0)
     b = np.ones(9)
     for a in (matrix(spark, m.tolist(), positive_definite=True), matrix(spark, m.tolist())):
-        s = solvers.DirectSolver(ws, a)
+        s = solvers.DirectSolver(ws, a, max_front=3)
         assert s._panels is None
         assert np.allclose(m @ values(s.solve(vector(spark, b))), b)
 
