@@ -48,11 +48,35 @@ MIN_RATIO, MIN_MEAN_RATIO = 12.0, 0.6
 MASK = "[SECRET]"
 
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+#: Elements gathered in one array before they join the others.
+CHUNK = 256
+#: Code points of a text or run that are walked from a known place.
+PIECE = 1024
 
 
 # -- positions ----------------------------------------------------------------
 
 
+def running(rows: Column, zero: Column, step: Callable[[Column, Column], Column], told: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``told(state before x, x)`` of every element x, with ``step`` as the next state.
+
+    Results are gathered in chunks, so that no array is copied once per element.
+    """
+    chunks = F.transform(F.sequence(F.lit(1), F.size(rows), F.lit(CHUNK)), lambda k: F.slice(rows, k, CHUNK))
+
+    def add(a: Column, x: Column) -> Column:
+        return F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(told(a["at"], x))).alias("out"))
+
+    def whole(a: Column, chunk: Column) -> Column:
+        begin = F.struct(a["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        part = F.aggregate(chunk, begin, add)
+        return let(part, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    empty = F.array().cast(f"array<{kind}>")
+    start = F.struct(zero.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(F.size(rows) == 0, empty).otherwise(F.aggregate(chunks, start, whole, lambda a: F.flatten(a["out"])))
+
+
 def located(text: Column, pattern: str, rank: int, keep: Callable[[Column, Column], Column] | None = None, group: int = 0) -> Column:
     """Spans of all matches; ``keep`` sees a match and its ``group``."""
 
@@ -62,7 +86,7 @@ def located(text: Column, pattern: str, rank: int, keep: Callable[[Column, Colum
 
         def walk(gap: Column) -> Column:
             rows = F.arrays_zip(found.alias("m"), F.slice(gap, 1, F.size(found)).alias("g"), parts.alias("p"))
-            step = F.transform(
+            steps = F.transform(
                 rows,
                 lambda r: F.struct(
                     F.length(r["g"]).alias("gap"),
@@ -70,20 +94,43 @@ def located(text: Column, pattern: str, rank: int, keep: Callable[[Column, Colum
                     (keep(r["m"], r["p"]) if keep else F.lit(True)).alias("ok"),
                 ),
             )
-            zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-
-            def add(a: Column, x: Column) -> Column:
-                start, end = a["at"] + x["gap"], a["at"] + x["gap"] + x["len"]
-                span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-                return F.struct(end.alias("at"), F.when(x["ok"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
-
-            return F.aggregate(step, zero, add, lambda a: a["spans"])
+            span = lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["len"]).alias("end"), x["ok"].alias("ok"))
+            after = lambda at, x: at + x["gap"] + x["len"]
+            placed = let(steps, lambda rows: running(rows, F.lit(0), after, span, "struct<start:int,end:int,ok:boolean>"))
+            kept = F.filter(placed, lambda s: s["ok"])
+            return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
 
         return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(let(gaps, walk))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
+def apart(base: Column, more: Column) -> Column:
+    """All spans of ``base`` and those of ``more`` that overlap none of these, by position.
+
+    ``more`` has the larger rank.  A span is free if no base span before it reaches
+    into it, and the next one begins behind it: one pass from either end.
+    """
+    own = lambda s: s["rank"] < F.lit(KINDS.index("markov"))
+    kind = "struct<start:int,rank:int,end:int,free:boolean>"
+    with_free = lambda s, free: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), free.alias("free"))
+
+    def forth(spans: Column) -> Column:
+        reach = lambda at, s: F.when(own(s), F.greatest(at, s["end"])).otherwise(at)
+        return running(spans, F.lit(0), reach, lambda at, s: with_free(s, own(s) | (at <= s["start"])), kind)
+
+    def back(spans: Column) -> Column:
+        nearest = lambda at, s: F.when(own(s), s["start"]).otherwise(at)
+        return running(spans, F.lit(2**31 - 1), nearest, lambda at, s: with_free(s, own(s) | (s["free"] & (at >= s["end"]))), kind)
+
+    def merged(spans: Column) -> Column:
+        free = F.filter(F.reverse(let(F.reverse(forth(spans)), back)), lambda s: s["free"])
+        return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+
+    both = let(F.sort_array(F.concat(base, more)), merged)
+    return F.when(F.size(more) == 0, base).when(F.size(base) == 0, more).otherwise(both)
+
+
 def base_spans(text: Column) -> Column:
     none = F.array().cast(SPAN)
     assign = located(text, ASSIGN, 0, lambda m, value: F.length(value) >= MIN_VALUE, group=2)
@@ -130,10 +177,21 @@ def learn_ratio(strings: DataFrame, smoothing: float = SMOOTHING) -> list[float]
     return [b - a for a, b in zip(*logs)]
 
 
+def pieces(string: Column) -> Column:
+    """A string in pieces of ``PIECE`` code points."""
+    return F.regexp_extract_all(string, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+
+
 def ratio_of(string: Column, table: Column) -> Column:
-    code = lambda i: F.ascii(F.substring(string, i, 1))
-    steps = F.transform(F.sequence(F.lit(1), F.length(string) - 1), lambda i: F.get(table, code(i) * ALPHABET + code(i + 1)))
-    return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
+    """Sum of the table over all transitions of an ASCII string, read once."""
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+    def add(a: Column, code: Column) -> Column:
+        more = F.when(a["last"] < 0, F.lit(0.0)).otherwise(F.get(table, a["last"] * ALPHABET + code))
+        return F.struct(code.alias("last"), (a["sum"] + more).alias("sum"))
+
+    codes = lambda piece: F.transform(F.split(piece, ""), lambda c: F.ascii(c))
+    return F.aggregate(pieces(string), zero, lambda a, piece: F.aggregate(codes(piece), a, add), lambda a: a["sum"])
 
 
 def markov_spans(text: Column, ratio: list[float]) -> Column:
@@ -147,8 +205,7 @@ def scan(docs: DataFrame, ratio: list[float], keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(*keep, text.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
     found = found.withColumn("_run", markov_spans(F.col("_text"), ratio))
-    apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return found.withColumn("_all", F.sort_array(F.concat("_base", F.filter("_run", apart)))).drop("_run")
+    return found.withColumn("_all", apart(F.col("_base"), F.col("_run"))).drop("_run")
 
 
 def told(spans: Column) -> Column:
@@ -169,24 +226,36 @@ def find_secrets(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def masked_text(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each stretch of overlapping spans replaced by one mask."""
+
+    def cut(parts: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            """Code points from ``a`` up to ``b``, of the pieces that hold them."""
+            first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+            inside = lambda k: F.substring(F.get(parts, k), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0)))
+            return F.when(b > a, F.array_join(F.transform(F.sequence(first, last), inside), "")).otherwise(F.lit(""))
+
+        reach = lambda at, s: F.greatest(at, s["end"])
+        held = running(spans, F.lit(0), reach, lambda at, s: F.struct(at.alias("at"), s["start"].alias("start")), "struct<at:int,start:int>")
+        fresh = F.filter(held, lambda s: s["start"] >= s["at"])
+        heads = F.transform(fresh, lambda s: F.concat(between(s["at"], s["start"]), F.lit(mask)))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.array_join(F.concat(heads, F.array(between(end, F.length(text)))), "")
+
+    return let(pieces(text), cut)
+
+
 def mask_secrets(docs: DataFrame, labels: DataFrame, mask: str = MASK) -> DataFrame:
     """The same rows and columns with every span replaced in ``text``."""
     ratio = learn_ratio(labelled_strings(docs, labels))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        before = F.substring(F.col("_text"), a["at"] + 1, s["start"] - a["at"])
-        out = F.when(fresh, F.concat(a["out"], before, F.lit(mask))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
-
-    end = lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text")))
-    found = scan(docs, ratio, docs.columns)
+    # The row travels as one value, so no column of the caller can clash.
+    found = scan(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"]), ratio, ["row"])
     dirty = F.size("_all") > 0
-    masked = found.withColumn("text", F.when(dirty, F.aggregate("_all", zero, cut, end)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(dirty, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+    found = found.select("row", dirty.alias("dirty"), F.when(dirty, masked_text(F.col("_text"), F.col("_all"), mask)).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    return found.select(*[(F.when(F.col("dirty"), new[c]).otherwise(old[c]) if c in new else old[c]).alias(c) for c in docs.columns])
 
 
 @query("op7_secrets")
