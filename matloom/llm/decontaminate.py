@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -209,34 +209,43 @@ def parts(text: bytes, overlap: int, size: int = PART_BYTES) -> Iterator[tuple[i
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The best window of each document for each item that it contains."""
-    spark = docs.sparkSession
+    found = docs.sparkSession.createDataFrame([], RESULT)
+    for bench in _blocks(benchmark, least, radius, block_bytes):
+        found = found.unionByName(_search(docs, bench))
+    return found
+
+
+def _blocks(benchmark: DataFrame, least: float, radius: int, block_bytes: int) -> Iterator[Benchmark]:
+    """The items in blocks of bounded size."""
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-int(total) // block_bytes)
-    found = spark.createDataFrame([], RESULT)
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        found = found.unionByName(_search(docs, Benchmark([tuple(r) for r in part], least, radius)))
-    return found
+        yield Benchmark([tuple(r) for r in part], least, radius)
+
+
+def _best(batch: pa.RecordBatch, bench: Benchmark) -> dict[tuple[int, int], tuple]:
+    """The best window by row of the batch and number of the item."""
+    raw = [t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary())]
+    overlap = max(0, bench.longest - 1)
+    cut = [(k, number, tokens) for k, text in enumerate(raw) for number, tokens in parts(text, overlap)]
+    # A text shorter than an item is carried whole into its last part.
+    last = {k: c for c, (k, _, _) in enumerate(cut)}
+    best: dict[tuple[int, int], tuple] = {}
+    for c in bench.touched([tokens for _, _, tokens in cut]):
+        d, number, tokens = cut[c]
+        for k, at, n, distance, sim in bench.search(tokens, number == 0 and last[d] == c):
+            if (d, k) not in best or (-sim, number + at) < (-best[d, k][4], best[d, k][1]):
+                best[d, k] = (bench.ids[k], number + at, n, distance, sim)
+    return best
 
 
 def _search(docs: DataFrame, bench: Benchmark) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_blocks(batches):
-            rows = []
-            ids = batch.column("doc_id").to_pylist()
-            raw = [t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary())]
-            overlap = max(0, bench.longest - 1)
-            cut = [(k, number, tokens) for k, text in enumerate(raw) for number, tokens in parts(text, overlap)]
-            # A text shorter than an item is carried whole into its last part.
-            last = {k: c for c, (k, _, _) in enumerate(cut)}
-            best: dict[tuple[int, int], tuple] = {}
-            for c in bench.touched([tokens for _, _, tokens in cut]):
-                d, number, tokens = cut[c]
-                for k, at, n, distance, sim in bench.search(tokens, number == 0 and last[d] == c):
-                    if (d, k) not in best or (-sim, number + at) < (-best[d, k][4], best[d, k][1]):
-                        best[d, k] = (bench.ids[k], number + at, n, distance, sim)
-            rows.extend((ids[d], *best[d, k]) for d, k in sorted(best))
+            ids, best = batch.column("doc_id").to_pylist(), _best(batch, bench)
+            rows = [(ids[d], *best[d, k]) for d, k in sorted(best)]
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
             columns = list(zip(*rows)) or [()] * 6
             names = ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"]
@@ -246,11 +255,26 @@ def _search(docs: DataFrame, bench: Benchmark) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, RESULT)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that contain no benchmark item, with their own columns."""
-    leaks = find_leaks(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark)
-    gone = leaks.select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("_leak"), "left_anti").select(*docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``docs`` that contain no benchmark item, with their own columns.
+
+    The task that reads a row decides on it, so no text is shuffled and no key
+    stands for a row.
+    """
+    bound_batches(docs)
+    kept = docs
+    for bench in _blocks(benchmark, least, radius, block_bytes):
+        kept = kept.mapInArrow(_clean_rows(bench), docs.schema)
+    return kept
+
+
+def _clean_rows(bench: Benchmark) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_blocks(batches):
+            leaks = {d for d, _ in _best(batch, bench)}
+            yield batch.filter(pa.array([k not in leaks for k in range(batch.num_rows)], pa.bool_())) if leaks else batch
+
+    return work
 
 
 @query("op1_decontaminate")

@@ -189,8 +189,9 @@ def keep_one(docs: DataFrame, shingle: int = similar_texts.SHINGLE, least: float
     ``least``; the radius of op3's fingerprints would miss most of them.
     """
     ws = Workspace(docs.sparkSession)
-    grouped = similar_texts.similar_groups(ws, docs, shingle, least)
-    counted = ws.save(grouped.groupBy("group", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))).df
+    with Workspace(docs.sparkSession) as search:
+        grouped = similar_texts.similar_groups(search, docs, shingle, least)
+        counted = ws.save(grouped.groupBy("group", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))).df
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     first = counted.groupBy("group").agg(F.min(order).alias("k"))
     marked = ws.save(counted.join(first, "group").withColumn("keep", order.eqNullSafe(F.col("k"))).select("doc_id", "digest", "n", "keep")).df
