@@ -34,6 +34,8 @@ RULES = (
 STRICT = ("casino", "porn", "xxx", "viagra", "pills", "warez", "spam")
 SOFT = ("adult", "bet", "bonus", "cheap", "deal", "farm", "free", "jackpot", "loan", "poker", "prize", "win")
 SOFT_NEEDED = 2
+#: Characters that go on a word: ASCII letters and digits, as a url spells others by escapes.
+INSIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -72,7 +74,7 @@ def count_terms(urls: DataFrame, strict: tuple = STRICT, soft: tuple = SOFT) ->
                 low = (url or "").lower()
                 for end, (kind, term) in automaton.iter(low):
                     begin = end - len(term)
-                    if not (begin >= 0 and low[begin].isalnum()) and not low[end + 1 : end + 2].isalnum():
+                    if not ((begin >= 0 and low[begin] in INSIDE) or low[end + 1 : end + 2] in INSIDE):
                         hits[kind].add(term)
                 for kind in (0, 1):
                     found[kind].append(len(hits[kind]))
