@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each on all the one before kept.
 
 Language identification drops documents without a known language, one document
-of each group of near-duplicates (five-word shingles, similarity 0.8) is kept,
+of each group of near-duplicates (SimHash search, then exact similarity 0.8 of
+five-word shingles, which also finds what the search's radius misses) is kept,
 decontamination drops documents that hold a benchmark item, the secret scan masks
 what it finds, and packing lays the rest out in training sequences.  Stages are
 written as Parquet below the cluster's shared folder and read again, so a lost

@@ -186,11 +186,13 @@ def keep_one(docs: DataFrame, shingle: int = similar_texts.SHINGLE, least: float
     """One row of each group of near-duplicates, the one with the smallest id.
 
     Near-duplicates are texts whose shingle sets have a Jaccard similarity of
-    ``least``; the radius of op3's fingerprints would miss most of them.
+    ``least``.  Fingerprints of these shingles are searched as in op3 and what they
+    find is compared exactly; their radius misses pairs of that similarity, which
+    the rounds of ``similar_texts`` find afterwards.
     """
     ws = Workspace(docs.sparkSession)
     with Workspace(docs.sparkSession) as search:
-        grouped = similar_texts.similar_groups(search, docs, shingle, least)
+        grouped = similar_texts.similar_groups(search, docs, fingerprint, group_prints, shingle, least)
         counted = ws.save(grouped.groupBy("group", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))).df
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     first = counted.groupBy("group").agg(F.min(order).alias("k"))

@@ -6,13 +6,15 @@ shingles, so a join on these finds every pair.  The order puts shingles last tha
 are frequent in a sample of the texts, which keeps most passages of many texts
 out of the join; it decides the number of candidates and never a result.
 
-Only groups are wanted, so pairs are not formed first.  Each shingle of the join
-has a leader, and each set is compared, on whole sets, with the one leader that it
-has most shingles in common with, unless lengths or places rule the similarity
-out.  Further rounds, with other leaders, go over the shingles that still lie in
-several groups.  What is left, sets of different groups with a shingle in common,
-is then compared pair by pair, so no link is lost; most of a crowd of near copies
-is one group by then and forms no pairs.
+Only groups are wanted, so pairs are not formed first.  A search over fingerprints
+comes before all else: of the sets that it puts into one group, each is compared, on
+whole sets, with the first.  The rest is what makes the answer exact, as a radius of
+bits promises no similarity.  Each shingle of the join has a leader, and each set is
+compared with the one leader that it has most shingles in common with, unless lengths
+or places rule the similarity out.  Further rounds, with other leaders, go over the
+shingles that still lie in several groups.  What is left, sets of different groups
+with a shingle in common, is then compared pair by pair, so no link is lost; most of a
+crowd of near copies is one group by then and forms no pairs.
 
 Shingles are told apart by 64-bit hashes, sets by 128 bits, rows by their id and
 a 128-bit digest of their text.
@@ -23,7 +25,7 @@ words; null texts and texts without words are equal sets; case is folded for A-Z
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from copy import deepcopy as copy
 from functools import reduce
 
@@ -113,21 +115,24 @@ def digest(text: Column) -> Column:
     return F.md5(text)
 
 
-def _prefixes(rows: DataFrame, size: int, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(doc_id, digest, set, n, prefix)`` of ``(doc_id, digest, text)``."""
+def _prefixes(rows: DataFrame, size: int, least: float, frequent: tuple[np.ndarray, np.ndarray], mark: Callable[[bytes | None, int], int]) -> DataFrame:
+    """``(doc_id, digest, set, n, prefix, fp)`` of ``(doc_id, digest, text)``; ``mark``
+    makes the fingerprint of a text."""
     names = ["doc_id", "digest"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches, 64):
-            found = [shingle_set(t.as_py(), size) for t in batch.column("text").cast(pa.large_binary())]
+            texts = batch.column("text").cast(pa.large_binary())
+            found = [shingle_set(t.as_py(), size) for t in texts]
+            prints = np.fromiter((mark(t.as_py(), size) for t in texts), "<u8", batch.num_rows).view("<i8")
             ids = pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in found], pa.binary())
-            columns = [ids, pa.array([len(s) for s in found], pa.int64()), _lists([prefix(s, least, frequent) for s in found])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "set", "n", "prefix"])
+            columns = [ids, pa.array([len(s) for s in found], pa.int64()), _lists([prefix(s, least, frequent) for s in found]), pa.array(prints)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "set", "n", "prefix", "fp"])
 
     bound_batches(rows)
-    schema = copy(rows.drop("text").schema).add("set", "binary").add("n", "long").add("prefix", ArrayType(LongType()))
+    schema = copy(rows.drop("text").schema).add("set", "binary").add("n", "long").add("prefix", ArrayType(LongType())).add("fp", "long")
     return rows.mapInArrow(work, schema)
 
 
@@ -176,8 +181,15 @@ def _candidates(met: DataFrame, least: float) -> DataFrame:
     return shared.where(F.col("c") + rest >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - _EPS).select("a", "b")
 
 
+def print_pairs(leading: DataFrame, near: DataFrame) -> DataFrame:
+    """``(a, b, lead)``: each ``(set, fp)`` with the first set of its group ``(fp, group)``."""
+    members = leading.join(near, "fp").select("set", "group")
+    lead = members.groupBy("group").agg(F.min("set").alias("lead"))
+    return members.join(lead, "group").where("set <> lead").select(F.col("lead").alias("a"), F.col("set").alias("b"), "lead")
+
+
 def leader_pairs(keys: DataFrame, least: float, turn: int, tested: DataFrame | None = None) -> DataFrame:
-    """``(a, b)``: each set with one leader of its keys that is of another group,
+    """``(a, b, lead)``: each set with one leader of its keys that is of another group,
     the one it has most keys in common with; at most one pair per set.
 
     The leader of a key is one of the sets that have most in common with others,
@@ -196,24 +208,30 @@ def leader_pairs(keys: DataFrame, least: float, turn: int, tested: DataFrame | N
     common = common.select("set", "lead", "c", F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b"))
     if tested is not None:
         common = common.join(tested, ["a", "b"], "left_anti")
-    best = common.groupBy("set").agg(F.max(F.struct("c", "a", "b")).alias("m"))
-    return best.select("m.a", "m.b").distinct()
+    best = common.groupBy("set").agg(F.max(F.struct("c", "a", "b", "lead")).alias("m"))
+    return best.groupBy("m.a", "m.b").agg(F.max("m.lead").alias("lead"))
 
 
 def open_pairs(keys: DataFrame, least: float) -> DataFrame:
-    """``(a, b)``: all pairs of sets of different groups that may be similar."""
+    """``(a, b, lead)``: all pairs of sets of different groups that may be similar."""
     a = keys.select("key", *[F.col(c).alias(f"{c}_a") for c in ("set", "n", "i", "group")])
     b = keys.select("key", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "i", "group")])
     apart = (F.col("group_a") < F.col("group_b")) & _may_be_similar(least)
-    return _candidates(a.join(b, "key").where(apart), least)
+    return _candidates(a.join(b, "key").where(apart), least).withColumn("lead", F.col("b"))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The ``(a, b)`` whose whole sets are similar."""
-    left = sets.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
+def _similar(pairs: Saved, sets: DataFrame, least: float) -> DataFrame:
+    """The ``(a, b)`` whose whole sets are similar.
+
+    Only sets of a pair are moved, and those of leaders, which are few, once each.
+    """
+    own = F.when(F.col("a") == F.col("lead"), F.col("b")).otherwise(F.col("a"))
+    short = (lambda df: F.broadcast(df)) if pairs.rows * IDENTITY_BYTES <= BROADCAST_BYTES else (lambda df: df)
+    left = sets.select(F.col("set").alias("own"), F.col("shingles").alias("x")).join(short(pairs.df.withColumn("own", own)), "own")
+    right = sets.select(F.col("set").alias("lead"), F.col("shingles").alias("y"))
+    right = right.join(short(pairs.df.select("lead").distinct()), "lead", "left_semi")
     shared = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("c"), (F.size("x") + F.size("y")).alias("n"))
+    both = left.join(right, "lead").select("a", "b", shared.alias("c"), (F.size("x") + F.size("y")).alias("n"))
     return both.where(F.col("c") >= least * (F.col("n") - F.col("c")) - _EPS).select("a", "b")
 
 
@@ -232,19 +250,27 @@ def _still_mixed(keys: DataFrame, groups: DataFrame | None) -> DataFrame:
     return named.join(mixed.select("key"), "key").select("key", "set", "n", "i", "share", "group")
 
 
-def similar_groups(ws: Workspace, docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def similar_groups(
+    ws: Workspace, docs: DataFrame, mark: Callable[[bytes | None, int], int],
+    near: Callable[[Workspace, DataFrame], DataFrame], shingle: int = SHINGLE, least: float = LEAST,
+) -> DataFrame:
     """``(doc_id, digest, group)`` of every row.
 
     Rows are in one group if a chain of similar pairs leads from one to the other.
+    ``mark`` makes the fingerprint of a text from shingles of a size, and ``near``
+    finds ``(fp, group)`` of near ones among distinct ``fp``.
     """
     texts = docs.select("doc_id", digest(F.col("text")).alias("digest"), "text")
-    prefixes = _prefixes(texts, shingle, least, _frequent(texts, shingle))
+    prefixes = _prefixes(texts, shingle, least, _frequent(texts, shingle), mark)
     rows = ws.save(prefixes.withColumn("row", F.monotonically_increasing_id())).df
     # Equal sets are searched once, under the number of their first row.
     firsts = ws.save(rows.groupBy("set").agg(F.min("row").alias("first"))).df
     plain = rows.select("doc_id", "digest", "set").join(firsts, "set").select("doc_id", "digest", F.col("first").alias("set"))
     leading = rows.where("n > 0").join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
     keys = shared_keys(ws, leading.select(F.col("row").alias("set"), "n", "prefix"))
+    marked = ws.save(leading.select(F.col("row").alias("set"), "fp")).df
+    by_print = print_pairs(marked, near(ws, ws.save(marked.select("fp").distinct()).df))
+    repeated = not rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
     def whole(ids: DataFrame) -> DataFrame:
         """The whole sets of ``set`` numbers."""
@@ -252,12 +278,16 @@ def similar_groups(ws: Workspace, docs: DataFrame, shingle: int = SHINGLE, least
         ends = small_side(ws.save(ends, rows=F.count(F.lit(1))))
         same = texts.doc_id.eqNullSafe(ends.doc_id) & texts.digest.eqNullSafe(ends.digest)
         found = texts.join(ends, same).select(ends.row.alias("set"), texts.text)
-        return _sets(found, ["set"], shingle).dropDuplicates(["set"])
+        made = _sets(found, ["set"], shingle)
+        return made.dropDuplicates(["set"]) if repeated else made
 
     mixed, groups, links, tested, sets = ws.save(_still_mixed(keys, None)), None, [], None, None
-    for turn in range(LEADERS + 1):
+    for turn in range(-1, LEADERS + 1):
         final = turn == LEADERS
-        pairs = open_pairs(mixed.df, least) if final else leader_pairs(mixed.df, least, turn, tested)
+        if turn < 0:
+            pairs = by_print
+        else:
+            pairs = open_pairs(mixed.df, least) if final else leader_pairs(mixed.df, least, turn, tested)
         if final and tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = ws.save(pairs, rows=F.count(F.lit(1)))
@@ -266,8 +296,9 @@ def similar_groups(ws: Workspace, docs: DataFrame, shingle: int = SHINGLE, least
         ends = pairs.df.select(F.col("a").alias("set")).union(pairs.df.select("b")).distinct()
         more = ws.save(whole(ends if sets is None else ends.join(sets, "set", "left_anti"))).df
         sets = more if sets is None else sets.unionAll(more)
-        found = ws.save(_similar(pairs.df, sets, least), rows=F.count(F.lit(1)))
-        tested = pairs.df if tested is None else tested.unionAll(pairs.df)
+        found = ws.save(_similar(pairs, sets, least), rows=F.count(F.lit(1)))
+        compared = pairs.df.select("a", "b")
+        tested = compared if tested is None else tested.unionAll(compared)
         if found.rows:
             links.append(found.df)
             groups = _grouped(ws, reduce(DataFrame.unionAll, links))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matloom.llm import similar_texts
+from matloom.llm import simhash, similar_texts
 from matloom.llm.simhash import keep_one
 
 
@@ -103,3 +103,17 @@ def test_clashing_columns_null_ids_and_equal_rows(spark):
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == [(3, text), (4, ""), (5, "other words")]
     assert keep_one(docs.limit(0)).count() == 0
+
+
+def test_the_stage_searches_fingerprints(spark, monkeypatch):
+    """The groups of the SimHash search are compared before any other pair."""
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(i, base + f" end{i}") for i in range(6)] + [(9, "other words than these are here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    searched, compared, real, similar = [], [], simhash.group_prints, similar_texts._similar
+    monkeypatch.setattr(simhash, "group_prints", lambda ws, prints: searched.append(prints.count()) or real(ws, prints))
+    monkeypatch.setattr(similar_texts, "_similar", lambda pairs, *args: compared.append(pairs.rows) or similar(pairs, *args))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == brute_kept(rows)
+    prints = {simhash.fingerprint(t.encode(), 5) for _, t in rows}
+    assert searched == [len(prints)]
+    assert compared[0] == 5
