@@ -4,7 +4,7 @@
 option; ``binary_vector``: float64 values whose index is their place.  A path is
 one file that begins with the number of its records, or a folder of parts without
 such a header.  Readers plan ranges of records from file sizes alone and each task
-seeks to its own.  Writers leave one part per task; a part appears under its name
+seeks to its own; ranges of a small ``chunk`` are dealt to tasks many at a time.  Writers leave one part per task; a part appears under its name
 only when the whole job commits, so lost or repeated tasks leave nothing behind.
 
     spark.dataSource.register(BinaryCoo)
@@ -31,6 +31,8 @@ from matloom.model import SparseMatrix, Vector
 HEADER_BYTES = 8
 #: Records of one input partition, and of one batch.
 CHUNK_RECORDS, BATCH_RECORDS = 4_000_000, 262_144
+#: Input partitions beyond which one takes several ranges, while they hold less than CHUNK_RECORDS.
+PARTITIONS = 64
 _MEMBERS = {"i": "<i4", "j": "<i4", "v": "<f8"}
 
 
@@ -50,6 +52,13 @@ class Range(InputPartition):
     first: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    ranges: list[Range]
+
+
 @dataclass
 class Part(WriterCommitMessage):
     temporary: str
@@ -69,7 +78,7 @@ class _Reader(DataSourceReader):
         self.path, self.dtype = options["path"], dtype
         self.base, self.chunk = int(options.get("base", 0)), int(options.get("chunk", CHUNK_RECORDS))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         system, inner = located(self.path)
         size = self.dtype.itemsize
         if system.get_file_info(inner).type == fs.FileType.File:
@@ -79,16 +88,29 @@ class _Reader(DataSourceReader):
         else:
             found = [x for x in system.get_file_info(fs.FileSelector(inner)) if x.base_name.startswith("part-")]
             files = [(x.path, 0, x.size // size, int(x.base_name.split("-")[1])) for x in found]
-        return [
+        ranges = [
             Range(path, head + at * size, min(self.chunk, n - at), first + at)
             for path, head, n, first in files
             for at in range(0, n, self.chunk)
-        ] or [Range(inner, 0, 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        ]
+        # A task per range would cost more than its few records.
+        total = sum(x.count for x in ranges)
+        most = min(CHUNK_RECORDS, -(-total // PARTITIONS))
+        out, held = [], 0
+        for x in ranges:
+            if not out or held + x.count > max(most, 1):
+                out.append(Ranges([]))
+                held = 0
+            out[-1].ranges.append(x)
+            held += x.count
+        return out or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from self.read_range(part)
+
+    def read_range(self, partition: Range) -> Iterator[pa.RecordBatch]:
         system, _ = located(self.path)
-        if not partition.count:
-            return
         with system.open_input_file(partition.path) as f:
             for at in range(0, partition.count, BATCH_RECORDS):
                 n = min(BATCH_RECORDS, partition.count - at)
