@@ -29,7 +29,7 @@ class TriangularSolve:
         strict = a.df.where("j < i" if side == "lower" else "j > i")
         self.diag = None if diag is None else diag.df.withColumnRenamed("v", "d")
         self.levels, self.depth = level_schedule(ws, triangle_needs(strict, side), ws.spark.range(self.n))
-        self._strict, self._filed, self._by_column = strict, None, None
+        self._strict, self._filed, self._inner = strict, None, None
 
     def _start(self, b: Vector) -> DataFrame:
         rows = b.df.select("i", F.col("v").alias("b"))
@@ -62,19 +62,38 @@ class TriangularSolve:
 
     def sweep(self, b: Vector) -> Vector:
         """x ← D⁻¹(b − N·x), repeated depth − 1 times, which is exact because N
-        is nilpotent."""
-        if self._by_column is None:
-            self._by_column = Pinned(self.ws, self._strict.select("i", "j", "v"), "j")
-        start = self.ws.save(self._start(b)).df
-        x = start.select("i", (F.col("b") / F.col("d")).alias("v"))
-        for k in range(1, self.depth):
-            known = x.select(F.col("i").alias("j"), F.col("v").alias("x"))
-            sums = self._by_column.join(known).groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
-            rest = F.col("b") - F.coalesce("s", F.lit(0.0))
-            x = start.join(sums, "i", "left").select("i", (rest / F.col("d")).alias("v"))
+        is nilpotent.  Rows of the first level are known at once and send their
+        products once; only the rows behind them are swept again."""
+        if self._inner is None:
+            level = self.levels.select(F.col("id").alias("i"), "level")
+            self._rows = self.ws.save(level if self.diag is None else level.join(self.diag, "i")).df
+            first = self.levels.where("level = 0").select(F.col("id").alias("j"), F.lit(True).alias("first"))
+            cells = self._strict.select("i", "j", "v").join(first, "j", "left")
+            cells = self.ws.save(cells.select("i", "j", "v", F.coalesce("first", F.lit(False)).alias("first"))).df
+            self._outer = Pinned(self.ws, cells.where("first").drop("first"), "j")
+            self._inner = Pinned(self.ws, cells.where("NOT first").drop("first"), "j")
+        rows = b.df.select("i", F.col("v").alias("b")).join(self._rows, "i", "left" if self.diag is None else "inner")
+        d = F.lit(1.0) if self.diag is None else F.col("d")
+        start = self.ws.save(rows.select("i", "b", d.alias("d"), F.coalesce("level", F.lit(0)).alias("level"))).df
+        solved = start.where("level = 0").select("i", (F.col("b") / F.col("d")).alias("v"))
+        if self.depth < 2:
+            return Vector(solved, self.n)
+        later = self._less(start.where("level > 0").drop("level"), self._outer, solved)
+        if self.depth > 2:
+            later = self.ws.save(later).df
+        x = later.select("i", (F.col("b") / F.col("d")).alias("v"))
+        for k in range(2, self.depth):
+            x = self._less(later, self._inner, x).select("i", (F.col("b") / F.col("d")).alias("v"))
             if k % self.CHAIN == 0:
                 x = self.ws.save(x).df
-        return Vector(x, self.n)
+        return Vector(solved.unionAll(x), self.n)
+
+    @staticmethod
+    def _less(rows: DataFrame, cells: Pinned, x: DataFrame) -> DataFrame:
+        """``(i, b, d)`` with the products of ``cells`` and ``x`` taken from b."""
+        known = x.select(F.col("i").alias("j"), F.col("v").alias("x"))
+        sums = cells.join(known).groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
+        return rows.join(sums, "i", "left").select("i", (F.col("b") - F.coalesce("s", F.lit(0.0))).alias("b"), "d")
 
     def apply(self, b: Vector) -> Vector:
         return self.solve(b) if self.by == "levels" else self.sweep(b)

@@ -9,14 +9,19 @@ Matrices that are joined again and again are bucketed once.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 10 * 1024 * 1024  # a counted table below this may be broadcast
+#: The same inside a loop, where every round would send its tables through the driver again.
+LOOP_BROADCAST_BYTES = 1024 * 1024
 CELL_BYTES = 16  # memory of one value in a broadcast row, generously
 
 
@@ -33,6 +38,25 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+@contextmanager
+def modest_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Plan joins with Spark's broadcast threshold lowered to that of a loop."""
+    before = spark.conf.get(_THRESHOLD)
+    size = re.fullmatch(r"\s*(\d+)\s*([bkmgt]?)i?b?\s*", before.lower())
+    if size is None or int(size[1]) * _UNITS[size[2]] <= LOOP_BROADCAST_BYTES:
+        yield
+        return
+    spark.conf.set(_THRESHOLD, str(LOOP_BROADCAST_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_THRESHOLD, before)
+
+
 @dataclass(frozen=True)
 class Saved:
     """A table on shared storage plus totals taken while it was written."""
@@ -50,7 +74,7 @@ class Saved:
     @property
     def fits(self) -> bool:
         """Counted, and small enough to be sent to every task."""
-        return self.rows * len(self.df.columns) * CELL_BYTES <= BROADCAST_BYTES
+        return self.rows * len(self.df.columns) * CELL_BYTES <= LOOP_BROADCAST_BYTES
 
 
 class Workspace:
@@ -105,7 +129,8 @@ class Workspace:
         writer = df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        with modest_broadcasts(self.spark):
+            writer.parquet(path)
         if totals:
             stats = dict(seen.get)
         return Saved(self.spark.read.schema(schema).parquet(path), path, stats)
@@ -121,7 +146,8 @@ class Workspace:
     def file(self, df: DataFrame, path: str, key: str) -> None:
         """Append rows to the ``key=…`` folders that later rounds read alone."""
         writer = df.hint("rebalance", key).write.mode("append")
-        writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy(key).parquet(path)
+        with modest_broadcasts(self.spark):
+            writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy(key).parquet(path)
 
     def discard(self, *gone: Saved | None) -> None:
         """Delete tables that a newer round has replaced."""
