@@ -23,6 +23,7 @@ BROADCAST_BYTES = 10 * 1024 * 1024  # a counted table below this may be broadcas
 #: The same inside a loop, where every round would send its tables through the driver again.
 LOOP_BROADCAST_BYTES = 1024 * 1024
 CELL_BYTES = 16  # memory of one value in a broadcast row, generously
+BUCKET_ROWS = 128 * 1024  # rows of a loop's state in one bucket
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,6 +58,36 @@ def modest_broadcasts(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_THRESHOLD, before)
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """Keys and number of buckets that the tables of a loop share, so that a round
+    joins what it adds with the old state without moving the latter."""
+
+    keys: tuple[str, ...]
+    count: int
+
+    @staticmethod
+    def of(rows: int, *keys: str) -> Buckets | None:
+        """None for tables of one bucket, which stay plain."""
+        return Buckets(keys, rows // BUCKET_ROWS) if rows >= 2 * BUCKET_ROWS else None
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        """Rows dealt as in the tables; the first table of a loop needs it."""
+        return df.repartition(self.count, *self.keys)
+
+
 @dataclass(frozen=True)
 class Saved:
     """A table on shared storage plus totals taken while it was written."""
@@ -64,6 +95,7 @@ class Saved:
     df: DataFrame
     path: str
     stats: dict = field(default_factory=dict)
+    table: str | None = None
 
     @property
     def rows(self) -> int:
@@ -114,6 +146,7 @@ class Workspace:
         partition_by: str | None = None,
         path: str | None = None,
         even: bool = True,
+        buckets: Buckets | None = None,
         **totals: Column,
     ) -> Saved:
         """Write a table; keywords are aggregates observed during the write."""
@@ -129,12 +162,26 @@ class Workspace:
         writer = df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
         if partition_by:
             writer = writer.partitionBy(partition_by)
+        if buckets is not None:
+            return self._save_bucketed(writer, path, buckets, seen if totals else None)
         with modest_broadcasts(self.spark):
             writer.parquet(path)
         if totals:
             stats = dict(seen.get)
         return Saved(self.spark.read.schema(schema).parquet(path), path, stats)
 
+    def _save_bucketed(self, writer, path: str, buckets: Buckets, seen: Observation | None) -> Saved:
+        table = f"matloom_{uuid.uuid4().hex}"
+        self.tables.append(table)
+        # Sums arrive in as many partitions as there are buckets, and each task writes its own.
+        same = {
+            "spark.sql.shuffle.partitions": str(buckets.count),
+            "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+        }
+        with modest_broadcasts(self.spark), _settings(self.spark, same):
+            writer.bucketBy(buckets.count, *buckets.keys).option("path", path).saveAsTable(table)
+        return Saved(self.spark.table(table), path, {} if seen is None else dict(seen.get), table)
+
     def part(self, path: str, schema: str, key: str, value: int) -> DataFrame:
         """One ``key=value`` folder of a partitioned table, without listing the
         others; empty when nothing was filed there."""
@@ -153,6 +200,9 @@ class Workspace:
         """Delete tables that a newer round has replaced."""
         for saved in gone:
             if saved is not None:
+                if saved.table:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {saved.table}")
+                    self.tables.remove(saved.table)
                 folder, fs = self._located(saved.path)
                 fs.delete(folder, True)
 
