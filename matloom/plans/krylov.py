@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from matloom.model import SparseMatrix, Vector
 from matloom.operators.structure import diagonal
-from matloom.runtime import Pinned, Saved, Workspace
+from matloom.runtime import Buckets, Pinned, Saved, Workspace
 
 Preconditioner = Callable[[Vector], Vector]
 
@@ -26,6 +26,7 @@ REL_TOL = 1e-8
 ABS_TOL = 0.0
 BREAKDOWN = 1e-16
 REORTHOGONALIZE_BELOW = 0.5  # share of ‖w‖² that must survive one pass
+SINGLE_PASS_ABOVE = 1e-4  # the same where the products of the basis with itself are known
 
 
 class NotPositiveDefinite(ArithmeticError):
@@ -53,9 +54,9 @@ class Solution:
 class Operator:
     """A matrix laid out for repeated products."""
 
-    def __init__(self, ws: Workspace, a: SparseMatrix):
+    def __init__(self, ws: Workspace, a: SparseMatrix, bucket_rows: int | None = None):
         self.ws, self.n = ws, a.nrows
-        self.entries = Pinned(ws, a.entries(), "j")
+        self.entries = Pinned(ws, a.entries(), "j", bucket_rows)
 
     def times(self, x: DataFrame, like: Saved | None, name: str = "s") -> DataFrame:
         """``(i, name)`` for ``x`` ``(i, v)``; rows without entries are absent."""
@@ -192,6 +193,50 @@ def orthogonal_step(ws: Workspace, rows: DataFrame, k: int):
     return again, [x + y for x, y in zip(h, h2)], norm, F.col("w") - _combine(h2, "V")
 
 
+def with_last(gram, last):
+    """The products of all basis vectors, given those of the last one."""
+    import numpy as np
+
+    k = len(last)
+    gram = np.pad(gram[: k - 1, : k - 1], (0, 1))
+    gram[k - 1, :] = gram[:, k - 1] = last
+    return gram
+
+
+def remaining(gram, h, ww: float):
+    """Coefficients that clean ``w`` of a basis with products ``gram``, and ‖w‖² after.
+
+    ``h`` alone would leave what the basis lacks in orthogonality, times ``h``; a
+    second pass over the rows measures that, ``gram`` tells it beforehand.
+    """
+    c = h + (h - gram @ h)
+    return c, ww - 2 * float(c @ h) + float(c @ gram @ c)
+
+
+def orthogonal_round(ws: Workspace, rows: DataFrame, k: int, gram, buckets: Buckets | None):
+    """As :func:`orthogonal_step`, mostly with a single write of the basis.
+
+    Also returns the products of the basis vectors, kept up from ``gram``.
+    """
+    import numpy as np
+
+    last = F.col("V")[k - 1]
+    dots = {f"h{m}": _dot(F.col("w"), F.col("V")[m]) for m in range(k)}
+    own = {f"e{m}": _dot(last, F.col("V")[m]) for m in range(k)}
+    at = ws.save(rows, buckets=buckets, ww=_dot(F.col("w"), F.col("w")), **dots, **own)
+    gram = with_last(gram, [at.stats[f"e{m}"] for m in range(k)])
+    h, ww = np.array([at.stats[f"h{m}"] for m in range(k)]), at.stats["ww"]
+    c, left = remaining(gram, h, ww)
+    if left > SINGLE_PASS_ABOVE * ww:
+        return at, c, math.sqrt(left), F.col("w") - _combine(c, "V"), gram
+    cleaned = at.df.withColumn("w", F.col("w") - _combine(c, "V"))
+    again = ws.save(cleaned, buckets=buckets, ww=_dot(F.col("w"), F.col("w")), **dots)
+    h2 = np.array([again.stats[f"h{m}"] for m in range(k)])
+    ws.discard(at)
+    norm = math.sqrt(max(again.stats["ww"] - float(h2 @ h2), 0.0))
+    return again, c + h2, norm, F.col("w") - _combine(h2, "V"), gram
+
+
 def fgmres(
     ws: Workspace,
     a: SparseMatrix,

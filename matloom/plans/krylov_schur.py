@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from matloom.model import SparseMatrix, Vector
 from matloom.operators.products import matvec
 from matloom.plans.eigen import EXHAUSTED, NCV, NEV, TOL, EigenPair
-from matloom.plans.krylov import NotConverged, Operator
+from matloom.plans.krylov import SINGLE_PASS_ABOVE, NotConverged, Operator, remaining, with_last
 from matloom.plans.solvers import DirectSolver
-from matloom.runtime import Saved, Workspace
+from matloom.runtime import BUCKET_ROWS, Buckets, Saved, Workspace
 
 MAX_RESTARTS = 100
 
@@ -50,8 +50,9 @@ class KrylovSchur:
         self.nev, self.which, self.ncv, self.tol = nev, which, min(ncv, a.nrows), tol
         self.shift, self.state = shift, state and state.rstrip("/")
         self.widest = 0
-        self._mass = None if b is None else Operator(ws, b)
-        self._op = Operator(ws, a) if shift is None else None
+        self._buckets = Buckets.of(self.n, "i")
+        self._mass = None if b is None else Operator(ws, b, BUCKET_ROWS)
+        self._op = Operator(ws, a, BUCKET_ROWS) if shift is None else None
         self._solver = None
         if shift is not None:
             minus = b.entries() if b is not None else ws.spark.range(self.n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
@@ -63,15 +64,20 @@ class KrylovSchur:
 
     # -- state ------------------------------------------------------------
 
-    def _commit(self, rows: DataFrame, t: np.ndarray, restarts: int, steps: int) -> DataFrame:
+    def _keep(self, rows: DataFrame, deal: bool = False, **totals: Column) -> Saved:
+        """Write rows of the basis so that later rounds need not move them."""
+        rows = self._buckets.deal(rows) if deal and self._buckets else rows
+        return self.ws.save(rows, buckets=self._buckets, **totals)
+
+    def _commit(self, rows: DataFrame, t: np.ndarray, gram: np.ndarray, restarts: int, steps: int) -> DataFrame:
         """Write the basis, then the small state; readers look for the latter."""
         folder = f"{self.state}/restart={restarts:06d}"
         saved = self.ws.save(rows, path=f"{folder}/rows")
-        text = json.dumps({"t": t.tolist(), "steps": steps, "schema": rows.schema.json()})
+        text = json.dumps({"t": t.tolist(), "gram": gram.tolist(), "steps": steps, "schema": rows.schema.json()})
         self.ws.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/small")
         return saved.df
 
-    def _last(self) -> tuple[DataFrame, np.ndarray, int, int] | None:
+    def _last(self) -> tuple[DataFrame, np.ndarray, np.ndarray, int, int] | None:
         if self.state is None:
             return None
         folder, fs = self.ws._located(self.state)
@@ -82,7 +88,9 @@ class KrylovSchur:
                 from pyspark.sql.types import StructType
 
                 rows = self.ws.spark.read.schema(StructType.fromJson(json.loads(small["schema"]))).parquet(f"{self.state}/{name}/rows")
-                return rows, np.array(small["t"]), int(name.split("=")[1]), small["steps"]
+                gram = np.array(small.get("gram") or np.eye(len(small["t"])))
+                rows = self._keep(rows, deal=True).df if self._buckets else rows
+                return rows, np.array(small["t"]), gram, int(name.split("=")[1]), small["steps"]
         return None
 
     # -- iteration --------------------------------------------------------
@@ -90,7 +98,7 @@ class KrylovSchur:
     def _start(self, start: Vector) -> DataFrame:
         x = self.ws.save(start.df).df
         both = x.withColumn("u", F.col("v")) if self.b is None else x.join(self._mass.times(x, None, "u"), "i", "left").withColumn("u", F.coalesce("u", F.lit(0.0)))
-        both = self.ws.save(both, vv=F.sum(F.col("v") * F.col("u")))
+        both = self._keep(both, deal=True, vv=F.sum(F.col("v") * F.col("u")))
         size = math.sqrt(both.stats["vv"])
         rows = both.df.select("i", F.array(F.col("v") / size).alias("V"), F.array(F.col("u") / size).alias("U"))
         return rows if self.b is not None else rows.drop("U")
@@ -111,26 +119,31 @@ class KrylovSchur:
             return w.select("i", F.col("v").alias("w"), F.col("v").alias("z"))
         return w.withColumnRenamed("v", "w").join(self._mass.times(w, None, "z"), "i", "left")
 
-    def _expand(self, rows: DataFrame, m: int) -> tuple[Saved, np.ndarray, float, Column, Column]:
-        """Operator on the last of ``m`` vectors, made orthogonal to all twice.
+    def _expand(self, rows: DataFrame, m: int, gram: np.ndarray) -> tuple[Saved, np.ndarray, float, Column, Column, np.ndarray]:
+        """Operator on the last of ``m`` vectors, made orthogonal to all.
 
-        Returns the written rows with ``w`` and ``z`` after the first pass, the
-        coefficients, the remaining length, and the finished ``w`` and ``z``.
+        Returns the written rows with ``w`` and ``z``, the coefficients, the
+        remaining length, the finished ``w`` and ``z`` and the products of the
+        basis vectors.  Only what is left of a nearly exhausted basis takes a
+        second pass.
         """
-        ws, own = self.ws, "V" if self.b is None else "U"
-        dots = lambda z: {f"h{k}": F.sum(F.col("V")[k] * z) for k in range(m)}
+        own = "V" if self.b is None else "U"
+        dots = lambda z, name: {f"{name}{k}": F.sum(F.col("V")[k] * z) for k in range(m)}
         joined = rows.join(self._apply(rows, m - 1), "i", "left")
         joined = joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("w", "z")})
-        one = ws.save(joined, **dots(F.col("z")))
-        h = np.array([one.stats[f"h{k}"] for k in range(m)])
-        less = {"w": F.col("w") - _combined(F.col("V"), h), "z": F.col("z") - _combined(F.col(own), h)}
-        two = ws.save(one.df.withColumns(less), wz=F.sum(F.col("w") * F.col("z")), **dots(F.col("z")))
+        length = F.sum(F.col("w") * F.col("z"))
+        one = self._keep(joined, wz=length, **dots(F.col("z"), "h"), **dots(F.col(own)[m - 1], "e"))
+        gram = with_last(gram, [one.stats[f"e{k}"] for k in range(m)])
+        h, left = remaining(gram, np.array([one.stats[f"h{k}"] for k in range(m)]), one.stats["wz"])
+        w, z = F.col("w") - _combined(F.col("V"), h), F.col("z") - _combined(F.col(own), h)
+        if left > SINGLE_PASS_ABOVE * one.stats["wz"]:
+            return one, h, math.sqrt(left), w, z, gram
+        two = self._keep(one.df.withColumns({"w": w, "z": z}), wz=length, **dots(F.col("z"), "h"))
         g = np.array([two.stats[f"h{k}"] for k in range(m)])
-        ws.discard(one)
+        self.ws.discard(one)
         beta = math.sqrt(max(two.stats["wz"] - float(g @ g), 0.0))
-        w = F.col("w") - _combined(F.col("V"), g)
-        z = F.col("z") - _combined(F.col(own), g)
-        return two, h + g, beta, w, z
+        w, z = F.col("w") - _combined(F.col("V"), g), F.col("z") - _combined(F.col(own), g)
+        return two, h + g, beta, w, z, gram
 
     def _order(self, theta: np.ndarray) -> np.ndarray:
         return np.argsort(-abs(theta)) if self.shift is not None else np.argsort(-theta if self.which == "L" else theta)
@@ -138,12 +151,12 @@ class KrylovSchur:
     def run(self, start: Vector, max_restarts: int = MAX_RESTARTS, partial: bool = False) -> list[EigenPair]:
         """The wanted pairs; an error if some have not converged, unless ``partial``."""
         found = self._last()
-        rows, t, restarts, steps = found or (self._start(start), np.zeros((0, 0)), 0, 0)
+        rows, t, gram, restarts, steps = found or (self._start(start), np.zeros((0, 0)), np.zeros((0, 0)), 0, 0)
         m = len(t) + 1
         vectors = ["V"] if self.b is None else ["V", "U"]
         before = None
         while True:
-            at, h, beta, w, z = self._expand(rows, m)
+            at, h, beta, w, z, gram = self._expand(rows, m, gram)
             steps += 1
             self.widest = max(self.widest, m)
             t = np.pad(t, ((0, m - len(t)), (0, m - len(t))))
@@ -167,9 +180,12 @@ class KrylovSchur:
                 for c, x in zip(vectors, (w, z))
             }
             rows, t, restarts = at.df.select("i", *made.values()), np.diag(theta[keep]), restarts + 1
-            rows = self._commit(rows, t, restarts, steps) if self.state else self.ws.save(rows).df
+            gram = s[:, keep].T @ gram @ s[:, keep]
+            committed = self._commit(rows, t, gram, restarts, steps) if self.state else None
+            kept = None if self.state and self._buckets is None else self._keep(rows)
+            rows = committed if kept is None else kept.df
             self.ws.discard(before, at)
-            before, m = None, len(keep) + 1
+            before, m = kept, len(keep) + 1
         pairs = []
         for k in order[: self.nev]:
             value = theta[k] if self.shift is None else self.shift + 1.0 / theta[k]
