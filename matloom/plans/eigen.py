@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from matloom.model import DenseMatrix, SparseMatrix, Vector
 from matloom.operators.products import matvec
-from matloom.plans.krylov import NotConverged, Operator, orthogonal_step
+from matloom.plans.krylov import NotConverged, Operator, orthogonal_round
 from matloom.plans.solvers import DirectSolver
-from matloom.runtime import Workspace
+from matloom.runtime import BUCKET_ROWS, Buckets, Workspace
 from matloom.sources.generators import _unit
 
 # Defaults of the eigenvalue iterations.
@@ -102,16 +102,17 @@ def lanczos(
         scaled = a.with_entries(df, structure="general")
     inverse, op = None, None
     if shift is None:
-        op = Operator(ws, scaled)
+        op = Operator(ws, scaled, BUCKET_ROWS)
     else:
         ids = ws.spark.range(a.nrows).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(-float(shift)).alias("v"))
         moved = scaled.entries().unionByName(ids).groupBy("i", "j").agg(F.sum("v").alias("v"))
         kind = "positive" if a.positive_definite and shift <= 0 else "indefinite"
         inverse = DirectSolver(ws, SparseMatrix(moved, a.nrows, a.ncols), kind)
-    begun = ws.save(start.df, vv=F.sum(F.col("v") * F.col("v")))
+    buckets = Buckets.of(start.n, "i")
+    begun = ws.save(buckets.deal(start.df) if buckets else start.df, buckets=buckets, vv=F.sum(F.col("v") * F.col("v")))
     rows = begun.df.select("i", F.array(F.col("v") / math.sqrt(begun.stats["vv"])).alias("V"))
     steps = min(max(ncv, max_iters), a.nrows)
-    t = np.zeros((0, 0))
+    t = gram = np.zeros((0, 0))
 
     def wanted(theta):
         order = np.argsort(-abs(theta)) if shift is not None else np.argsort(-theta if which == "L" else theta)
@@ -131,7 +132,7 @@ def lanczos(
             w = op.times(v, begun, "w")
         joined = rows.join(w, "i", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
         done = at
-        at, h, last, clean = orthogonal_step(ws, joined, m + 1)
+        at, h, last, clean, gram = orthogonal_round(ws, joined, m + 1, gram, buckets)
         ws.discard(done)
         t = np.pad(t, (0, 1))
         t[: m + 1, m] = h
