@@ -86,7 +86,9 @@ def smoothed_prolongator(ws: Workspace, a: SparseMatrix, arcs: DataFrame, member
     lumped = rows.groupBy("i", F.when(keep, F.col("j")).otherwise(F.col("i")).alias("j")).agg(F.sum("v").alias("v"))
     lumped = ws.save(lumped).df
     d = lumped.where("i = j").select("i", F.col("v").alias("d"))
-    bound = lumped.groupBy("i").agg(F.sum(F.abs("v")).alias("s")).join(d, "i").agg(F.max(F.col("s") / F.abs("d")).alias("b")).first()["b"]
+    own = F.sum(F.when(F.col("i") == F.col("j"), F.col("v")))
+    sizes = lumped.where("i IS NOT NULL").groupBy("i").agg(F.sum(F.abs("v")).alias("s"), own.alias("d"))
+    bound = sizes.where("d IS NOT NULL").agg(F.max(F.col("s") / F.abs("d")).alias("b")).first()["b"]
     step = lumped.join(d, "i").select("i", F.col("j").alias("k"), (F.lit(-4.0 / 3.0 / bound) * F.col("v") / F.col("d")).alias("v"))
     start = member.select(F.col("id").alias("k"), F.col("agg").alias("j"))
     spread = step.join(start, "k").select("i", "j", "v")

@@ -23,6 +23,9 @@ BROADCAST_BYTES = 10 * 1024 * 1024  # a counted table below this may be broadcas
 #: The same inside a loop, where every round would send its tables through the driver again.
 LOOP_BROADCAST_BYTES = 1024 * 1024
 CELL_BYTES = 16  # memory of one value in a broadcast row, generously
+#: Spark takes the size of a file for that of its table. A loop has hundreds of joins, so
+#: what each may send counts as this many times its file: 16 kB of file reach the limit.
+LOOP_FILE_FACTOR = 64
 BUCKET_ROWS = 128 * 1024  # rows of a loop's state in one bucket
 
 
@@ -40,34 +43,40 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
+_FILE_FACTOR = "spark.sql.sources.fileCompressionFactor"
+_ADAPTIVE_THRESHOLD = "spark.sql.adaptive.autoBroadcastJoinThreshold"
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 
 
 @contextmanager
 def modest_broadcasts(spark: SparkSession) -> Iterator[None]:
-    """Plan joins with Spark's broadcast threshold lowered to that of a loop."""
+    """Plan joins so that a loop does not send its tables through the driver.
+
+    Spark's broadcast threshold is lowered to that of a loop and files count for more
+    than their size.  A side that was shuffled already stays where it is.
+    """
     before = spark.conf.get(_THRESHOLD)
     size = re.fullmatch(r"\s*(\d+)\s*([bkmgt]?)i?b?\s*", before.lower())
-    if size is None or int(size[1]) * _UNITS[size[2]] <= LOOP_BROADCAST_BYTES:
+    values = {_FILE_FACTOR: str(float(LOOP_FILE_FACTOR)), _ADAPTIVE_THRESHOLD: "-1"}
+    if size is not None and int(size[1]) * _UNITS[size[2]] > LOOP_BROADCAST_BYTES:
+        values[_THRESHOLD] = str(LOOP_BROADCAST_BYTES)
+    with _settings(spark, values):
         yield
-        return
-    spark.conf.set(_THRESHOLD, str(LOOP_BROADCAST_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(_THRESHOLD, before)
 
 
 @contextmanager
 def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    before = {k: spark.conf.get(k) for k in values}
+    before = {k: spark.conf.get(k, None) for k in values}
     for k, v in values.items():
         spark.conf.set(k, v)
     try:
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 @dataclass(frozen=True)

@@ -64,3 +64,18 @@ def test_sweeps_go_over_rows_behind_the_first_level_only(spark, ws):
         assert solve._inner.rows == sum(m[i, j] != 0 for i in range(40) for j in behind) < np.count_nonzero(m)
     none = TriangularSolve(ws, matrix(spark, np.eye(3).tolist()), "lower", None, by="sweeps")
     assert [r["v"] for r in none.apply(vector(spark, [1, 2, 3])).df.orderBy("i").collect()] == [1.0, 2.0, 3.0]
+
+
+def test_small_tables_of_a_loop_stay_in_the_tasks(spark, ws):
+    """A loop has hundreds of joins, so tables of some 100 kB are too large for each."""
+    from matloom.runtime import modest_broadcasts
+
+    make = lambda seed, name: ws.save(spark.range(20_000).select(F.col("id").alias("i"), F.rand(seed).alias(name))).df
+    x, y = make(1, "x"), make(2, "y")
+    keys = ("spark.sql.sources.fileCompressionFactor", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    with modest_broadcasts(spark):
+        plan = x.join(y, "i")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert [spark.conf.get(k, None) for k in keys] == before
+    assert ws.save(x.join(y, "i"), rows=F.count(F.lit(1))).rows == 20_000
