@@ -27,6 +27,7 @@ CELL_BYTES = 16  # memory of one value in a broadcast row, generously
 #: what each may send counts as this many times its file: 16 kB of file reach the limit.
 LOOP_FILE_FACTOR = 64
 BUCKET_ROWS = 128 * 1024  # rows of a loop's state in one bucket
+TASK_ROWS = 256 * 1024  # rows of one task's share where a large table is summed by key
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -79,6 +80,15 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Rows of a large table in as many parts, by key, as keep a grouped sum small.
+
+    A sum that follows holds a part's keys, not the share of a file or of the
+    session's number of partitions, both of which grow with the table.
+    """
+    return df.repartition(rows // TASK_ROWS, *keys) if rows >= 16 * TASK_ROWS else df
+
+
 @dataclass(frozen=True)
 class Buckets:
     """Keys and number of buckets that the tables of a loop share, so that a round

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matloom.model import DenseMatrix, Graph, SparseMatrix, Vector
-from matloom.runtime import Workspace
+from matloom.runtime import Workspace, dealt
 
 _BUILT: dict[tuple, DataFrame] = {}
 
@@ -41,9 +41,11 @@ def customers(spark, sf_dir) -> int:
 
 def supply_matrix(spark: SparkSession, sf_dir: str, where: str | None = None) -> SparseMatrix:
     lines = table(spark, sf_dir, "lineitem")
+    rows = lines.count()
     if where:
         lines = lines.where(where)
-    df = lines.groupBy(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
+    cells = lines.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
+    df = dealt(cells, rows, "i", "j").groupBy("i", "j").agg(F.sum("v").alias("v"))
     return SparseMatrix(df, suppliers(spark, sf_dir), parts(spark, sf_dir))
 
 

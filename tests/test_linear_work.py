@@ -75,3 +75,25 @@ def test_compressed_rows_round_trip(spark, ws):
     ptr, body = structure.to_csr(ws, matrix(spark, m), base=1)
     assert [r["ptr"] for r in ptr.orderBy("i").collect()] == [1, 3, 3, 3, 5, 5]
     assert dense(structure.from_csr(ws, ptr, body, 5, 3, base=1)).tolist() == m
+
+
+def test_large_sums_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """A task of a sum over the lines holds a bounded share of them."""
+    from matloom import runtime
+    from matloom.operators import sums
+    from matloom.sources import tables
+
+    monkeypatch.setattr(runtime, "TASK_ROWS", 10)
+    lines = [(k % 7 if k % 11 else None, k % 50, float(k % 5)) for k in range(400)]
+    df = spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(7).toDF("s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(50).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    a = tables.supply_matrix(spark, str(tmp_path))
+    assert a.df.rdd.getNumPartitions() == 40
+    want = {}
+    for i, j, v in lines:
+        want[i, j] = want.get((i, j), 0.0) + v
+    assert {(r["i"], r["j"]): r["v"] for r in a.df.collect()} == want
+    gone = sums.add(a, a, -1.0).df.collect()
+    assert {(r["i"], r["j"]): r["v"] for r in gone} == dict.fromkeys(want, 0.0)
