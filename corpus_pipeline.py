@@ -55,7 +55,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the packed pieces."""
-    ws = Workspace(spark)
+    ws = Workspace(spark, file_factor=1)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = ws.save(stage(spark, docs, sf_dir), path=ws.new_path(name)).df

@@ -285,7 +285,7 @@ def pack(
     ``step_id`` deals the sequences of each length round the steps, so steps
     hold nearly equal numbers of tokens and the same mix of lengths.
     """
-    ws = Workspace(docs.sparkSession)
+    ws = Workspace(docs.sparkSession, file_factor=1)
     cut = ws.save(pieces(docs, window, shortest, vocabulary))
     order = [F.col(c) for c in ("doc_id", "start", "ids_crc32")]
     ranked = ws.save(rank_within(ws, cut.df, ["length"], order, "rank"))

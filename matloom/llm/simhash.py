@@ -172,7 +172,7 @@ def group_prints(ws: Workspace, prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row."""
-    ws = Workspace(docs.sparkSession)
+    ws = Workspace(docs.sparkSession, file_factor=1)
     rows = ws.save(fingerprints(docs, ["doc_id"])).df
     firsts = ws.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"))).df
     grouped = ws.save(group_prints(ws, firsts.select("fp"))).df
@@ -190,8 +190,8 @@ def keep_one(docs: DataFrame, shingle: int = similar_texts.SHINGLE, least: float
     find is compared exactly; their radius misses pairs of that similarity, which
     the rounds of ``similar_texts`` find afterwards.
     """
-    ws = Workspace(docs.sparkSession)
-    with Workspace(docs.sparkSession) as search:
+    ws = Workspace(docs.sparkSession, file_factor=1)
+    with Workspace(docs.sparkSession, file_factor=1) as search:
         grouped = similar_texts.similar_groups(search, docs, fingerprint, group_prints, shingle, least)
         counted = ws.save(grouped.groupBy("group", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))).df
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")

@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     ``spans`` are the removed stretches, ``kept`` the bytes that stay.
     """
-    ws = Workspace(docs.sparkSession)
+    ws = Workspace(docs.sparkSession, file_factor=1)
     body = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     # Rows of one id and text share their result, so one key serves both.
     rows = docs.select(F.xxhash64("doc_id", "text").alias("d"), "doc_id", body.alias("body"))

@@ -269,7 +269,7 @@ def scored_links(ws: Workspace, aligned: DataFrame, key: str, head: int = HEAD)
 
 @query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark)
+    ws = Workspace(spark, file_factor=1)
     digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
     aligned = align(documents(spark, sf_dir), ["doc_id"]).withColumn("groups_sha256", digest).drop("groups")
     aligned = ws.save(aligned.withColumn("row", F.monotonically_increasing_id())).df

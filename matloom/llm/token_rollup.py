@@ -133,7 +133,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted under two tokenizer versions, then a second
     version of the word rule revises every count of a non-English document and
     withdraws documents marked toxic; that batch is delivered twice."""
-    ws = Workspace(spark)
+    ws = Workspace(spark, file_factor=1)
     rollup = TokenRollup(spark, ws.new_path("rollup"))
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -110,6 +110,6 @@ def checksums(store: DataFrame) -> DataFrame:
 
 @query("op6_token_orc")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Workspace(spark).new_path("tokens")
+    path = Workspace(spark, file_factor=1).new_path("tokens")
     write_store(documents(spark, sf_dir), path)
     return checksums(read_store(spark, path))

@@ -50,15 +50,16 @@ _UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 
 
 @contextmanager
-def modest_broadcasts(spark: SparkSession) -> Iterator[None]:
+def modest_broadcasts(spark: SparkSession, file_factor: int = LOOP_FILE_FACTOR) -> Iterator[None]:
     """Plan joins so that a loop does not send its tables through the driver.
 
     Spark's broadcast threshold is lowered to that of a loop and files count for more
-    than their size.  A side that was shuffled already stays where it is.
+    than their size.  A side that was shuffled already stays where it is.  With a
+    factor of 1 only the threshold is lowered, for jobs of few joins.
     """
     before = spark.conf.get(_THRESHOLD)
     size = re.fullmatch(r"\s*(\d+)\s*([bkmgt]?)i?b?\s*", before.lower())
-    values = {_FILE_FACTOR: str(float(LOOP_FILE_FACTOR)), _ADAPTIVE_THRESHOLD: "-1"}
+    values = {} if file_factor == 1 else {_FILE_FACTOR: str(float(file_factor)), _ADAPTIVE_THRESHOLD: "-1"}
     if size is not None and int(size[1]) * _UNITS[size[2]] > LOOP_BROADCAST_BYTES:
         values[_THRESHOLD] = str(LOOP_BROADCAST_BYTES)
     with _settings(spark, values):
@@ -131,8 +132,8 @@ class Saved:
 class Workspace:
     """Hands out tables below one private folder of the shared storage."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, file_factor: int = LOOP_FILE_FACTOR):
+        self.spark, self.file_factor = spark, file_factor
         self.root = f"{shared_folder(spark)}/matloom-{uuid.uuid4().hex}"
         self.tables: list[str] = []
         self._next = 0
@@ -183,7 +184,7 @@ class Workspace:
             writer = writer.partitionBy(partition_by)
         if buckets is not None:
             return self._save_bucketed(writer, path, buckets, seen if totals else None)
-        with modest_broadcasts(self.spark):
+        with modest_broadcasts(self.spark, self.file_factor):
             writer.parquet(path)
         if totals:
             stats = dict(seen.get)
@@ -197,7 +198,7 @@ class Workspace:
             "spark.sql.shuffle.partitions": str(buckets.count),
             "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
         }
-        with modest_broadcasts(self.spark), _settings(self.spark, same):
+        with modest_broadcasts(self.spark, self.file_factor), _settings(self.spark, same):
             writer.bucketBy(buckets.count, *buckets.keys).option("path", path).saveAsTable(table)
         return Saved(self.spark.table(table), path, {} if seen is None else dict(seen.get), table)
 
@@ -212,7 +213,7 @@ class Workspace:
     def file(self, df: DataFrame, path: str, key: str) -> None:
         """Append rows to the ``key=…`` folders that later rounds read alone."""
         writer = df.hint("rebalance", key).write.mode("append")
-        with modest_broadcasts(self.spark):
+        with modest_broadcasts(self.spark, self.file_factor):
             writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy(key).parquet(path)
 
     def discard(self, *gone: Saved | None) -> None:
