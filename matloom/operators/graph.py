@@ -58,7 +58,8 @@ def traverse(ws: Workspace, arcs: Pinned, seeds: DataFrame, cap: int | None = No
         frontier = log.last.df.withColumnRenamed("id", "src")
         touched = arcs.join(frontier, log.last).select("slot", F.col("dst").alias("id")).distinct()
         known = log.recent(2) if symmetric else log.all()
-        fresh = log.append(touched.join(known, ["slot", "id"], "left_anti")).rows
+        # A hash table of two keys takes a whole page of memory, however few its rows.
+        fresh = log.append(touched.join(known.hint("merge"), ["slot", "id"], "left_anti")).rows
         if not fresh:
             break
         sizes.append(fresh)

@@ -55,7 +55,7 @@ def distant_roots(ws: Workspace, arcs: DataFrame, seed: int = 42) -> DataFrame:
         near = state.df.select(F.col("id").alias("dst"), "p")
         one = hop.join(near, "dst").groupBy(F.col("src").alias("dst")).agg(F.max("p").alias("p"))
         two = hop.join(one, "dst").groupBy(F.col("src").alias("id")).agg(F.max("p").alias("top"))
-        new = ws.save(state.df.join(two, "id").where("p = top").select("id"))
+        new = ws.save(state.df.hint("merge").join(two, "id").where("p = top").select("id"))
         beside = hop.join(new.df.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("src")).distinct()
         around = hop.join(beside, "src").select(F.col("dst").alias("id")).distinct().withColumn("gone", F.lit(True))
         nxt = state.df.join(around, "id", "left").select("id", F.when(F.col("gone").isNull(), F.col("p")).alias("p"))
@@ -81,7 +81,7 @@ def smoothed_prolongator(ws: Workspace, a: SparseMatrix, arcs: DataFrame, member
     """(I − ω·D⁻¹·A)·P₀ for the indicator P₀ of the aggregates, where weak entries
     of A are added to its diagonal and ω is 4/3 over a bound of the spectrum."""
     strong = arcs.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(True).alias("strong"))
-    rows = a.entries().join(strong, ["i", "j"], "left")
+    rows = a.entries().join(strong.hint("merge"), ["i", "j"], "left")
     keep = (F.col("i") == F.col("j")) | F.col("strong")
     lumped = rows.groupBy("i", F.when(keep, F.col("j")).otherwise(F.col("i")).alias("j")).agg(F.sum("v").alias("v"))
     lumped = ws.save(lumped).df

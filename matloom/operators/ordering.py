@@ -73,7 +73,7 @@ def pseudo_diameter(ws: Workspace, arcs: Pinned, comp: DataFrame, degrees: DataF
         seeds = active.df.select(F.col("comp").alias("slot"), F.col("source").alias("id"))
         out = traverse(ws, arcs, seeds, symmetric=symmetric).reached
         span = ws.save(_spans(out).select(F.col("slot").alias("comp"), F.col("height").alias("height0"), F.col("width").alias("width0"))).df
-        last = out.select(F.col("slot").alias("comp"), "id", "level").join(span, "comp").where("level = height0 - 1")
+        last = out.select(F.col("slot").alias("comp"), "id", "level").join(span.hint("merge"), "comp").where("level = height0 - 1")
         last = last.select("comp", "id").join(known.select("id", "deg"), "id")
         tried = ws.save(_shortlist(ws, arcs, last)).df
         slot = F.col("comp") * SHORTLIST + F.col("k")

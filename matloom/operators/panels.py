@@ -191,7 +191,7 @@ class PanelFactor:
         order = cutting.permutation(ws, degrees).df.toDF("pos", "id")
         rows = ws.save(cutting.tree.join(order, "id").select("id", "pos", "depth", F.element_at("path", -1).alias("part"))).df
         names = rows.groupBy("depth", "part").agg(F.min("pos").alias("node"))
-        place = ws.save(rows.join(names, ["depth", "part"]).select("id", "pos", "node", "depth"), deepest=F.max("depth"))
+        place = ws.save(rows.hint("merge").join(names, ["depth", "part"]).select("id", "pos", "node", "depth"), deepest=F.max("depth"))
         self.place, self.depths = place.df, (place.stats["deepest"] if place.stats["deepest"] is not None else -1) + 1
         self.panels = RoundLog(ws, _PANEL)
         self.negative = self.tiny = 0
