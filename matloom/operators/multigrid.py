@@ -27,6 +27,8 @@ from matloom.runtime import Workspace
 STRONG = 0.08
 #: Rows of the coarsest matrix whose dense inverse is kept, and most levels.
 COARSE, MAX_LEVELS = 400, 20
+#: Smoothing steps before and after the coarser levels of a cycle.
+SWEEPS = 2
 #: A level that keeps more than this share of the rows is not worth its cost.
 STALL = 0.8
 
@@ -145,13 +147,21 @@ class Multigrid:
             return self._direct(b) if self._direct else matvec(self._inverse, b)
         level, ws, n = self.levels[k], self.ws, b.n
         x = b.df.join(level.smoother, "i").select("i", (F.col("m") * F.col("v")).alias("v"))
+        for _ in range(SWEEPS - 1):
+            x = ws.save(self._smoothed(level, x, b)).df
         left = matvec(level.a, Vector(x, n), alpha=-1.0, beta=1.0, x=b)
         down = Vector(ws.save(matvec(level.p, left, trans=True).df).df, level.p.ncols)
         up = matvec(level.p, self._cycle(k + 1, down)).df.withColumnRenamed("v", "e")
         x = ws.save(x.join(up, "i").select("i", (F.col("v") + F.col("e")).alias("v"))).df
-        left = matvec(level.a, Vector(x, n), alpha=-1.0, beta=1.0, x=b).df.withColumnRenamed("v", "r")
-        done = x.join(left, "i").join(level.smoother, "i").select("i", (F.col("v") + F.col("m") * F.col("r")).alias("v"))
-        return Vector(ws.save(done).df, n)
+        for _ in range(SWEEPS):
+            x = ws.save(self._smoothed(level, x, b)).df
+        return Vector(x, n)
+
+    @staticmethod
+    def _smoothed(level: Level, x: DataFrame, b: Vector) -> DataFrame:
+        """x + M·(b − A·x)."""
+        left = matvec(level.a, Vector(x, b.n), alpha=-1.0, beta=1.0, x=b).df.withColumnRenamed("v", "r")
+        return x.join(left, "i").join(level.smoother, "i").select("i", (F.col("v") + F.col("m") * F.col("r")).alias("v"))
 
     def __call__(self, r: Vector) -> Vector:
         return self._cycle(0, r)
