@@ -1,7 +1,7 @@
 """Alignment of the tokens of two vocabularies over the same bytes.
 
 Both vocabularies cut the same text, so their tokens are intervals of one byte
-axis.  All intervals of a batch of texts are sorted by their start; a running
+axis.  All intervals of a batch of chunks are sorted by their start; a running
 maximum of their ends tells where a start reaches all ends before it, and there
 a group breaks.  Within groups the overlapping pairs of tokens are expanded; a
 pair whose ends agree is a link.  How often a pair of ids is linked in the whole
@@ -12,8 +12,10 @@ least ``1/HEAD`` of all links, of which there can be no more than ``HEAD``, are
 broadcast; all others are joined by a shuffle in which no key is frequent.
 
 A text is tokenised by its space-separated chunks, which either vocabulary cuts
-from each other anyway, with a bounded memory of chunks met before; the memory
-changes speed and never ids.
+from each other anyway.  No group or link crosses such a cut, so chunks are also
+aligned one by one, and a text strings together the groups and links of its chunks.
+Chunks met before are looked up in a bounded memory, which changes speed and never
+results.
 
 Defined results: null and empty texts, and texts that one of the vocabularies
 does not give back byte for byte, have no tokens, no links and empty groups;
@@ -27,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from copy import deepcopy as copy
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,9 @@ KNOWN_CHUNKS, CHUNK_CHARS = 200_000, 64
 #: At most so many pairs of ids have more than this part of all links.
 HEAD = 100_000
 
+#: Numbers of tokens of both sides and of groups, the groups, and the links as 64-bit
+#: integers ``a << 17 | b``.
+Chunk = tuple[int, int, int, str, bytes]
 LINK = StructType().add("a", IntegerType()).add("b", IntegerType()).add("n", IntegerType())
 RESULT = ("n_a", "n_b", "n_groups", "groups", "links")
 
@@ -74,8 +80,8 @@ class PairEncoder:
         if any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.b.get_piece_size())):
             raise ValueError("the piece vocabulary joins words")
         self.capacity = capacity
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.aged: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known: dict[str, Chunk | None] = {}
+        self.aged: dict[str, Chunk | None] = {}
 
     def _piece(self, i: int) -> bytes:
         if self.b.is_byte(i):
@@ -84,26 +90,44 @@ class PairEncoder:
 
     def encode(self, text: str | None) -> tuple[bytes, bytes] | None:
         """Little-endian 32-bit ids of both vocabularies; None without tokens."""
-        if not text:
+        chunks = self.aligned([text])[0]
+        if not chunks:
             return None
-        chunks = _chunks(text)
-        found = list(map(self.known.get, chunks))
-        if None in found:
-            new = self._learn({c for c, x in zip(chunks, found) if x is None})
-            found = [x or new[c] for c, x in zip(chunks, found)]
-            if None in found:
-                return None
-        a, b = zip(*found)
-        return b"".join(a), b"".join(b)
-
-    def _learn(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        sides = zip(*(g.split("|") for c in chunks for g in c[3].split(";")))
+        a, b = (np.array([int(i) for ids in side for i in ids.split(",")], "<u4").tobytes() for side in sides)
+        return a, b
+
+    def aligned(self, texts: list[str | None]) -> list[list[Chunk]]:
+        """The aligned chunks of each text; none of a text without tokens."""
+        parts = [_chunks(t) if t else [] for t in texts]
+        found = {c: self.known.get(c) for c in set(chain.from_iterable(parts))}
+        found.update(self._learn([c for c, x in found.items() if x is None]))
+        out = [list(map(found.__getitem__, chunks)) for chunks in parts]
+        return [[] if None in chunks else chunks for chunks in out] if None in found.values() else out
+
+    def _spell(self, sides: list[tuple[list[int], list[int]]], whole: list[bytes]) -> bool:
+        """Whether the tokens of both sides of every chunk give back its bytes."""
+        text, cuts = b"".join(whole), np.cumsum([len(w) for w in whole])
+        for k, (spelled, length) in enumerate(((self.a_bytes, self.a_length), (self.b_bytes, self.b_length))):
+            ids = list(chain.from_iterable(x[k] for x in sides))
+            if b"".join(map(spelled.__getitem__, ids)) != text:
+                return False
+            # Behind equal bytes, equal ends of the chunks make each equal.
+            ends = np.append(0, np.cumsum(length[np.array(ids, np.int64)]))
+            if (ends[np.cumsum([len(x[k]) for x in sides])] != cuts).any():
+                return False
+        return True
+
+    def _learn(self, chunks: list[str]) -> dict[str, Chunk | None]:
         new = {c: self.aged[c] for c in chunks if c in self.aged}
         need = [c for c in chunks if c not in new]
-        coded = self.a.encode_batch_fast([" " + c for c in need], add_special_tokens=False)
-        for c, x, b in zip(need, coded, self.b.encode(need, num_threads=1)):
-            a, whole = x.ids, b" " + c.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
-            new[c] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
+        if need:
+            coded = self.a.encode_batch_fast([" " + c for c in need], add_special_tokens=False)
+            sides = [(x.ids, b) for x, b in zip(coded, self.b.encode(need, num_threads=1))]
+            whole = [b" " + c.encode() for c in need]
+            if not self._spell(sides, whole):
+                sides = [x if self._spell([x], [w]) else ([], []) for x, w in zip(sides, whole)]
+            new.update((c, x if x[0] else None) for c, x in zip(need, align_ids(self, sides)))
         short = {c: x for c, x in new.items() if x and len(c) <= CHUNK_CHARS}
         if len(self.known) + len(short) > self.capacity:
             self.aged, self.known = self.known, {}
@@ -171,35 +195,47 @@ def _spelled(ids: int) -> list[str]:
     return [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(ids)]
 
 
-def align_batch(encoder: PairEncoder, texts: list[str | None]) -> dict[str, np.ndarray | list]:
-    """Numbers, groups and links of each text; see ``align``."""
-    coded = [encoder.encode(t) or (b"", b"") for t in texts]
+def align_ids(encoder: PairEncoder, coded: list[tuple[list[int], list[int]]]) -> list[Chunk]:
+    """What ``Chunk`` holds of the ids of both sides of each chunk."""
     ids, ends, owner = [], [], []
     for k, length in enumerate((encoder.a_length, encoder.b_length)):
-        ids.append(np.frombuffer(b"".join([c[k] for c in coded]), "<u4").astype(np.int64))
-        owner.append(np.repeat(np.arange(len(texts)), [len(c[k]) // 4 for c in coded]))
-        # The texts follow each other on one axis, which both sides cover.
+        ids.append(np.fromiter(chain.from_iterable(c[k] for c in coded), np.int64))
+        owner.append(np.repeat(np.arange(len(coded)), [len(c[k]) for c in coded]))
+        # The chunks follow each other on one axis, which both sides cover.
         ends.append(np.cumsum(length[ids[k]]))
     starts = [np.append(0, e)[:-1] for e in ends]
     side = np.repeat([0, 1], [len(x) for x in ids])
     order, group = coalesced(np.concatenate(starts), np.concatenate(ends), side)
     by = np.argsort(2 * group + side[order], kind="stable")
     order, group = order[by], group[by]
-    side, text, every = side[order], np.concatenate(owner)[order], np.concatenate(ids)[order]
+    side, chunk, every = side[order], np.concatenate(owner)[order], np.concatenate(ids)[order]
     mark = np.full(len(order), 3)
-    mark[:-1] = np.select([text[1:] != text[:-1], group[1:] != group[:-1], side[1:] != side[:-1]], [3, 2, 1], 0)
+    mark[:-1] = np.select([chunk[1:] != chunk[:-1], group[1:] != group[:-1], side[1:] != side[:-1]], [3, 2, 1], 0)
     most = max(len(encoder.a_length), len(encoder.b_length))
-    spell, cut = _spelled(most).__getitem__, np.searchsorted(text, np.arange(len(texts) + 1))
+    spell, cut = _spelled(most).__getitem__, np.searchsorted(chunk, np.arange(len(coded) + 1)).tolist()
     shown = (mark * most + every).tolist()
     pairs = overlaps(starts[0], ends[0], starts[1], ends[1])
     linked = ends[0][pairs[0]] == ends[1][pairs[1]]
     a, b = pairs[0][linked], pairs[1][linked]
-    key, n = np.unique((owner[0][a] << 34) | (ids[0][a] << 17) | ids[1][b], return_counts=True)
+    links = ((ids[0][a] << 17) | ids[1][b]).tobytes()
+    link_cut = (8 * np.searchsorted(owner[0][a], np.arange(len(coded) + 1))).tolist()
+    groups = np.bincount(chunk, np.append(np.diff(group), 1) if len(group) else None, minlength=len(coded)).astype(np.int64).tolist()
+    return [
+        (len(x), len(y), n, "".join(map(spell, shown[i:j])), links[p:q])
+        for (x, y), n, i, j, p, q in zip(coded, groups, cut, cut[1:], link_cut, link_cut[1:])
+    ]
+
+
+def align_batch(encoder: PairEncoder, texts: list[str | None]) -> dict[str, np.ndarray | list]:
+    """Numbers, groups and links of each text; see ``align``."""
+    chunks = encoder.aligned(texts)
+    columns = [tuple(zip(*c)) or ((),) * 5 for c in chunks]
+    links = [b"".join(c[4]) for c in columns]
+    owner = np.repeat(np.arange(len(texts)), [len(x) // 8 for x in links])
+    key, n = np.unique((owner << 34) | np.frombuffer(b"".join(links), np.int64), return_counts=True)
     return {
-        "n_a": np.bincount(owner[0], minlength=len(texts)),
-        "n_b": np.bincount(owner[1], minlength=len(texts)),
-        "n_groups": np.bincount(text, np.append(np.diff(group), 1) if len(group) else None, minlength=len(texts)).astype(np.int64),
-        "groups": ["".join(map(spell, shown[i:j])) for i, j in zip(cut, cut[1:])],
+        **{name: np.array([sum(c[k]) for c in columns], np.int64) for k, name in enumerate(RESULT[:3])},
+        "groups": [";".join(c[3]) for c in columns],
         "link_cut": np.searchsorted(key >> 34, np.arange(len(texts) + 1)),
         "a": (key >> 17) & 0x1FFFF,
         "b": key & 0x1FFFF,

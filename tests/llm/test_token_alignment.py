@@ -85,6 +85,17 @@ def test_memory_never_changes_ids():
         assert small.encode(text) == e.encode(text)
 
 
+def test_a_chunk_met_before_is_not_aligned_again(monkeypatch):
+    e = T.PairEncoder(*map(__import__("public_tokenizers").path, (T.BYTE_VOCABULARY, T.PIECE_VOCABULARY)))
+    sizes, real = [], T.coalesced
+    monkeypatch.setattr(T, "coalesced", lambda start, end, side: sizes.append(len(start)) or real(start, end, side))
+    first = T.align_batch(e, ["the cat sat", "cat " * 1000, "a▁b", None])
+    assert sum(sizes) < 40
+    assert first["n_groups"].tolist()[2:] == [0, 0] and first["groups"][2:] == ["", ""]
+    again = T.align_batch(e, ["the cat sat", "cat " * 1000])
+    assert sum(sizes) < 80 and again["groups"] == first["groups"][:2] and again["n"].sum() == first["n"].sum()
+
+
 def test_overlaps_and_groups():
     side = np.array([0, 0, 0, 1, 1, 1])
     start, end = np.array([0, 2, 5, 0, 3, 5]), np.array([2, 5, 9, 3, 5, 9])
