@@ -11,7 +11,9 @@ comes before all else: of the sets that it puts into one group, each is compared
 whole sets, with the first.  The rest is what makes the answer exact, as a radius of
 bits promises no similarity.  Each shingle of the join has a leader, and each set is
 compared with the one leader that it has most shingles in common with, unless lengths
-or places rule the similarity out.  Further rounds, with other leaders, go over the
+or places rule the similarity out.  Sets are moved for a comparison only if their
+sketches, the parities of their shingles in a table of bits, differ in no more bits
+than similar sets can differ in shingles.  Further rounds, with other leaders, go over the
 shingles that still lie in several groups.  What is left, sets of different groups
 with a shingle in common, is then compared pair by pair, so no link is lost; most of a
 crowd of near copies is one group by then and forms no pairs.
@@ -31,14 +33,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from matloom.llm.common import bound_batches, slices
 from matloom.model import Graph
 from matloom.operators.graph import components
-from matloom.runtime import BROADCAST_BYTES, Saved, Workspace
+from matloom.runtime import BROADCAST_BYTES, CELL_BYTES, Saved, Workspace
 
 SHINGLE, LEAST = 5, 0.8
 #: Texts of the sample, texts of it from which a shingle is frequent, and shingles that are listed.
@@ -80,6 +82,25 @@ def prefix(s: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray])
     return s[np.lexsort((s, rank))][:n]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of the number of shingles at each of a power of two of bits.
+
+    A shingle of one of two sets changes one bit, so the sketches of sets differ in
+    at most as many bits as the sets in shingles.
+    """
+    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    at = (s & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the longer folded to the length of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     values = np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)
@@ -116,8 +137,8 @@ def digest(text: Column) -> Column:
 
 
 def _prefixes(rows: DataFrame, size: int, least: float, frequent: tuple[np.ndarray, np.ndarray], mark: Callable[[bytes | None, int], int]) -> DataFrame:
-    """``(doc_id, digest, set, n, prefix, fp)`` of ``(doc_id, digest, text)``; ``mark``
-    makes the fingerprint of a text."""
+    """``(doc_id, digest, set, n, prefix, fp, sketch)`` of ``(doc_id, digest, text)``;
+    ``mark`` makes the fingerprint of a text."""
     names = ["doc_id", "digest"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +150,11 @@ def _prefixes(rows: DataFrame, size: int, least: float, frequent: tuple[np.ndarr
             prints = np.fromiter((mark(t.as_py(), size) for t in texts), "<u8", batch.num_rows).view("<i8")
             ids = pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in found], pa.binary())
             columns = [ids, pa.array([len(s) for s in found], pa.int64()), _lists([prefix(s, least, frequent) for s in found]), pa.array(prints)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "set", "n", "prefix", "fp"])
+            columns.append(pa.array([sketch(s) for s in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "set", "n", "prefix", "fp", "sketch"])
 
     bound_batches(rows)
-    schema = copy(rows.drop("text").schema).add("set", "binary").add("n", "long").add("prefix", ArrayType(LongType())).add("fp", "long")
+    schema = copy(rows.drop("text").schema).add("set", "binary").add("n", "long").add("prefix", ArrayType(LongType())).add("fp", "long").add("sketch", "binary")
     return rows.mapInArrow(work, schema)
 
 
@@ -147,8 +169,9 @@ def shared_keys(ws: Workspace, firsts: DataFrame) -> DataFrame:
     eighths, of the prefix of the set that others have as well."""
     # Few keys are shared: lengths are looked up for those alone.
     keys = firsts.select("set", F.posexplode("prefix").alias("i", "key"))
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    live = ws.save(keys.join(often.select("key"), "key")).df
+    # One shuffle of all keys counts them and hands on those that stay.
+    sets = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    live = ws.save(keys.withColumn("sets", sets).where("sets > 1").drop("sets")).df
     share = live.groupBy("set").agg(F.count(F.lit(1)).alias("c")).join(firsts.select("set", "n", F.size("prefix").alias("p")), "set")
     share = ws.save(share.select("set", "n", F.round(8 * F.col("c") / F.col("p")).cast("int").alias("share"))).df
     return ws.save(live.join(share, "set").select("key", "set", "n", "i", "share")).df
@@ -165,20 +188,16 @@ def _may_be_similar(least: float) -> Column:
     return most >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - _EPS
 
 
-def _candidates(met: DataFrame, least: float) -> DataFrame:
-    """``(a, b)`` of pairs that met, once each, whose common keys allow it.
+def first_of_lists(keys: DataFrame) -> DataFrame:
+    """The rows of one key, the first, of all that the same sets have.
 
-    The keys in which a pair met come first among all it has in common, so behind
-    the last of them the sets share at most the shorter remainder.
+    The first common key of two sets is the first of its list, so they still meet there.
     """
-    turned = F.col("set_a") > F.col("set_b")
-    put = lambda c, x, y: F.when(turned, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}"))
-    sides = [put(c, x, y).alias(f"{c}_{x}") for c in ("n", "i") for x, y in ("ab", "ba")]
-    shared = met.select(put("set", "a", "b").alias("a"), put("set", "b", "a").alias("b"), *sides).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("c"), *[F.max(f"{c}_{x}").alias(f"{c}_{x}") for c in ("n", "i") for x in "ab"]
-    )
-    rest = F.least(F.expr("n_a - i_a - 1"), F.expr("n_b - i_b - 1"))
-    return shared.where(F.col("c") + rest >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - _EPS).select("a", "b")
+    marks = [F.bit_xor(F.xxhash64("set", F.lit(seed))).alias(f"mark_{seed}") for seed in (0, 1)]
+    lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), *marks, F.min(F.struct("set", "i")).alias("least"))
+    # The sets agree in the order of their keys: the places in one of them tell the first.
+    chosen = lists.groupBy("sets", "mark_0", "mark_1", "least.set").agg(F.min(F.struct("least.i", "key")).alias("first"))
+    return keys.join(chosen.select("first.key"), "key")
 
 
 def print_pairs(leading: DataFrame, near: DataFrame) -> DataFrame:
@@ -214,10 +233,35 @@ def leader_pairs(keys: DataFrame, least: float, turn: int, tested: DataFrame | N
 
 def open_pairs(keys: DataFrame, least: float) -> DataFrame:
     """``(a, b, lead)``: all pairs of sets of different groups that may be similar."""
+    keys = first_of_lists(keys)
     a = keys.select("key", *[F.col(c).alias(f"{c}_a") for c in ("set", "n", "i", "group")])
     b = keys.select("key", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "i", "group")])
     apart = (F.col("group_a") < F.col("group_b")) & _may_be_similar(least)
-    return _candidates(a.join(b, "key").where(apart), least).withColumn("lead", F.col("b"))
+    met = a.join(b, "key").where(apart)
+    met = met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+    return met.withColumn("lead", F.col("b"))
+
+
+def _sketched(pairs: Saved, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(a, b, lead)`` whose sketches do not rule the similarity out.
+
+    ``sketches`` has ``(set, n, sketch)``; only those of pairs are moved.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n = (batch.column(c).to_pylist() for c in ("x", "y", "n"))
+            most = (1 - least) / (1 + least) * np.array(n, float) + 1e-6
+            near = np.array([apart(*xy) for xy in zip(x, y)], float) <= most
+            yield batch.select(["a", "b", "lead"]).filter(pa.array(near))
+
+    short = small_side(pairs)
+    left = sketches.select(F.col("set").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x")).join(short, "a")
+    right = sketches.select(F.col("set").alias("b"), "n", F.col("sketch").alias("y"))
+    right = right.join(small_side(Saved(pairs.df.select("b"), pairs.path, pairs.stats)), "b", "left_semi")
+    both = left.join(right, "b").select("a", "b", "lead", "x", "y", (F.col("m") + F.col("n")).alias("n"))
+    bound_batches(both)
+    return both.mapInArrow(work, copy(both.select("a", "b", "lead").schema))
 
 
 def _similar(pairs: Saved, sets: DataFrame, least: float) -> DataFrame:
@@ -266,9 +310,11 @@ def similar_groups(
     # Equal sets are searched once, under the number of their first row.
     firsts = ws.save(rows.groupBy("set").agg(F.min("row").alias("first"))).df
     plain = rows.select("doc_id", "digest", "set").join(firsts, "set").select("doc_id", "digest", F.col("first").alias("set"))
-    leading = rows.where("n > 0").join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
+    # Most sets are of one row: the few rows that repeat one are left out, without moving the rest.
+    later = ws.save(rows.select("row", "set").join(firsts, "set").where("row <> first").select("row"), rows=F.count(F.lit(1)))
+    leading = rows.where("n > 0").join(F.broadcast(later.df) if later.rows * CELL_BYTES <= BROADCAST_BYTES else later.df, "row", "left_anti")
     keys = shared_keys(ws, leading.select(F.col("row").alias("set"), "n", "prefix"))
-    marked = ws.save(leading.select(F.col("row").alias("set"), "fp")).df
+    marked = ws.save(leading.select(F.col("row").alias("set"), "n", "fp", "sketch")).df
     by_print = print_pairs(marked, near(ws, ws.save(marked.select("fp").distinct()).df))
     repeated = not rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
@@ -291,14 +337,17 @@ def similar_groups(
         if final and tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = ws.save(pairs, rows=F.count(F.lit(1)))
+        if not pairs.rows:
+            continue
+        compared = pairs.df.select("a", "b")
+        tested = compared if tested is None else tested.unionAll(compared)
+        pairs = ws.save(_sketched(pairs, marked, least), rows=F.count(F.lit(1)))
         if not pairs.rows:
             continue
         ends = pairs.df.select(F.col("a").alias("set")).union(pairs.df.select("b")).distinct()
         more = ws.save(whole(ends if sets is None else ends.join(sets, "set", "left_anti"))).df
         sets = more if sets is None else sets.unionAll(more)
         found = ws.save(_similar(pairs, sets, least), rows=F.count(F.lit(1)))
-        compared = pairs.df.select("a", "b")
-        tested = compared if tested is None else tested.unionAll(compared)
         if found.rows:
             links.append(found.df)
             groups = _grouped(ws, reduce(DataFrame.unionAll, links))
