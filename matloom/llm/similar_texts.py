@@ -46,6 +46,8 @@ SHINGLE, LEAST = 5, 0.8
 #: Texts of the sample, texts of it from which a shingle is frequent, and shingles that are listed.
 SAMPLE, FREQUENT, LISTED = 20_000, 3, 200_000
 SEED = 42
+#: 64-bit words of the sketch that goes with every key of the exact comparison; a power of two.
+WORDS = 8
 #: Rounds of leaders before the exact comparison.
 LEADERS = 4
 #: Bytes of a row of an id and a digest when it is sent to every task.
@@ -93,6 +95,12 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
 
 
+def short_sketch(s: np.ndarray) -> np.ndarray:
+    """A sketch of ``WORDS`` words for sets of any size; it tells short texts apart."""
+    at = (s & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * WORDS) & 1, bitorder="little").view("<u8")
+
+
 def apart(x: bytes, y: bytes) -> int:
     """Bits in which two sketches differ, the longer folded to the length of the other."""
     a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
@@ -137,7 +145,7 @@ def digest(text: Column) -> Column:
 
 
 def _prefixes(rows: DataFrame, size: int, least: float, frequent: tuple[np.ndarray, np.ndarray], mark: Callable[[bytes | None, int], int]) -> DataFrame:
-    """``(doc_id, digest, set, n, prefix, fp, sketch)`` of ``(doc_id, digest, text)``;
+    """``(doc_id, digest, set, n, prefix, fp, sketch, words)`` of ``(doc_id, digest, text)``;
     ``mark`` makes the fingerprint of a text."""
     names = ["doc_id", "digest"]
 
@@ -151,10 +159,11 @@ def _prefixes(rows: DataFrame, size: int, least: float, frequent: tuple[np.ndarr
             ids = pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in found], pa.binary())
             columns = [ids, pa.array([len(s) for s in found], pa.int64()), _lists([prefix(s, least, frequent) for s in found]), pa.array(prints)]
             columns.append(pa.array([sketch(s) for s in found], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "set", "n", "prefix", "fp", "sketch"])
+            columns.append(_lists([short_sketch(s) for s in found]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "set", "n", "prefix", "fp", "sketch", "words"])
 
     bound_batches(rows)
-    schema = copy(rows.drop("text").schema).add("set", "binary").add("n", "long").add("prefix", ArrayType(LongType())).add("fp", "long").add("sketch", "binary")
+    schema = copy(rows.drop("text").schema).add("set", "binary").add("n", "long").add("prefix", ArrayType(LongType())).add("fp", "long").add("sketch", "binary").add("words", ArrayType(LongType()))
     return rows.mapInArrow(work, schema)
 
 
@@ -231,12 +240,14 @@ def leader_pairs(keys: DataFrame, least: float, turn: int, tested: DataFrame | N
     return best.groupBy("m.a", "m.b").agg(F.max("m.lead").alias("lead"))
 
 
-def open_pairs(keys: DataFrame, least: float) -> DataFrame:
-    """``(a, b, lead)``: all pairs of sets of different groups that may be similar."""
-    keys = first_of_lists(keys)
-    a = keys.select("key", *[F.col(c).alias(f"{c}_a") for c in ("set", "n", "i", "group")])
-    b = keys.select("key", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "i", "group")])
-    apart = (F.col("group_a") < F.col("group_b")) & _may_be_similar(least)
+def open_pairs(keys: DataFrame, least: float, sketches: DataFrame) -> DataFrame:
+    """``(a, b, lead)``: all pairs of sets of different groups that may be similar;
+    ``sketches`` has ``(set, words)``."""
+    keys = first_of_lists(keys).join(sketches.select("set", "words"), "set")
+    a, b = (keys.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("set", "n", "i", "group", "words")]) for x in "ab")
+    bits = reduce(Column.__add__, [F.bit_count(F.col("words_a")[k].bitwiseXOR(F.col("words_b")[k])) for k in range(WORDS)])
+    near = bits <= (1 - least) / (1 + least) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    apart = (F.col("group_a") < F.col("group_b")) & _may_be_similar(least) & near
     met = a.join(b, "key").where(apart)
     met = met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
     return met.withColumn("lead", F.col("b"))
@@ -314,7 +325,7 @@ def similar_groups(
     later = ws.save(rows.select("row", "set").join(firsts, "set").where("row <> first").select("row"), rows=F.count(F.lit(1)))
     leading = rows.where("n > 0").join(F.broadcast(later.df) if later.rows * CELL_BYTES <= BROADCAST_BYTES else later.df, "row", "left_anti")
     keys = shared_keys(ws, leading.select(F.col("row").alias("set"), "n", "prefix"))
-    marked = ws.save(leading.select(F.col("row").alias("set"), "n", "fp", "sketch")).df
+    marked = ws.save(leading.select(F.col("row").alias("set"), "n", "fp", "sketch", "words")).df
     by_print = print_pairs(marked, near(ws, ws.save(marked.select("fp").distinct()).df))
     repeated = not rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
@@ -333,7 +344,7 @@ def similar_groups(
         if turn < 0:
             pairs = by_print
         else:
-            pairs = open_pairs(mixed.df, least) if final else leader_pairs(mixed.df, least, turn, tested)
+            pairs = open_pairs(mixed.df, least, marked) if final else leader_pairs(mixed.df, least, turn, tested)
         if final and tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = ws.save(pairs, rows=F.count(F.lit(1)))
